@@ -26,7 +26,7 @@ DURATIONS = (6, 12, 24, 36, 60, 84, 120, 180)
 _memo: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, what: str, build):
+def once(spark: SparkSession, sf_dir: str, what: str, build):
     """Stage tables are built once per application and input folder, as a pipeline would between its steps."""
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _memo:
@@ -82,7 +82,7 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(h % 137 != 5, F.concat("l_returnflag", "l_linestatus")).alias("garantie"),
         F.when(incident_slot < 12, 1).when(incident_slot < 14, 2).otherwise(0).alias("nb_incidents_24m"),
         (F.col("l_linenumber") % 4).cast("int").alias("nb_credits_en_cours"),
-        F.col("l_shipdate").alias("date_octroi"),
+        F.col("l_shipdate").cast("timestamp").alias("date_octroi"),
         "h",
     )
     ratio = debt_ratio()
@@ -95,13 +95,13 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return _once(spark, sf_dir, "base", lambda: staged(_base(spark, sf_dir), "loans_base"))
+    return once(spark, sf_dir, "base", lambda: staged(_base(spark, sf_dir), "loans_base"))
 
 
 def loans_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base loans with label, arrears, class and provision; still one row per order line."""
     base = loans_base(spark, sf_dir)
-    labelled = _once(spark, sf_dir, "labelled", lambda: label_above_quantile(base, "score_risque", 0.78))
+    labelled = once(spark, sf_dir, "labelled", lambda: label_above_quantile(base, "score_risque", 0.78))
     h = F.col("h")
     return (
         labelled
@@ -119,7 +119,7 @@ def loans_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> CleanResult:
-    return _once(spark, sf_dir, "clean",
+    return once(spark, sf_dir, "clean",
                  lambda: clean(loans_raw(spark, sf_dir), product_risk=PRODUCT_WEIGHTS))
 
 

@@ -217,18 +217,32 @@ def select_best(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max_by("modele", "auc").alias("meilleur_modele"), F.max("auc").alias("auc"))
 
 
+@dataclass(frozen=True)
+class SplitLoans:
+    """Encoders of the whole table and the two written parts of one stratified split."""
+
+    encoders: PipelineModel
+    train: DataFrame
+    test: DataFrame
+
+
+def split_loans(credits: DataFrame, share: float = 0.25, seed: int = 42) -> SplitLoans:
+    split = with_split(credits, share, seed)
+    return SplitLoans(
+        fit_encoders(credits),
+        staged(split.filter(~F.col("is_test")).drop("is_test"), "train"),
+        staged(split.filter("is_test").drop("is_test"), "test"))
+
+
 def train_models(
-    credits: DataFrame, names=MODEL_NAMES, sizes: ModelSizes = ModelSizes(), share: float = 0.25
+    loans: DataFrame | SplitLoans, names=MODEL_NAMES, sizes: ModelSizes = ModelSizes(), share: float = 0.25
 ) -> TrainingResult:
     """Fit and compare the models on one stratified split; encoders see the whole table."""
-    encoders = fit_encoders(credits)
-    split = with_split(credits, share, sizes.seed)
-    train = staged(split.filter(~F.col("is_test")).drop("is_test"), "train")
-    test = staged(split.filter("is_test").drop("is_test"), "test")
-    models = {name: fit_model(train, name, encoders, sizes) for name in names}
+    parts = loans if isinstance(loans, SplitLoans) else split_loans(loans, share, sizes.seed)
+    models = {name: fit_model(parts.train, name, parts.encoders, sizes) for name in names}
     metrics = None
     for name, model in models.items():
-        one = evaluate(predict(test, model), name)
+        one = evaluate(predict(parts.test, model), name)
         metrics = one if metrics is None else metrics.unionByName(one)
     metrics = staged(metrics, "model_metrics")
     best = select_best(metrics).first()["meilleur_modele"]
