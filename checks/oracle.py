@@ -164,8 +164,8 @@ _HASHED = (
     "type_produit", "montant_credit_fcfa", "duree_mois", "garantie", "nb_incidents_24m", "nb_credits_en_cours",
     "defaut", "round_even(taux_interet * 100, 0)::BIGINT",
 )
-LOAN_HASH = "('0x' || substr(md5(concat_ws('|', '=42', " + ", ".join(
-    f"coalesce('=' || ({c})::VARCHAR, '~')" for c in _HASHED) + ")), 1, 15))::BIGINT"
+LOAN_HASH = "('0x' || substr(md5(concat_ws('|', '42', " + ", ".join(
+    f"coalesce(({c})::VARCHAR, '\\N')" for c in _HASHED) + ")), 1, 15))::BIGINT"
 
 
 def _text(expr: str) -> str:

@@ -90,7 +90,10 @@ def thousands(c: str | Column) -> Column:
     return F.format_number(col(c), 0)
 
 
+HASH_RANGE = (0, 2**60 - 1)
+
+
 def row_hash(columns) -> Column:
-    """Non-negative 60-bit hash of a row, equal in every engine that has MD5: nulls and texts stay distinguishable."""
-    parts = [F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("~")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+    """60-bit hash of a row, the same in every engine that has MD5. Missing values are spelled \\N."""
+    text = F.array_join(F.array(*[col(c).cast("string") for c in columns]), "|", "\\N")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

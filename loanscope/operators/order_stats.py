@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import null_if_nan
 
-BUCKETS = 2048
+BUCKETS = 4096
 SETTLE_ROWS = 20_000  # upper bound on the value counts brought to the driver in the last pass
 
 
 @dataclass
 class RankedValue:
-    """The value at a 0-based rank, and the number of rows strictly below that value."""
+    """The value at a 0-based rank, the number of rows strictly below that value and the number equal to it."""
 
     value: float | int
     below: int
+    rows: int
 
 
 @dataclass
@@ -49,20 +50,25 @@ def _is_integral(df: DataFrame, c: Column) -> bool:
 class SeriesSet:
     """Several named value expressions over one table, searched together so that they share every pass.
 
-    A row takes no part in a series where its expression is null (or NaN).
+    A row takes no part in a series where its expression is null (or NaN). None in place of an expression stands for
+    the column of that name. ``extent`` gives (rows, low, high) per series where the caller knows them: the row count
+    must be exact, low and high may be any bounds of the values.
     """
 
-    def __init__(self, df: DataFrame, series: Mapping[str, Column]):
+    def __init__(
+        self, df: DataFrame, series: Mapping[str, Column | None], extent: Mapping[str, tuple] | None = None
+    ):
         self.df = df
-        self.groups: list[dict[str, Column]] = []
+        self.plain = {name for name, c in series.items() if c is None}
         integral, floating = {}, {}
         for name, c in series.items():
+            c = F.col(name) if c is None else c
             if _is_integral(df, c):
                 integral[name] = c.cast("bigint")
             else:
                 floating[name] = null_if_nan(c.cast("double"))
-        self.groups = [g for g in (integral, floating) if g]
-        self.extent: dict[str, tuple] = {}
+        self.groups: list[dict[str, Column]] = [g for g in (integral, floating) if g]
+        self.extent: dict[str, tuple] = dict(extent or {})
 
     def measure(self) -> dict[str, tuple]:
         """(rows, min, max) of every series, one pass."""
@@ -89,7 +95,7 @@ class SeriesSet:
                     open_ranks.append(_Open(name, rank, low, high, 0, rows))
             while True:
                 for o in [o for o in open_ranks if o.low == o.high]:
-                    found[(o.series, o.rank)] = RankedValue(o.low, o.below)
+                    found[(o.series, o.rank)] = RankedValue(o.low, o.below, o.rows)
                 open_ranks = [o for o in open_ranks if o.low != o.high]
                 if not open_ranks:
                     break
@@ -113,25 +119,30 @@ class SeriesSet:
 
     def _count(self, group, intervals, settle: bool) -> list[list[tuple]]:
         """Per interval the (rows, min, max) of its buckets, or of its single values when settling."""
+        names = list(dict.fromkeys(name for name, _, _ in intervals))
+        source = self.df
+        if len(intervals) == 1 and names[0] in self.plain:
+            # a range test on a stored column, so it reaches the file scan
+            _, low, high = intervals[0]
+            source = source.filter(F.col(names[0]).between(F.lit(low), F.lit(high)))
+        # every expression is evaluated once per row, whatever the number of its intervals
+        source = source.select(*[group[name].alias(f"s{i}") for i, name in enumerate(names)])
         entries = []
         for k, (name, low, high) in enumerate(intervals):
-            v = group[name]
-            inside = (v >= F.lit(low)) & (v <= F.lit(high))
+            v = F.col(f"s{names.index(name)}")
             # monotone in v, 0 at low and BUCKETS - 1 at high, so every pass splits the interval
             if isinstance(low, int):
                 share = (v - F.lit(low)).cast("double") / F.lit(float(high - low))
             else:
                 # halved before subtracting so that the widest interval does not overflow
                 share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-            bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-            key = F.lit(0) if settle else bucket
-            entries.append((k, inside, F.struct(F.lit(k).alias("k"), key.alias("b"), v.alias("v"))))
-        if len(entries) == 1:
-            _, inside, entry = entries[0]
-            rows = self.df.filter(inside).select(entry.alias("e")).select("e.*")
+            bucket = F.lit(0) if settle else F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+            entries += [F.lit(k), F.when(v.between(F.lit(low), F.lit(high)), bucket), v]
+        if len(intervals) == 1:
+            rows = source.select(*[e.alias(name) for e, name in zip(entries, ("k", "b", "v"))])
         else:
-            tagged = F.array(*[F.when(inside, entry) for _, inside, entry in entries])
-            rows = self.df.select(F.explode(F.array_compact(tagged)).alias("e")).select("e.*")
+            rows = source.select(F.stack(F.lit(len(intervals)), *entries).alias("k", "b", "v"))
+        rows = rows.filter(F.col("b").isNotNull())
         if settle:
             # at most SETTLE_ROWS rows lie inside the intervals
             counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).select(
@@ -153,8 +164,7 @@ def quantiles(
     df: DataFrame, probabilities: Mapping[str, Sequence[float]], series: Mapping[str, Column] | None = None
 ) -> dict[tuple[str, float], float | None]:
     """Exact linearly interpolated quantiles of columns or named expressions; None for an empty series."""
-    exprs = {name: (series or {}).get(name, F.col(name)) for name in probabilities}
-    search = SeriesSet(df, exprs)
+    search = SeriesSet(df, {name: (series or {}).get(name) for name in probabilities})
     extent = search.measure()
     wanted: dict[str, set[int]] = {}
     plan = {}
@@ -188,20 +198,25 @@ def quantile(df: DataFrame, column: str | Column, p: float) -> float | None:
 
 
 def pair_cuts(
-    df: DataFrame, major: str | Column, minor: str | Column, ranks: Sequence[int]
+    df: DataFrame, major: str | Column, minor: str | Column, ranks: Sequence[int], minor_range: tuple[int, int]
 ) -> list[tuple]:
-    """(major, minor) values standing at the given ranks of the table ordered by (major, minor)."""
+    """(major, minor) values standing at the given ranks of the table ordered by (major, minor).
+
+    ``minor_range`` bounds the minor values.
+    """
     major = F.col(major) if isinstance(major, str) else major
     minor = F.col(minor) if isinstance(minor, str) else minor
     first = SeriesSet(df, {"major": major}).values_at({"major": ranks})
     inner: dict[str, list[int]] = {}
     series: dict[str, Column] = {}
+    extent: dict[str, tuple] = {}
     for rank in ranks:
         hit = first[("major", rank)]
         name = str(hit.value)
         series[name] = F.when(major == F.lit(hit.value), minor)
+        extent[name] = (hit.rows, *minor_range)
         inner.setdefault(name, []).append(rank - hit.below)
-    second = SeriesSet(df, series).values_at(inner)
+    second = SeriesSet(df, series, extent).values_at(inner)
     cuts = []
     for rank in ranks:
         hit = first[("major", rank)]

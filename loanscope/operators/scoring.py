@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.expressions import half_even, row_hash
+from loanscope.functions.expressions import HASH_RANGE, half_even, row_hash
 from loanscope.functions.rules import decision, grade, score_truncated
 from loanscope.operators.metrics import class_report, confusion_counts, ranking_metrics
 from loanscope.operators.order_stats import SeriesSet
@@ -108,7 +108,8 @@ def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str =
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     sizes = {c: k for c, k in test_sizes(counts, share).items() if k > 0}
     series = {f"class{c}": F.when(F.col(target) == c, h) for c in sizes}
-    bounds = SeriesSet(df, series).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
+    extent = {f"class{c}": (counts[c], *HASH_RANGE) for c in sizes}
+    bounds = SeriesSet(df, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
     in_test = F.lit(False)
     for c, k in sizes.items():
         in_test = in_test | ((F.col(target) == c) & (h <= F.lit(bounds[(f"class{c}", k - 1)].value)))
@@ -219,7 +220,7 @@ def select_best(metrics: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SplitLoans:
-    """Encoders of the whole table and the two written parts of one stratified split."""
+    """Encoders of the whole table and the two parts of one stratified split."""
 
     encoders: PipelineModel
     train: DataFrame
@@ -227,11 +228,11 @@ class SplitLoans:
 
 
 def split_loans(credits: DataFrame, share: float = 0.25, seed: int = 42) -> SplitLoans:
-    split = with_split(credits, share, seed)
+    parts = staged(with_split(credits, share, seed), "split", partition_by="is_test")
     return SplitLoans(
         fit_encoders(credits),
-        staged(split.filter(~F.col("is_test")).drop("is_test"), "train"),
-        staged(split.filter("is_test").drop("is_test"), "test"))
+        parts.filter(~F.col("is_test")).drop("is_test"),
+        parts.filter("is_test").drop("is_test"))
 
 
 def train_models(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.functions.expressions import half_away, half_even, pct, rank_in
+from loanscope.functions.expressions import HASH_RANGE, half_away, half_even, pct, rank_in
 from loanscope.operators.order_stats import SeriesSet, not_after, pair_cuts, quantile
 from loanscope.schemas import LGD, TARGET
 
@@ -132,7 +132,7 @@ def histogram(df: DataFrame, c: str, bins: int = 50, below_quantile: float | Non
     if below_quantile is not None:
         cut = quantile(df, c, below_quantile)
         df = df.filter(F.col(c) < F.lit(cut)) if cut is not None else df.limit(0)
-    n, low, high = SeriesSet(df, {c: F.col(c)}).measure()[c]
+    n, low, high = SeriesSet(df, {c: None}).measure()[c]
     if n == 0:
         low, high = 0, 0
     width = float(high - low) / bins
@@ -168,7 +168,7 @@ def decile_evolution(df: DataFrame, position: str | Column, tie_break: str | Col
     """Default rate per quantile bucket of the row position in (position, tie_break) order.
 
     The bucket bounds are order statistics, found exactly without sorting; rows are then bucketed by comparison. Rows
-    that agree on both columns share a bucket.
+    that agree on both columns share a bucket. The tie-break is a row hash.
     """
     major = F.col(position) if isinstance(position, str) else position
     minor = F.col(tie_break) if isinstance(tie_break, str) else tie_break
@@ -177,7 +177,7 @@ def decile_evolution(df: DataFrame, position: str | Column, tie_break: str | Col
         cuts = []
     else:
         ranks = [b * (n - 1) // buckets for b in range(1, buckets)]
-        cuts = pair_cuts(df, major, minor, ranks)
+        cuts = pair_cuts(df, major, minor, ranks, HASH_RANGE)
     bucket = F.lit(buckets - 1)
     for b in reversed(range(len(cuts))):
         bucket = F.when(not_after(major, minor, cuts[b]), b).otherwise(bucket)

@@ -52,13 +52,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and continue from the files.
 
     The plan that follows starts at a columnar scan (short lineage, column pruning, filter pushdown), and a lost
-    executor costs nothing because no block lives on it.
+    executor costs nothing because no block lives on it. With ``partition_by`` the parts are separate folders, so a
+    filter on that column reads only its part.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
