@@ -476,7 +476,8 @@ def registered() -> dict[str, Query]:
             "client_id", "montant_credit_fcfa", "duree_mois", "revenu_mensuel_fcfa", "ratio_endettement",
             "taux_effort"),
         "serve_score": serve_score,
-        "serve_score_batch": lambda spark, sf_dir: A.score_batch(applications(spark, sf_dir), model(spark, sf_dir)),
+        "serve_score_batch": lambda spark, sf_dir: A.batch_summary(
+            A.score_batch(applications(spark, sf_dir), model(spark, sf_dir)).resultats),
         "api_kpis": _on_credits(api_kpis),
         "api_by_sector": _on_credits(A.by_sector),
         "api_by_product": _on_credits(A.by_product),

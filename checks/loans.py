@@ -42,9 +42,11 @@ SPREAD_BELOW = 5_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share a small single-block file among the cores; the count comes from the file footers. Large inputs, which
-    have blocks enough, are left as they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < SPREAD_BELOW else df
+    """Share a small input held in fewer files than there are cores among the cores. Large inputs, which have files
+    and blocks enough, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.count() < SPREAD_BELOW  # a count without columns reads footers only
+    return df.repartition(cores) if few else df
 
 
 def sector_weight(c: str) -> Column:

@@ -10,7 +10,7 @@ value counts (size checked) settle all ranks in one last pass. The result is the
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -127,22 +127,24 @@ class SeriesSet:
             source = source.filter(F.col(names[0]).between(F.lit(low), F.lit(high)))
         # every expression is evaluated once per row, whatever the number of its intervals
         source = source.select(*[group[name].alias(f"s{i}") for i, name in enumerate(names)])
-        entries = []
-        for k, (name, low, high) in enumerate(intervals):
-            v = F.col(f"s{names.index(name)}")
-            # monotone in v, 0 at low and BUCKETS - 1 at high, so every pass splits the interval
-            if isinstance(low, int):
-                share = (v - F.lit(low)).cast("double") / F.lit(float(high - low))
-            else:
-                # halved before subtracting so that the widest interval does not overflow
-                share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-            bucket = F.lit(0) if settle else F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-            entries += [F.lit(k), F.when(v.between(F.lit(low), F.lit(high)), bucket), v]
         if len(intervals) == 1:
-            rows = source.select(*[e.alias(name) for e, name in zip(entries, ("k", "b", "v"))])
+            rows = source.select(F.lit(0).alias("k"), F.col("s0").alias("v"))
+            low, high = F.lit(intervals[0][1]), F.lit(intervals[0][2])
+        else:
+            # one row per interval; its bounds come from constant arrays, which keeps the generated code short
+            each = F.array(*[F.col(f"s{names.index(name)}") for name, _, _ in intervals])
+            rows = source.select(F.posexplode(each).alias("k", "v"))
+            low, high = (F.array(*[F.lit(i[side]) for i in intervals])[F.col("k")] for side in (1, 2))
+        v = F.col("v")
+        # monotone in v, 0 at low and BUCKETS - 1 at high, so every pass splits the interval
+        if isinstance(intervals[0][1], int):
+            share = (v - low).cast("double") / (high - low).cast("double")
         else:
-            rows = source.select(F.stack(F.lit(len(intervals)), *entries).alias("k", "b", "v"))
-        rows = rows.filter(F.col("b").isNotNull())
+            # halved before subtracting so that the widest interval does not overflow
+            share = (v / 2 - low / 2) / (high / 2 - low / 2)
+        rows = rows.filter(v.between(low, high))
+        if not settle:
+            rows = rows.select("k", "v", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("b"))
         if settle:
             # at most SETTLE_ROWS rows lie inside the intervals
             counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).select(
@@ -198,34 +200,37 @@ def quantile(df: DataFrame, column: str | Column, p: float) -> float | None:
 
 
 def pair_cuts(
-    df: DataFrame, major: str | Column, minor: str | Column, ranks: Sequence[int], minor_range: tuple[int, int]
+    df: DataFrame, major: str, minor: str, ranks: Callable[[int], Sequence[int]], minor_range: tuple[int, int]
 ) -> list[tuple]:
-    """(major, minor) values standing at the given ranks of the table ordered by (major, minor).
+    """(major, minor) values standing at some ranks of the table ordered by (major, minor).
 
-    ``minor_range`` bounds the minor values.
+    ``ranks`` gives the ranks wanted for a number of rows; ``minor_range`` bounds the minor values. Both columns must
+    be without gaps.
     """
-    major = F.col(major) if isinstance(major, str) else major
-    minor = F.col(minor) if isinstance(minor, str) else minor
-    first = SeriesSet(df, {"major": major}).values_at({"major": ranks})
+    search = SeriesSet(df, {major: None})
+    ranks = ranks(search.measure()[major][0])
+    if not ranks:
+        return []
+    first = search.values_at({major: ranks})
     inner: dict[str, list[int]] = {}
     series: dict[str, Column] = {}
     extent: dict[str, tuple] = {}
     for rank in ranks:
-        hit = first[("major", rank)]
+        hit = first[(major, rank)]
         name = str(hit.value)
-        series[name] = F.when(major == F.lit(hit.value), minor)
+        series[name] = F.when(F.col(major) == F.lit(hit.value), F.col(minor))
         extent[name] = (hit.rows, *minor_range)
         inner.setdefault(name, []).append(rank - hit.below)
-    second = SeriesSet(df, series, extent).values_at(inner)
+    # only the rows at the major values found can stand at a cut
+    at_cuts = df.filter(F.col(major).isin([first[(major, rank)].value for rank in ranks]))
+    second = SeriesSet(at_cuts, series, extent).values_at(inner)
     cuts = []
     for rank in ranks:
-        hit = first[("major", rank)]
+        hit = first[(major, rank)]
         cuts.append((hit.value, second[(str(hit.value), rank - hit.below)].value))
     return cuts
 
 
-def not_after(major: str | Column, minor: str | Column, cut: tuple) -> Column:
+def not_after(major: str, minor: str, cut: tuple) -> Column:
     """Rows that come no later than a cut in (major, minor) order."""
-    major = F.col(major) if isinstance(major, str) else major
-    minor = F.col(minor) if isinstance(minor, str) else minor
-    return (major < F.lit(cut[0])) | ((major == F.lit(cut[0])) & (minor <= F.lit(cut[1])))
+    return (F.col(major) < F.lit(cut[0])) | ((F.col(major) == F.lit(cut[0])) & (F.col(minor) <= F.lit(cut[1])))

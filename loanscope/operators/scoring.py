@@ -13,14 +13,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanscope.functions.expressions import HASH_RANGE, half_even, row_hash
 from loanscope.functions.rules import decision, grade, score_truncated
 from loanscope.operators.metrics import class_report, confusion_counts, ranking_metrics
 from loanscope.operators.order_stats import SeriesSet
-from loanscope.schemas import CATEGORICAL, DECISIONS_V1, GRADES_V1, NUMERIC_FEATURES, TARGET
+from loanscope.schemas import CATEGORICAL, CLEAN_SCHEMA, DECISIONS_V1, GRADES_V1, NUMERIC_FEATURES, TARGET
 from loanscope.session import ensure_checkpoint_dir, staged
 
 FEATURES = NUMERIC_FEATURES + [f"{c}_enc" for c in CATEGORICAL]
@@ -103,17 +104,18 @@ def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str =
     The bound of a class is an order statistic of its hashes, so no class is sorted or gathered. Equal rows always
     fall on the same side.
     """
-    h = loan_hash(seed)
+    # the hash is worked out once per row, in this projection
+    hashed = df.select(target, loan_hash(seed).alias("h"))
     counts = {r[target]: r["n"] for r in df.filter(F.col(target).isNotNull()).groupBy(target)
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     sizes = {c: k for c, k in test_sizes(counts, share).items() if k > 0}
-    series = {f"class{c}": F.when(F.col(target) == c, h) for c in sizes}
+    series = {f"class{c}": F.when(F.col(target) == c, F.col("h")) for c in sizes}
     extent = {f"class{c}": (counts[c], *HASH_RANGE) for c in sizes}
-    bounds = SeriesSet(df, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
-    in_test = F.lit(False)
+    bounds = SeriesSet(hashed, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
+    bound = F.lit(-1)
     for c, k in sizes.items():
-        in_test = in_test | ((F.col(target) == c) & (h <= F.lit(bounds[(f"class{c}", k - 1)].value)))
-    return df.withColumn("is_test", in_test)
+        bound = F.when(F.col(target) == c, F.lit(bounds[(f"class{c}", k - 1)].value)).otherwise(bound)
+    return df.withColumn("is_test", loan_hash(seed) <= bound)
 
 
 def class_weights(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -292,6 +294,17 @@ def score_strict(loans: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
+def score_client(spark: SparkSession, client: Mapping[str, object], model: PipelineModel) -> dict:
+    """Strict scoring of one client given as a record with its ratios; the same plan as for a portfolio."""
+    kinds = {f.name: f.dataType for f in CLEAN_SCHEMA.fields}
+    names = [*CATEGORICAL, *NUMERIC_FEATURES]
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
+    values = tuple(
+        float(client[n]) if isinstance(kinds[n], T.DoubleType) else client[n] for n in names)
+    scored = score_strict(spark.createDataFrame([values], schema), model)
+    return scored.select("probabilite_defaut", "score", "categorie", "decision").first().asDict()
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

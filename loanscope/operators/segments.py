@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.functions.expressions import HASH_RANGE, half_away, half_even, pct, rank_in
+from loanscope.functions.expressions import HASH_RANGE, col, half_away, half_even, pct, rank_in
 from loanscope.operators.order_stats import SeriesSet, not_after, pair_cuts, quantile
 from loanscope.schemas import LGD, TARGET
 
@@ -24,10 +24,14 @@ def _when_default(c: str) -> Column:
     return F.when(F.col(TARGET) == 1, F.col(c)).otherwise(F.lit(0).cast("bigint"))
 
 
+_AVERAGED = {
+    "taux_interet": "double", "taux_effort": "double", "revenu_mensuel_fcfa": "bigint", "duree_mois": "bigint",
+}
+TOTAL_NAMES = ["n", "n_cible", "nb_defauts", "encours", "n_encours", "encours_defaut", "nb_incidents"] + [
+    f"{kind}_{c}" for c in _AVERAGED for kind in ("s", "n")]
+
+
 def total_columns() -> list[Column]:
-    averaged = {
-        "taux_interet": "double", "taux_effort": "double", "revenu_mensuel_fcfa": "bigint", "duree_mois": "bigint",
-    }
     out = [
         F.count(F.lit(1)).alias("n"),
         F.count(TARGET).alias("n_cible"),
@@ -37,7 +41,7 @@ def total_columns() -> list[Column]:
         F.sum(_when_default(AMOUNT).cast("bigint")).alias("encours_defaut"),
         F.sum(F.col("nb_incidents_24m").cast("bigint")).alias("nb_incidents"),
     ]
-    for c, kind in averaged.items():
+    for c, kind in _AVERAGED.items():
         out += [F.sum(F.col(c).cast(kind)).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")]
     return out
 
@@ -47,12 +51,19 @@ def totals(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(*total_columns())
 
 
-def grouped_totals(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
-    """Totals of several segmentations in one pass over the loans; ``ensemble`` numbers the key set of a row."""
+def _resummed() -> list[Column]:
+    return [F.sum(c).alias(c) for c in TOTAL_NAMES]
+
+
+def retotalled(t: DataFrame, *keys: str) -> DataFrame:
+    """Totals of a coarser segmentation from those of a finer one; the loans are not read again."""
+    return t.groupBy(*keys).agg(*_resummed())
+
+
+def _sets(df: DataFrame, key_sets: Sequence[Sequence[str]], aggregates: list[Column]) -> DataFrame:
     keys = list(dict.fromkeys(k for ks in key_sets for k in ks))
-    level = F.grouping_id(*keys).alias("_gid")
     grouped = df.groupingSets([[F.col(k) for k in ks] for ks in key_sets], *[F.col(k) for k in keys]).agg(
-        level, *total_columns())
+        F.grouping_id(*keys).alias("_gid"), *aggregates)
     number = None
     for i, ks in enumerate(key_sets):
         gid = sum(1 << (len(keys) - 1 - p) for p, k in enumerate(keys) if k not in ks)
@@ -60,6 +71,19 @@ def grouped_totals(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFram
     return grouped.withColumn("ensemble", number).drop("_gid")
 
 
+def grouped_totals(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Totals of several segmentations in one pass over the loans; ``ensemble`` numbers the key set of a row.
+
+    Every loan is counted once per key set, so pass few, fine sets and derive the coarse ones with ``retotalled``.
+    """
+    return _sets(df, key_sets, total_columns())
+
+
+def regrouped_totals(t: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """The same over totals of a finer segmentation."""
+    return _sets(t, key_sets, _resummed())
+
+
 def without_missing(df: DataFrame, *keys: str) -> DataFrame:
     """Drop rows with a missing key, as a data-frame group-by does."""
     return df.dropna(subset=list(keys)) if keys else df
@@ -170,19 +194,16 @@ def decile_evolution(df: DataFrame, position: str | Column, tie_break: str | Col
     The bucket bounds are order statistics, found exactly without sorting; rows are then bucketed by comparison. Rows
     that agree on both columns share a bucket. The tie-break is a row hash.
     """
-    major = F.col(position) if isinstance(position, str) else position
-    minor = F.col(tie_break) if isinstance(tie_break, str) else tie_break
-    n = df.count()
-    if n == 0:
-        cuts = []
-    else:
-        ranks = [b * (n - 1) // buckets for b in range(1, buckets)]
-        cuts = pair_cuts(df, major, minor, ranks, HASH_RANGE)
+    # the hash is worked out once per row here, not once per comparison
+    rows = df.select(col(position).alias("position"), col(tie_break).alias("tie"), TARGET).filter(
+        F.col("position").isNotNull())
+    cuts = pair_cuts(
+        rows, "position", "tie", lambda n: [b * (n - 1) // buckets for b in range(1, buckets)] if n else [], HASH_RANGE)
     bucket = F.lit(buckets - 1)
     for b in reversed(range(len(cuts))):
-        bucket = F.when(not_after(major, minor, cuts[b]), b).otherwise(bucket)
+        bucket = F.when(not_after("position", "tie", cuts[b]), b).otherwise(bucket)
     return (
-        df.groupBy(bucket.alias("bucket"))
+        rows.groupBy(bucket.alias("bucket"))
         .agg(F.count(TARGET).alias("nb_prets"), F.avg(TARGET).alias("mean"))
         .withColumn("taux_defaut", half_even(F.col("mean") * 100, 2))
         .orderBy("bucket")

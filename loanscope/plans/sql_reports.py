@@ -205,24 +205,31 @@ def _summary_rows(t: DataFrame) -> DataFrame:
 
 
 def summary(credits: DataFrame) -> DataFrame:
-    """The seven indicators in a single pass over the loans."""
-    return _summary_rows(S.grouped_totals(credits, _SUMMARY_SETS))
+    """The seven indicators in a single pass over the loans, which fills one row per sector and product."""
+    fine = S.totals(credits, "secteur_activite", "type_produit")
+    return _summary_rows(S.regrouped_totals(fine, _SUMMARY_SETS))
+
+
+# Fine segmentations of few segments each, from which every report follows.
+_FINE_SETS = (
+    ("secteur_activite", "type_produit", "garantie"),
+    ("tranche_revenu", "categorie", "categorie_cobac"),
+    ("ville",),
+)
 
 
 def all_reports(credits: DataFrame) -> dict[str, DataFrame]:
-    """All ten reports from one pass: the loans are aggregated once over every segmentation the reports use, the
-    totals (one row per segment) are written, and each report is a projection over that small table."""
+    """All ten reports from one pass: the loans are aggregated once over three fine segmentations, the totals (one row
+    per segment) are written, and each report sums up and projects rows of that small table."""
     computed = {k: v for r in REPORTS.values() for k, v in r.computed.items()}
-    key_sets = list(dict.fromkeys(r.keys for r in REPORTS.values()))
-    cube = staged(S.grouped_totals(_with(credits, computed), key_sets), "report_totals")
-    out = {name: r.finish(cube.filter(F.col("ensemble") == key_sets.index(r.keys))) for name, r in REPORTS.items()}
-    numbers = {key_sets.index(ks): i for i, ks in enumerate(_SUMMARY_SETS)}
-    renumbered = None
-    for number, i in numbers.items():
-        hit = F.col("ensemble") == number
-        renumbered = F.when(hit, i) if renumbered is None else renumbered.when(hit, i)
-    out[SUMMARY] = _summary_rows(
-        cube.filter(F.col("ensemble").isin(list(numbers))).withColumn("ensemble", renumbered))
+    cube = staged(S.grouped_totals(_with(credits, computed), _FINE_SETS), "report_totals")
+
+    def part(keys) -> DataFrame:
+        number = next(i for i, fine in enumerate(_FINE_SETS) if set(keys) <= set(fine))
+        return cube.filter(F.col("ensemble") == number)
+
+    out = {name: r.finish(S.retotalled(part(r.keys), *r.keys)) for name, r in REPORTS.items()}
+    out[SUMMARY] = _summary_rows(S.regrouped_totals(part(_SUMMARY_SETS[1] + _SUMMARY_SETS[2]), _SUMMARY_SETS))
     return out
 
 

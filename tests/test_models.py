@@ -155,6 +155,24 @@ def test_service_contract(spark, trained):
     assert len(info) == 10 and info.importance_pct.sum() == 0
 
 
+def test_one_client(spark, trained, credits):
+    known = credits.first().asDict()
+    one = Z.score_client(spark, known, trained.best)
+    same = Z.score_strict(credits, trained.best).filter(
+        (F.col("montant_credit_fcfa") == known["montant_credit_fcfa"])
+        & (F.col("revenu_mensuel_fcfa") == known["revenu_mensuel_fcfa"]) & (F.col("age") == known["age"])).first()
+    assert one["score"] == same.score and one["decision"] == same.decision
+    with pytest.raises(Exception, match="(?i)unseen|invalid"):
+        Z.score_client(spark, {**known, "garantie": "?"}, trained.best)
+
+
+def test_batch_result(spark, trained, raw):
+    batch = A.score_batch(raw.select([f.name for f in APPLICATION_SCHEMA.fields]), trained.best)
+    n = batch.total.first().total
+    assert n == batch.resultats.count() > 0
+    assert A.batch_summary(batch.resultats).agg(F.sum("total")).first()[0] == n
+
+
 def test_zones_partition_the_portfolio(credits):
     h = K.score_histogram(credits.withColumn("score", F.floor(F.rand(1) * 1001).cast("int")))
     z = K.zones(h).toPandas()
