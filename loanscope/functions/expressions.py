@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -41,6 +42,17 @@ def null_if_nan(c: str | Column) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
+def at_most(c: str | Column, bound: float) -> Column:
+    """c <= bound for a fractional bound. The whole-number test is implied by it; on an integer column only that one
+    can reach a file scan, since the exact test has to widen the column."""
+    return (col(c) <= F.lit(math.ceil(bound))) & (col(c) <= F.lit(bound))
+
+
+def below(c: str | Column, bound: float) -> Column:
+    """c < bound, with the same implied test."""
+    return (col(c) <= F.lit(math.ceil(bound))) & (col(c) < F.lit(bound))
+
+
 def banded(c: str | Column, bands: Bands) -> Column:
     """Right-closed banding; null outside the outermost edges."""
     c = col(c)

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.functions.expressions import banded, half_even, lookup
+from loanscope.functions.expressions import at_most, banded, half_even, lookup, null_if_nan
 from loanscope.functions.rules import debt_ratio
-from loanscope.operators.order_stats import quantile, quantiles
+from loanscope.operators.order_stats import SeriesSet, quantile, quantiles
 from loanscope.schemas import (
     AGE_BANDS,
     AMOUNT_BANDS,
@@ -50,7 +50,7 @@ def age_valid() -> Column:
 
 
 def _at_most(c: str, bound: float | None) -> Column:
-    return F.col(c) <= F.lit(bound) if bound is not None else F.lit(False)
+    return at_most(c, bound) if bound is not None else F.lit(False)
 
 
 def income_valid(t: Thresholds) -> Column:
@@ -117,21 +117,21 @@ def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = _numeric(df) if columns is None else columns
     if not columns:
         return df
-    gaps = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in columns]).first()
-    holed = [c for c in columns if gaps[c]]
-    if not holed:
-        return df
-    medians = quantiles(df, {c: [0.5] for c in holed})
+    search = SeriesSet(df, {c: None for c in columns})
+    extent = search.measure()  # counts, minima and maxima of all columns in one pass
+    holed = [c for c in columns if 0 < extent[c][0] < search.table_rows]
+    medians = quantiles(df, {c: [0.5] for c in holed}, extent={c: extent[c] for c in holed}) if holed else {}
     fills = {}
     for c in holed:
         m = medians[(c, 0.5)]
-        if m is None:
-            continue
         kind = df.schema[c].dataType
-        keep = isinstance(kind, T.IntegralType) and m == int(m)
-        fills[c] = F.coalesce(F.col(c), F.lit(int(m)).cast(kind)) if keep else F.coalesce(
-            F.col(c).cast("double"), F.lit(m))
-    return df.withColumns(fills)
+        if isinstance(kind, T.IntegralType):
+            whole = m == int(m)
+            fills[c] = F.coalesce(F.col(c), F.lit(int(m)).cast(kind)) if whole else F.coalesce(
+                F.col(c).cast("double"), F.lit(m))
+        else:
+            fills[c] = F.coalesce(null_if_nan(F.col(c).cast("double")), F.lit(m))
+    return df.withColumns(fills) if fills else df
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.expressions import null_if_nan
 
 BUCKETS = 4096
-SETTLE_ROWS = 20_000  # upper bound on the value counts brought to the driver in the last pass
+SETTLE_ROWS = 50_000  # upper bound on the value counts brought to the driver in the last pass
 
 
 @dataclass
@@ -69,15 +69,17 @@ class SeriesSet:
                 floating[name] = null_if_nan(c.cast("double"))
         self.groups: list[dict[str, Column]] = [g for g in (integral, floating) if g]
         self.extent: dict[str, tuple] = dict(extent or {})
+        self.table_rows: int | None = None
 
     def measure(self) -> dict[str, tuple]:
-        """(rows, min, max) of every series, one pass."""
+        """(rows, min, max) of every series, one pass; ``table_rows`` is the number of rows of the table."""
         if not self.extent:
-            aggs = []
+            aggs = [F.count(F.lit(1)).alias("rows")]
             names = [n for g in self.groups for n in g]
             for i, (_, c) in enumerate((n, c) for g in self.groups for n, c in g.items()):
                 aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
             row = self.df.agg(*aggs).first()
+            self.table_rows = row["rows"]
             self.extent = {n: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)}
         return self.extent
 
@@ -163,10 +165,11 @@ class SeriesSet:
 
 
 def quantiles(
-    df: DataFrame, probabilities: Mapping[str, Sequence[float]], series: Mapping[str, Column] | None = None
+    df: DataFrame, probabilities: Mapping[str, Sequence[float]], series: Mapping[str, Column] | None = None,
+    extent: Mapping[str, tuple] | None = None,
 ) -> dict[tuple[str, float], float | None]:
     """Exact linearly interpolated quantiles of columns or named expressions; None for an empty series."""
-    search = SeriesSet(df, {name: (series or {}).get(name) for name in probabilities})
+    search = SeriesSet(df, {name: (series or {}).get(name) for name in probabilities}, extent)
     extent = search.measure()
     wanted: dict[str, set[int]] = {}
     plan = {}

@@ -86,7 +86,7 @@ def loan_hash(seed: int = 42) -> Column:
     return row_hash([F.lit(seed), *IDENTITY, rate])
 
 
-def test_sizes(counts: Mapping[int, int], share: float) -> dict[int, int]:
+def stratified_sizes(counts: Mapping[int, int], share: float) -> dict[int, int]:
     """Rows per class in the test part: the total is rounded up, classes share it by largest remainder."""
     n = sum(counts.values())
     total = -int(-(n * share) // 1)
@@ -108,7 +108,7 @@ def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str =
     hashed = df.select(target, loan_hash(seed).alias("h"))
     counts = {r[target]: r["n"] for r in df.filter(F.col(target).isNotNull()).groupBy(target)
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    sizes = {c: k for c, k in test_sizes(counts, share).items() if k > 0}
+    sizes = {c: k for c, k in stratified_sizes(counts, share).items() if k > 0}
     series = {f"class{c}": F.when(F.col(target) == c, F.col("h")) for c in sizes}
     extent = {f"class{c}": (counts[c], *HASH_RANGE) for c in sizes}
     bounds = SeriesSet(hashed, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanscope.functions.expressions import HASH_RANGE, col, half_away, half_even, pct, rank_in
+from loanscope.functions.expressions import HASH_RANGE, below, col, half_away, half_even, pct, rank_in
 from loanscope.operators.order_stats import SeriesSet, not_after, pair_cuts, quantile
 from loanscope.schemas import LGD, TARGET
 
@@ -155,7 +155,7 @@ def histogram(df: DataFrame, c: str, bins: int = 50, below_quantile: float | Non
     """Equal-width histogram split by the default flag, over the values strictly below a quantile if one is given."""
     if below_quantile is not None:
         cut = quantile(df, c, below_quantile)
-        df = df.filter(F.col(c) < F.lit(cut)) if cut is not None else df.limit(0)
+        df = df.filter(below(c, cut)) if cut is not None else df.limit(0)
     n, low, high = SeriesSet(df, {c: None}).measure()[c]
     if n == 0:
         low, high = 0, 0

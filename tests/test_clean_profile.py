@@ -77,6 +77,11 @@ def test_imputation(spark):
     assert out.filter("text is null").count() == 1
 
 
+def test_imputation_takes_not_a_number_for_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (4.0,), (None,)], "x double")
+    assert sorted(r.x for r in C.impute_median(df).collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
 def test_duplicates_and_constants(spark):
     df = spark.createDataFrame([(1, "x", None)] * 3 + [(2, "x", None)], "a int, b string, c string")
     assert P.duplicates(df).first().asDict() == {"doublons": 2, "pourcentage": 50.0}

@@ -98,8 +98,8 @@ def test_split_is_exact_and_repeatable(credits):
 
 
 def test_split_sizes_by_largest_remainder():
-    assert Z.test_sizes({0: 10, 1: 3}, 0.25) == {0: 3, 1: 1}
-    assert Z.test_sizes({0: 7, 1: 0}, 0.5) == {0: 4, 1: 0}
+    assert Z.stratified_sizes({0: 10, 1: 3}, 0.25) == {0: 3, 1: 1}
+    assert Z.stratified_sizes({0: 7, 1: 0}, 0.5) == {0: 4, 1: 0}
 
 
 def test_class_weights(spark):
