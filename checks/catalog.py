@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import loans as L
+from loanscope.functions.expressions import lookup
 from loanscope.functions.rules import (
     class_by_arrears,
     classify_masks,
@@ -19,7 +21,6 @@ from loanscope.functions.rules import (
     score_rounded,
     score_truncated,
 )
-from loanscope.functions.expressions import lookup
 from loanscope.operators import calibrate as K
 from loanscope.operators import clean as C
 from loanscope.operators import derive as D
@@ -33,7 +34,7 @@ from loanscope.plans import eda as E
 from loanscope.plans import reporting as R
 from loanscope.plans import service as A
 from loanscope.plans import sql_reports as Q
-from loanscope.schemas import DECISIONS_V1, GRADES_V1, TARGET
+from loanscope.schemas import AGE_BANDS, DECISIONS_V1, GRADES_V1, INCOME_BANDS, TARGET
 from loanscope.session import shared_root
 from loanscope.sources import loans as IO
 
@@ -89,8 +90,8 @@ def _counted(df: DataFrame, *keys: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = L.loans_raw(spark, sf_dir)
-    path = f"{shared_root(spark)}/csv/{abs(hash(sf_dir))}"
-    L.once(spark, sf_dir, "csv", lambda: IO.write_csv(raw, path) or path)
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    IO.write_csv(raw, path)
     return IO.read_raw(spark, path)
 
 
@@ -325,7 +326,6 @@ def _mean9(df: DataFrame) -> DataFrame:
 
 
 def eda_decile_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    L.configure(spark)
     dated = L.cleaned(spark, sf_dir).dated
     return _mean9(S.decile_evolution(dated, F.unix_micros("date_octroi"), Z.loan_hash()))
 
@@ -388,14 +388,14 @@ def registered() -> dict[str, Query]:
         "feat_log": _on_credits(lambda c: c.select(
             "revenu_mensuel_fcfa", "montant_credit_fcfa", "revenu_log", "montant_log")),
         "clean_impute_median": clean_impute_median,
-        "clean_report": lambda spark, sf_dir: (L.configure(spark), L.cleaned(spark, sf_dir).report())[1],
+        "clean_report": lambda spark, sf_dir: L.cleaned(spark, sf_dir).report(),
         # exploratory tables
         "eda_global": _on_credits(lambda c: E.global_analysis(c).withColumn(
             "montant_moyen_fcfa", F.round("montant_moyen_fcfa", 4))),
-        "eda_rate_by_age": rate("tranche_age", S_AGE),
+        "eda_rate_by_age": rate("tranche_age", AGE_BANDS.labels),
         "eda_rate_by_sector": rate("secteur_activite"),
         "eda_rate_by_product": rate("type_produit"),
-        "eda_rate_by_income": rate("tranche_revenu", S_INCOME),
+        "eda_rate_by_income": rate("tranche_revenu", INCOME_BANDS.labels),
         "eda_rate_by_city": rate("ville"),
         "eda_rate_by_incident": _on_credits(lambda c: _mean9(E.by_incident(c))),
         "eda_rate_by_guarantee": rate("garantie"),
@@ -494,7 +494,3 @@ def registered() -> dict[str, Query]:
         "dash_top_segments": _dash(B.top_segments, DASH_ALL),
     }
     return q
-
-
-S_AGE = C.AGE_BANDS.labels
-S_INCOME = C.INCOME_BANDS.labels

@@ -35,7 +35,7 @@ def once(spark: SparkSession, sf_dir: str, what: str, build):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 SPREAD_BELOW = 5_000_000
@@ -130,10 +130,10 @@ def loans_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> CleanResult:
+    configure(spark)
     return once(spark, sf_dir, "clean",
                  lambda: clean(loans_raw(spark, sf_dir), product_risk=PRODUCT_WEIGHTS))
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     return cleaned(spark, sf_dir).credits
