@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-_fallback_roots: dict[str, str] = {}
-
 # Session settings every job relies on; all of them can be changed at run time.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,16 +33,30 @@ def build_session(app_name: str = "loanscope", **settings: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that every executor can reach: the cluster's setting, or a local one where none is set (tests)."""
-    root = spark.conf.get(CHECKPOINT_SETTING, None)
+    """Folder that every executor can reach: the cluster's setting, or one below the warehouse where none is set.
+
+    Without the setting, a warehouse on a local disk is accepted on a local master alone: on a cluster every executor would
+    write to a disk of its own.
+    """
     app = spark.sparkContext.applicationId
+    root = spark.conf.get(CHECKPOINT_SETTING, None)
     if root is None:
-        if app not in _fallback_roots:
-            _fallback_roots[app] = tempfile.mkdtemp(prefix="loanscope-")
-        root = _fallback_roots[app]
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+        check_reachable(root, spark.sparkContext.master)
     return f"{root.rstrip('/')}/loanscope/{app}"
 
 
+def check_reachable(root: str, master: str) -> None:
+    if root.startswith(("file:", "/")) and not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share; {root} is local to each machine")
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete what this application has staged; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Iterative estimators cut their lineage there."""
     context = spark.sparkContext

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from loanscope.session import configure  # noqa: E402
+from loanscope.session import configure, drop_shared  # noqa: E402
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -22,6 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    drop_shared(session)
     session.stop()
 
 
