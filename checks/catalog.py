@@ -40,8 +40,6 @@ from loanscope.sources import loans as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SMALL = Z.ModelSizes(logistic_iterations=50, forest_trees=20, forest_depth=6, boosted_rounds=8, boosted_depth=4,
-                     boosted_rate=0.2)
 CUTOFF = 0.35
 DASH = B.Filters(secteur="BUILDING", produit=B.ALL, defaut=B.ALL)
 DASH_ALL = B.Filters()
@@ -59,11 +57,8 @@ def with_surrogate(credits: DataFrame) -> DataFrame:
 
 
 def model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """One small forest shared by the queries that only need some fitted model."""
-    def fit():
-        credits = L.credits(spark, sf_dir)
-        return Z.fit_model(credits, Z.FOREST, Z.fit_encoders(credits), SMALL)
-    return L.once(spark, sf_dir, "model", fit)
+    """The forest of the comparison, shared by the queries that only need some fitted model."""
+    return _trained(spark, sf_dir, Z.FOREST).best
 
 
 def _on_credits(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -95,6 +90,18 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_raw(spark, path)
 
 
+def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines as loan CSV in which the texts of some fields are spoiled by rule; rejected lines per reason."""
+    path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    raw = L.loans_raw(spark, sf_dir)
+    spoiled = raw.withColumns({
+        "age": F.when(F.col("montant_credit_fcfa") % 13 == 0, F.lit("7.9")).otherwise(F.col("age").cast("string")),
+        "duree_mois": F.when(F.col("montant_credit_fcfa") % 17 == 0, F.lit("bad")).otherwise(F.col("duree_mois").cast("string")),
+        "nb_credits_en_cours": F.concat(F.col("nb_credits_en_cours").cast("string"), F.lit(".0"))})
+    IO.write_csv(spoiled, path)
+    return _counted(IO.rejected_csv(spark, path).select(F.array_join("bad_columns", ";").alias("colonnes")), "colonnes")
+
+
 def load_table_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Q.LoanTables(spark)
     tables.publish(L.credits(spark, sf_dir), "credits")
@@ -112,8 +119,7 @@ def derive_client_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_grant_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # position of the loan within a portfolio of the usual size
-    position = _order_number() % 32581
+    position = _order_number()
     return L.table(spark, sf_dir, "lineitem").select(
         position.alias("position"), D.grant_date(position).alias("date_octroi"))
 
@@ -217,7 +223,7 @@ def ml_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str, name: str) -> Z.TrainingResult:
     parts = L.once(spark, sf_dir, "split", lambda: Z.split_loans(L.credits(spark, sf_dir)))
-    return L.once(spark, sf_dir, f"trained {name}", lambda: Z.train_models(parts, (name,), SMALL))
+    return L.once(spark, sf_dir, f"trained {name}", lambda: Z.train_models(parts, (name,)))
 
 
 def _model_metrics(name: str) -> Query:
@@ -232,6 +238,45 @@ def _all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def ml_class_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = [_trained(spark, sf_dir, name).reports for name in Z.MODEL_NAMES]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+def ml_test_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every model's evaluation, whatever it has learned: rows and defaults of the test part from the
+    confusion cells and from the class report, and areas between 0 and 1."""
+    reports = ml_class_reports(spark, sf_dir).groupBy("modele").agg(
+        F.sum(F.when(F.col("classe").isin("0", "1"), F.col("support"))).cast("bigint").alias("nb_rapport"))
+    return _all_metrics(spark, sf_dir).join(reports, "modele").select(
+        "modele", (F.col("vrais_negatifs") + F.col("faux_positifs") + F.col("faux_negatifs") + F.col("vrais_positifs")).alias("nb_test"),
+        (F.col("faux_negatifs") + F.col("vrais_positifs")).alias("nb_defauts"), "nb_rapport",
+        (F.col("auc").between(0, 1) & F.col("avg_precision").between(0, 1)).alias("bornes_ok"))
+
+
+def ml_score_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans scored by the forest per sector, and how many scores do not follow from their probability."""
+    scored = K.score_portfolio(L.credits(spark, sf_dir), model(spark, sf_dir))
+    wrong = (F.col("score") != score_rounded("proba_defaut")) | ~F.col("proba_defaut").between(0, 1)
+    return scored.groupBy("secteur_activite").agg(F.count(F.lit(1)).alias("nb"), F.count_if(wrong).alias("nb_faux"))
+
+
+def serve_score_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications served, and how many grades or decisions do not follow from their score."""
+    served = serve_score(spark, sf_dir)
+    wrong = (F.col("categorie") != grade("score")) | (F.col("decision") != decision("score"))
+    return served.agg(F.count(F.lit(1)).alias("nb"), F.countDistinct("client_id").alias("nb_clients"),
+                      F.count_if(wrong).alias("nb_faux"))
+
+
+def ml_importance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of features, and whether their shares sum to 100 and fall."""
+    ranked = ml_importance(spark, sf_dir)
+    return ranked.agg(
+        F.count(F.lit(1)).alias("nb_features"), (F.abs(F.sum("importance_pct") - 100) < 0.5).alias("somme_ok"),
+        (F.min("importance") >= 0).alias("positif"))
+
+
 def ml_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.importance(_trained(spark, sf_dir, Z.FOREST).best, L.credits(spark, sf_dir))
 
@@ -339,15 +384,13 @@ def sql_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-GUARANTEES = ("AF", "AO", "NF", "NO", "RF", "RO")
-
-
 def registered() -> dict[str, Query]:
     rate = lambda key, order=None: _on_credits(
         lambda c: _mean9(S.segment_default_rate(c, key, order)))
     q: dict[str, Query] = {
         # sources
         "src_csv_roundtrip": csv_roundtrip,
+        "src_csv_rejected": csv_rejected,
         "load_table_count": load_table_count,
         "credits_clean": _on_credits(lambda c: c),
         # derivations
@@ -405,7 +448,7 @@ def registered() -> dict[str, Query]:
             "correlation", F.round("correlation", 6))),
         "eda_crosstab": _on_credits(lambda c: S.crosstab(c, "secteur_activite", "garantie").withColumn(
             TARGET, F.round(TARGET, 9))),
-        "eda_crosstab_wide": _on_credits(lambda c: S.crosstab_wide(c, "secteur_activite", "garantie", GUARANTEES)),
+        "eda_crosstab_wide": _on_credits(lambda c: S.crosstab_wide(c, "secteur_activite", "garantie")),
         "eda_decile_evolution": eda_decile_evolution,
         # portfolio reports
         "sql_kpi": _on_credits(lambda c: Q.report(c, "kpi_globaux")),
@@ -434,6 +477,11 @@ def registered() -> dict[str, Query]:
         "ml_gbt_metrics": _model_metrics(Z.BOOSTED),
         "ml_model_selection": lambda spark, sf_dir: Z.select_best(_all_metrics(spark, sf_dir)),
         "ml_importance": ml_importance,
+        "ml_class_reports": ml_class_reports,
+        "ml_test_facts": ml_test_facts,
+        "ml_score_facts": ml_score_facts,
+        "ml_importance_facts": ml_importance_facts,
+        "serve_score_facts": serve_score_facts,
         "metric_auc": metric_auc,
         "metric_average_precision": metric_average_precision,
         "metric_class_report": _on_surrogate(metric_class_report),

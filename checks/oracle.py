@@ -145,6 +145,11 @@ def _scored(sql: str, *more: str) -> str:
     return _credits(sql, _SURROGATE, *more)
 
 
+_SIZES = """per_class AS (SELECT defaut, count(*) AS c, sum(count(*)) OVER () AS n FROM credits GROUP BY 1),
+  exact AS (SELECT defaut, c * ceil(n * 0.25::DOUBLE) / n AS e, ceil(n * 0.25::DOUBLE) AS total FROM per_class),
+  sizes AS (SELECT defaut, floor(e) + (row_number() OVER (ORDER BY e - floor(e) DESC, defaut)
+    <= total - sum(floor(e)) OVER ())::INTEGER AS k FROM exact)"""
+
 # ---- recurring pieces --------------------------------------------------------------------------------------
 N = "count(*)"
 BAD = "sum(defaut)::BIGINT"
@@ -294,6 +299,10 @@ def statements() -> dict[str, str]:
     return {
         # sources
         "src_csv_roundtrip": _raw("SELECT * FROM raw"),
+        "src_csv_rejected": _raw("""SELECT colonnes, count(*) AS nb FROM (
+            SELECT concat_ws(';', CASE WHEN montant_credit_fcfa % 13 = 0 THEN 'age' END,
+              CASE WHEN montant_credit_fcfa % 17 = 0 THEN 'duree_mois' END) AS colonnes FROM raw
+            WHERE montant_credit_fcfa % 13 = 0 OR montant_credit_fcfa % 17 = 0) GROUP BY 1"""),
         "load_table_count": _credits("SELECT count(*) AS n FROM credits"),
         "credits_clean": _credits("SELECT * FROM credits"),
         # derivations
@@ -317,7 +326,7 @@ def statements() -> dict[str, str]:
           sum(montant_credit_fcfa)::BIGINT AS encours_fcfa, sum(provision_fcfa)::BIGINT AS provision_fcfa
           FROM raw GROUP BY 1"""),
         "derive_grant_date": """SELECT i AS position, TIMESTAMP '2022-01-01' + to_hours((i*3)::INTEGER) AS date_octroi
-          FROM (SELECT (l_orderkey*8 + l_linenumber) % 32581 AS i FROM lineitem)""",
+          FROM (SELECT l_orderkey*8 + l_linenumber AS i FROM lineitem)""",
         # profile
         "profile_shape": _raw("SELECT count(*) AS n_lignes, 20 AS n_colonnes FROM raw"),
         "profile_dtypes": _dtypes(),
@@ -485,10 +494,15 @@ def statements() -> dict[str, str]:
             sum(montant_credit_fcfa)::BIGINT AS encours FROM (
               SELECT defaut, montant_credit_fcfa, row_number() OVER (PARTITION BY defaut ORDER BY {LOAN_HASH}) AS r
               FROM credits) JOIN sizes USING (defaut) GROUP BY 1, 2""",
-            """per_class AS (SELECT defaut, count(*) AS c, sum(count(*)) OVER () AS n FROM credits GROUP BY 1),
-            exact AS (SELECT defaut, c * ceil(n * 0.25::DOUBLE) / n AS e, ceil(n * 0.25::DOUBLE) AS total FROM per_class),
-            sizes AS (SELECT defaut, floor(e) + (row_number() OVER (ORDER BY e - floor(e) DESC, defaut)
-              <= total - sum(floor(e)) OVER ())::INTEGER AS k FROM exact)"""),
+            _SIZES),
+        "ml_test_facts": _credits("""SELECT modele, (SELECT sum(k) FROM sizes)::BIGINT AS nb_test,
+            (SELECT k FROM sizes WHERE defaut = 1)::BIGINT AS nb_defauts, (SELECT sum(k) FROM sizes)::BIGINT AS nb_rapport,
+            true AS bornes_ok
+            FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting')) AS m(modele)""", _SIZES),
+        "ml_score_facts": _credits("SELECT secteur_activite, count(*) AS nb, 0::BIGINT AS nb_faux FROM credits GROUP BY 1"),
+        "ml_importance_facts": "SELECT 15::BIGINT AS nb_features, true AS somme_ok, true AS positif",
+        "serve_score_facts": _raw(f"""SELECT count(*) AS nb, count(DISTINCT client_id) AS nb_clients, 0::BIGINT AS nb_faux
+            FROM raw WHERE {_VIOLATIONS} = ''"""),
         "ml_class_weights": _credits("""SELECT defaut, count(*) AS nb,
             round((SELECT count(*) FROM credits)::DOUBLE / (2 * count(*)), 9) AS poids FROM credits GROUP BY 1"""),
         "metric_auc": _scored("""SELECT round(sum(neg * ((tp - pos) + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)::DOUBLE),

@@ -1,10 +1,15 @@
 """Exact order statistics without sorting the table and without gathering it.
 
-A rank is found by narrowing an interval that is known to contain it. Each step is one pass that counts rows per
-equal-width bucket of the interval: a grouped count with a map-side partial, so what moves is at most ``BUCKETS`` rows
-per task and per open interval, whatever the size or skew of the table. The bucket holding the rank, cut down to the
-smallest and largest value seen in it, is the next interval. Once the open intervals together hold few rows, their
-value counts (size checked) settle all ranks in one last pass. The result is the exact value, not an estimate.
+A rank is found by narrowing an interval that is known to contain it. Each step is one pass that counts rows per bucket of
+the interval: a grouped count with a map-side partial, so what moves is at most ``BUCKETS`` rows per task and per open
+interval, whatever the size or skew of the table. The bucket holding the rank, cut down to the smallest and largest value
+seen in it, is the next interval; a rank is settled when its interval is one value. There is one path for all sizes. The
+result is the exact value, not an estimate.
+
+The ends of an interval always fall in different buckets, so every pass narrows it (this is asserted). Buckets are equally
+wide; after a pass that left most rows together, the next one is wide on a logarithmic scale, which keeps the number of
+passes small for values of very different magnitude. Infinite values are counted apart and never bound an interval. What
+comes to the driver in a pass is ``BUCKETS`` rows for each open rank at most.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.expressions import null_if_nan
 
 BUCKETS = 4096
-SETTLE_ROWS = 50_000  # upper bound on the value counts brought to the driver in the last pass
+SMALLEST = 1e-300  # the logarithmic scale begins here; values below it share its first bucket
 
 
 @dataclass
@@ -41,6 +46,7 @@ class _Open:
     high: float | int
     below: int
     rows: int
+    log_scale: bool = False
 
 
 def _is_integral(df: DataFrame, c: Column) -> bool:
@@ -67,20 +73,28 @@ class SeriesSet:
                 integral[name] = c.cast("bigint")
             else:
                 floating[name] = null_if_nan(c.cast("double"))
+        self.floating = floating
         self.groups: list[dict[str, Column]] = [g for g in (integral, floating) if g]
+        self.infinite: dict[str, tuple[int, int]] = {}
         self.extent: dict[str, tuple] = dict(extent or {})
         self.table_rows: int | None = None
 
     def measure(self) -> dict[str, tuple]:
-        """(rows, min, max) of every series, one pass; ``table_rows`` is the number of rows of the table."""
+        """(rows, least, largest finite value) of every series, one pass; ``table_rows`` is the number of rows of the table."""
         if not self.extent:
             aggs = [F.count(F.lit(1)).alias("rows")]
             names = [n for g in self.groups for n in g]
             for i, (_, c) in enumerate((n, c) for g in self.groups for n, c in g.items()):
-                aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+                ends = [F.lit(0).alias(f"under{i}"), F.lit(0).alias(f"over{i}")]
+                finite = c
+                if i >= len(names) - len(self.floating):
+                    ends = [F.count_if(c == float("-inf")).alias(f"under{i}"), F.count_if(c == float("inf")).alias(f"over{i}")]
+                    finite = F.when(F.abs(c) < float("inf"), c)
+                aggs += [F.count(c).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"), *ends]
             row = self.df.agg(*aggs).first()
             self.table_rows = row["rows"]
             self.extent = {n: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)}
+            self.infinite = {n: (row[f"under{i}"] or 0, row[f"over{i}"] or 0) for i, n in enumerate(names)}
         return self.extent
 
     def values_at(self, ranks: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], RankedValue]:
@@ -94,68 +108,65 @@ class SeriesSet:
                 for rank in sorted(set(ranks.get(name, ()))):
                     if not 0 <= rank < rows:
                         raise ValueError(f"rank {rank} outside the {rows} rows of {name}")
-                    open_ranks.append(_Open(name, rank, low, high, 0, rows))
+                    under, over = self.infinite.get(name, (0, 0))
+                    if rank < under:
+                        found[(name, rank)] = RankedValue(-math.inf, 0, under)
+                    elif rank >= rows - over:
+                        found[(name, rank)] = RankedValue(math.inf, rows - over, over)
+                    else:
+                        open_ranks.append(_Open(name, rank, low, high, under, rows - under - over))
             while True:
                 for o in [o for o in open_ranks if o.low == o.high]:
                     found[(o.series, o.rank)] = RankedValue(o.low, o.below, o.rows)
                 open_ranks = [o for o in open_ranks if o.low != o.high]
                 if not open_ranks:
                     break
-                intervals = sorted({(o.series, o.low, o.high, o.rows) for o in open_ranks})
-                settle = sum(i[3] for i in intervals) <= SETTLE_ROWS
-                counts = self._count(group, [i[:3] for i in intervals], settle)
-                position = {i[:3]: k for k, i in enumerate(intervals)}
+                intervals = sorted({(o.series, o.low, o.high, o.log_scale) for o in open_ranks})
+                counts = self._count(group, intervals)
+                position = {i: k for k, i in enumerate(intervals)}
                 for o in open_ranks:
-                    self._narrow(o, counts[position[(o.series, o.low, o.high)]])
+                    self._narrow(o, counts[position[(o.series, o.low, o.high, o.log_scale)]])
         return found
 
     @staticmethod
     def _narrow(o: _Open, buckets: list[tuple]) -> None:
         """Move to the bucket that holds the rank; buckets are (rows, min, max) in ascending order."""
+        before = (o.low, o.high)
+        total = o.rows
         for rows, low, high in buckets:
             if o.rank < o.below + rows:
+                if (low, high) == before and len(buckets) == 1:
+                    # bounds given by the caller may be loose, values seen never are
+                    raise RuntimeError("a pass did not narrow its interval")
                 o.low, o.high, o.rows = low, high, rows
+                o.log_scale = isinstance(low, float) and not o.log_scale and 2 * rows > total
                 return
             o.below += rows
         raise RuntimeError("the table changed between two passes")
 
-    def _count(self, group, intervals, settle: bool) -> list[list[tuple]]:
-        """Per interval the (rows, min, max) of its buckets, or of its single values when settling."""
-        names = list(dict.fromkeys(name for name, _, _ in intervals))
+    def _count(self, group, intervals) -> list[list[tuple]]:
+        """Per interval the (rows, min, max) of its buckets."""
+        names = list(dict.fromkeys(i[0] for i in intervals))
         source = self.df
         if len(intervals) == 1 and names[0] in self.plain:
             # a range test on a stored column, so it reaches the file scan
-            _, low, high = intervals[0]
-            source = source.filter(F.col(names[0]).between(F.lit(low), F.lit(high)))
+            source = source.filter(F.col(names[0]).between(F.lit(intervals[0][1]), F.lit(intervals[0][2])))
         # every expression is evaluated once per row, whatever the number of its intervals
         source = source.select(*[group[name].alias(f"s{i}") for i, name in enumerate(names)])
         if len(intervals) == 1:
-            rows = source.select(F.lit(0).alias("k"), F.col("s0").alias("v"))
-            low, high = F.lit(intervals[0][1]), F.lit(intervals[0][2])
-        else:
-            # one row per interval; its bounds come from constant arrays, which keeps the generated code short
-            each = F.array(*[F.col(f"s{names.index(name)}") for name, _, _ in intervals])
-            rows = source.select(F.posexplode(each).alias("k", "v"))
-            low, high = (F.array(*[F.lit(i[side]) for i in intervals])[F.col("k")] for side in (1, 2))
-        v = F.col("v")
-        # monotone in v, 0 at low and BUCKETS - 1 at high, so every pass splits the interval
-        if isinstance(intervals[0][1], int):
-            share = (v - low).cast("double") / (high - low).cast("double")
+            v = F.col("s0")
+            inside = source.filter(v.between(F.lit(intervals[0][1]), F.lit(intervals[0][2])))
+            rows = inside.select(F.lit(0).alias("k"), v.alias("v"), bucket(v, *intervals[0][1:]).alias("b"))
         else:
-            # halved before subtracting so that the widest interval does not overflow
-            share = (v / 2 - low / 2) / (high / 2 - low / 2)
-        rows = rows.filter(v.between(low, high))
-        if not settle:
-            rows = rows.select("k", "v", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("b"))
-        if settle:
-            # at most SETTLE_ROWS rows lie inside the intervals
-            counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).select(
-                "k", "n", F.col("v").alias("lo"), F.col("v").alias("hi"))
-        else:
-            # at most BUCKETS rows per interval
-            counted = rows.groupBy("k", "b").agg(
-                F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-            ).select("k", "n", "lo", "hi")
+            # only the intervals that hold a row's values become rows
+            each = []
+            for k, (name, low, high, log_scale) in enumerate(intervals):
+                v = F.col(f"s{names.index(name)}")
+                entry = F.struct(F.lit(k).alias("k"), v.alias("v"), bucket(v, low, high, log_scale).alias("b"))
+                each.append(F.when(v.between(F.lit(low), F.lit(high)), entry))
+            rows = source.select(F.explode(F.array_compact(F.array(*each))).alias("e")).select("e.*")
+        counted = rows.groupBy("k", "b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).select("k", "n", "lo", "hi")
         out: list[list[tuple]] = [[] for _ in intervals]
         for r in counted.collect():
             out[r["k"]].append((r["n"], r["lo"], r["hi"]))
@@ -164,6 +175,35 @@ class SeriesSet:
         return out
 
 
+def bucket(v: Column, low: float | int, high: float | int, log_scale: bool = False) -> Column:
+    """Bucket of a value inside [low, high]: monotone in v, and different for low and high."""
+    if isinstance(low, int):
+        if high - low < 1 << 63:
+            width = (high - low) // BUCKETS + 1
+            return F.call_function("div", v - F.lit(low), F.lit(width)).cast("int")
+        # too wide for a difference of longs: steps of two
+        low, high = low >> 1, high >> 1
+        width = (high - low) // BUCKETS + 1
+        return F.call_function("div", F.shiftright(v, 1) - F.lit(low), F.lit(width)).cast("int")
+    if log_scale:
+        a, b = signed_log(low), signed_log(high)
+        if a < b:
+            scaled = F.signum(v) * F.log1p(F.least(F.abs(v) / F.lit(SMALLEST), F.lit(1.7e308)))
+            share = (scaled - F.lit(a)) / F.lit(b - a)
+            # the ends are set apart, as the other engine's logarithm may differ in the last bit
+            inner = F.greatest(F.lit(1), F.least(F.floor(share * (BUCKETS - 2)) + 1, F.lit(BUCKETS - 2)))
+            return F.when(v == F.lit(low), 0).when(v == F.lit(high), BUCKETS - 1).otherwise(inner).cast("int")
+    if math.isinf(high - low):
+        share = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+    else:
+        share = (v - F.lit(low)) / F.lit(high - low)
+    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
+def signed_log(x: float) -> float:
+    return math.copysign(math.log1p(min(abs(x) / SMALLEST, 1.7e308)), x)
+
+
 def quantiles(
     df: DataFrame, probabilities: Mapping[str, Sequence[float]], series: Mapping[str, Column] | None = None,
     extent: Mapping[str, tuple] | None = None,
@@ -192,7 +232,7 @@ def quantiles(
             continue
         low, high, weight = place
         a, b = float(values[(name, low)].value), float(values[(name, high)].value)
-        out[(name, p)] = a + (b - a) * weight
+        out[(name, p)] = a if a == b else a + (b - a) * weight
     return out
 
 

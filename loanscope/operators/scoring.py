@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -102,11 +103,11 @@ def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str =
     """Add ``is_test``: per class, exactly its share of the rows, those with the smallest hashes.
 
     The bound of a class is an order statistic of its hashes, so no class is sorted or gathered. Equal rows always
-    fall on the same side.
+    fall on the same side. A row without label belongs to neither part: its ``is_test`` is missing.
     """
-    # the hash is worked out once per row, in this projection
-    hashed = df.select(target, loan_hash(seed).alias("h"))
-    counts = {r[target]: r["n"] for r in df.filter(F.col(target).isNotNull()).groupBy(target)
+    # the hash is worked out once per row; the passes that follow read two stored columns
+    hashed = staged(df.select(target, loan_hash(seed).alias("h")), "split_hashes")
+    counts = {r[target]: r["n"] for r in hashed.filter(F.col(target).isNotNull()).groupBy(target)
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     sizes = {c: k for c, k in stratified_sizes(counts, share).items() if k > 0}
     series = {f"class{c}": F.when(F.col(target) == c, F.col("h")) for c in sizes}
@@ -115,7 +116,7 @@ def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str =
     bound = F.lit(-1)
     for c, k in sizes.items():
         bound = F.when(F.col(target) == c, F.lit(bounds[(f"class{c}", k - 1)].value)).otherwise(bound)
-    return df.withColumn("is_test", loan_hash(seed) <= bound)
+    return df.withColumn("is_test", F.when(F.col(target).isNotNull(), loan_hash(seed) <= bound))
 
 
 def class_weights(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -164,10 +165,12 @@ def _classifier_stages(name: str, n_train: int, sizes: ModelSizes) -> list:
         ]
     if name == FOREST:
         return [RandomForestClassifier(**common, numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth,
-                                       featureSubsetStrategy="sqrt", seed=sizes.seed)]
+                                       featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
+                                       checkpointInterval=10, seed=sizes.seed)]
     if name == BOOSTED:
         return [GBTClassifier(**common, maxIter=sizes.boosted_rounds, maxDepth=sizes.boosted_depth,
-                              stepSize=sizes.boosted_rate, checkpointInterval=10, seed=sizes.seed)]
+                              stepSize=sizes.boosted_rate, maxMemoryInMB=1024, checkpointInterval=10,
+                              seed=sizes.seed)]
     raise ValueError(f"unknown model {name}")
 
 
@@ -176,6 +179,7 @@ def fit_model(
 ) -> PipelineModel:
     """Fit one model on loans; the result also holds the encoding stages."""
     ensure_checkpoint_dir(train.sparkSession)
+    train = train.filter(F.col(TARGET).isNotNull())
     counts = {r[TARGET]: r["n"] for r in train.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
     if name == BOOSTED:
@@ -183,8 +187,9 @@ def fit_model(
     else:
         weights = {c: n / (len(counts) * k) for c, k in counts.items()}
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    prepared = assembler.transform(encode(train, encoders)).select(
-        "features", F.col(TARGET).cast("double").alias(TARGET), _weight_column(weights).alias("weight"))
+    # the estimators pass over their input many times: encode and assemble once
+    prepared = staged(assembler.transform(encode(train, encoders)).select(
+        "features", F.col(TARGET).cast("double").alias(TARGET), _weight_column(weights).alias("weight")), "training")
     fitted = Pipeline(stages=_classifier_stages(name, n, sizes)).fit(prepared)
     return PipelineModel([*encoders.stages, assembler, *fitted.stages])
 
@@ -195,13 +200,18 @@ def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     return out.select(*df.columns, "proba", F.col("prediction").cast("int").alias("prediction"))
 
 
-def evaluate(predictions: DataFrame, name: str) -> DataFrame:
-    """One row of test metrics. Predictions are written once: three aggregates read them."""
+def evaluate(predictions: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """One row of test metrics, and the class report (classes, accuracy, macro and weighted means).
+
+    Predictions are written once: four aggregates read them.
+    """
     kept = staged(predictions.select(F.col(TARGET).alias("label"), "proba", "prediction"), "predictions")
-    of_default = class_report(kept).filter("classe = '1'").select("precision", "recall", "f1_score")
+    report = staged(class_report(kept).select(F.lit(name).alias("modele"), "*"), "class_report")
+    of_default = report.filter("classe = '1'").select("precision", "recall", "f1_score")
     # three one-row aggregates
-    return ranking_metrics(kept, "proba").crossJoin(F.broadcast(of_default)).crossJoin(
+    metrics = ranking_metrics(kept, "proba").crossJoin(F.broadcast(of_default)).crossJoin(
         F.broadcast(confusion_counts(kept))).select(F.lit(name).alias("modele"), "*")
+    return metrics, report
 
 
 @dataclass(frozen=True)
@@ -209,6 +219,7 @@ class TrainingResult:
     models: dict[str, PipelineModel]
     metrics: DataFrame
     best_name: str
+    reports: DataFrame  # the class report of every model
 
     @property
     def best(self) -> PipelineModel:
@@ -216,8 +227,9 @@ class TrainingResult:
 
 
 def select_best(metrics: DataFrame) -> DataFrame:
-    """The model with the highest ROC area."""
-    return metrics.agg(F.max_by("modele", "auc").alias("meilleur_modele"), F.max("auc").alias("auc"))
+    """The model with the highest ROC area; of equal ones, the first in the order of training."""
+    place = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in MODEL_NAMES]), F.col("modele")), F.lit(0))
+    return metrics.agg(F.max_by("modele", F.struct("auc", -place)).alias("meilleur_modele"), F.max("auc").alias("auc"))
 
 
 @dataclass(frozen=True)
@@ -243,13 +255,11 @@ def train_models(
     """Fit and compare the models on one stratified split; encoders see the whole table."""
     parts = loans if isinstance(loans, SplitLoans) else split_loans(loans, share, sizes.seed)
     models = {name: fit_model(parts.train, name, parts.encoders, sizes) for name in names}
-    metrics = None
-    for name, model in models.items():
-        one = evaluate(predict(parts.test, model), name)
-        metrics = one if metrics is None else metrics.unionByName(one)
-    metrics = staged(metrics, "model_metrics")
+    results = [evaluate(predict(parts.test, model), name) for name, model in models.items()]
+    metrics = staged(reduce(DataFrame.unionByName, [m for m, _ in results]), "model_metrics")
+    reports = reduce(DataFrame.unionByName, [r for _, r in results])
     best = select_best(metrics).first()["meilleur_modele"]
-    return TrainingResult(models, metrics, best)
+    return TrainingResult(models, metrics, best, reports)
 
 
 def importance(model: PipelineModel, loans: DataFrame) -> DataFrame | None:
@@ -263,21 +273,24 @@ def importance(model: PipelineModel, loans: DataFrame) -> DataFrame | None:
         return None
     total = sum(values)
     spark = loans.sparkSession
-    rows = [(f, v, 100.0 * v / total if total else None) for f, v in zip(FEATURES, values)]
-    frame = spark.createDataFrame(rows, "feature string, importance double, importance_pct double")
+    rows = [(f, v, 100.0 * v / total if total else None, i) for i, (f, v) in enumerate(zip(FEATURES, values))]
+    frame = spark.createDataFrame(rows, "feature string, importance double, importance_pct double, place int")
     return frame.withColumn("importance_pct", half_even("importance_pct", 2)).orderBy(
-        F.desc("importance"), "feature")
+        F.desc("importance"), "place").drop("place")
 
 
 def model_info(model: PipelineModel, loans: DataFrame, top: int = 10) -> DataFrame:
-    """Type, number of features, and the leading importances in percent (zeros if the model has none)."""
+    """Type, number of features, and the leading importances in percent (zeros if the model has none).
+
+    Features are ranked by the importance itself, equal ones in feature order; only then is it rounded.
+    """
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else [0.0] * len(FEATURES)
-    rows = [(type(last).__name__, len(FEATURES), f, 100.0 * float(v)) for f, v in zip(FEATURES, values)]
+    rows = [(type(last).__name__, len(FEATURES), f, 100.0 * float(v), i) for i, (f, v) in enumerate(zip(FEATURES, values))]
     frame = loans.sparkSession.createDataFrame(
-        rows, "type_modele string, nb_features int, feature string, importance_pct double")
-    return frame.withColumn("importance_pct", half_even("importance_pct", 2)).orderBy(
-        F.desc("importance_pct"), "feature").limit(top)
+        rows, "type_modele string, nb_features int, feature string, importance_pct double, place int")
+    return frame.orderBy(F.desc("importance_pct"), "place").limit(top).withColumn(
+        "importance_pct", half_even("importance_pct", 2)).drop("place")
 
 
 # ---- scoring -----------------------------------------------------------------------------------------------

@@ -144,10 +144,17 @@ def crosstab(df: DataFrame, first: str, second: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, first: str, second: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The same as a matrix: one row per first category, one column per second category.
 
-    The pivot works on the pair totals, so the loans are aggregated once and before any widening.
+    The pivot works on the pair totals, so the loans are aggregated once and before any widening. Without ``columns``
+    the values are those of the table (Spark refuses more than ``spark.sql.pivotMaxValues``); with them, a value that
+    has no column is an error.
     """
     pairs = crosstab(df, first, second)
-    pivot = pairs.groupBy(first).pivot(second, list(columns)) if columns else pairs.groupBy(first).pivot(second)
+    if columns:
+        known = F.col(second).isin(list(columns))
+        unknown = F.raise_error(F.concat(F.lit(f"{second} has a value without a column: "), F.col(second)))
+        pivot = pairs.withColumn(second, F.when(known, F.col(second)).otherwise(unknown)).groupBy(first).pivot(second, list(columns))
+    else:
+        pivot = pairs.groupBy(first).pivot(second)
     return pivot.agg(F.first("taux_defaut"))
 
 

@@ -29,13 +29,14 @@ def kpis(credits: DataFrame) -> DataFrame:
 
 def sector_table(credits: DataFrame) -> DataFrame:
     """Sectors by falling default rate, each with its own exposure."""
-    return S.totals(S.without_missing(credits, "secteur_activite"), "secteur_activite").select(
+    return S.totals(S.without_missing(credits, "secteur_activite"), "secteur_activite").orderBy(
+        S.mean_default().desc_nulls_last(), "secteur_activite").select(
         "secteur_activite",
         F.col("n_cible").alias("nb_prets"),
         "nb_defauts",
         S.rate_mean().alias("taux"),
         half_even(F.col("encours").cast("double") / 1e6, 1).alias("exposition_millions"),
-    ).orderBy(F.desc_nulls_last("taux"), "secteur_activite")
+    )
 
 
 def sector_extremes(credits: DataFrame) -> DataFrame:
@@ -53,12 +54,13 @@ def sector_extremes(credits: DataFrame) -> DataFrame:
 
 
 def product_table(credits: DataFrame) -> DataFrame:
-    return S.totals(S.without_missing(credits, "type_produit"), "type_produit").select(
+    return S.totals(S.without_missing(credits, "type_produit"), "type_produit").orderBy(
+        S.mean_default().desc_nulls_last(), "type_produit").select(
         "type_produit",
         F.col("n_cible").alias("nb_prets"),
         "nb_defauts",
         S.rate_mean().alias("taux"),
-    ).orderBy(F.desc_nulls_last("taux"), "type_produit")
+    )
 
 
 def _by_mask_class(credits: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where the join is followed by another exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows that go to Python at a time: long texts come in batches that two workers of an executor can hold
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from loanscope.functions.expressions import null_if_nan
 from loanscope.schemas import CLEAN_SCHEMA, RAW_SCHEMA
 
-TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+MISSING_TEXTS = ("", "NaN", "nan")
+CORRUPT = "_corrupt_record"
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -18,23 +20,45 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.withColumns({c: null_if_nan(c) for c in doubles}) if doubles else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV with header. Whole-number texts such as ``600000.0`` are accepted in integer columns.
+def parse_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """All lines of a CSV with header: the columns of ``schema``, ``bad_columns`` and ``line``.
 
-    Integer columns are parsed as DOUBLE first, because a table written by a tool that holds them as floats spells
-    them with a decimal point.
+    Nothing is converted by way of another type. Texts of whole numbers such as ``600000.0`` are accepted in integer
+    columns. A field that does not hold its type is named in ``bad_columns``; a line with too few or too many fields names
+    all of them. ``line`` is the text of such a line as it was split.
     """
-    lenient = T.StructType([
-        T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.IntegralType) else f.dataType, True)
-        for f in schema.fields
-    ])
-    df = spark.read.schema(lenient).option("header", True).option("timestampFormat", TIMESTAMP_TEXT).option(
-        "encoding", "UTF-8").csv(path)
-    df = normalised(df)
-    return df.select(*[
-        F.col(f.name).cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.IntegralType) else F.col(f.name)
-        for f in schema.fields
-    ])
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
+    df = spark.read.schema(texts).options(header=True, encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+                                          enforceSchema=True).csv(path)
+    values, bad = [], []
+    for f in schema.fields:
+        text = F.trim(F.col(f.name))
+        missing = F.col(f.name).isNull() | text.isin(*MISSING_TEXTS)
+        if isinstance(f.dataType, T.StringType):
+            values.append(F.col(f.name))
+            continue
+        if isinstance(f.dataType, T.IntegralType):
+            value = F.when(text.rlike(r"^[+-]?\d+(\.0*)?$"), F.regexp_replace(text, r"\..*$", "").try_cast(f.dataType))
+        else:
+            value = text.try_cast(f.dataType)
+        values.append(F.when(~missing, value).alias(f.name))
+        bad.append(F.when(~missing & value.isNull(), F.lit(f.name)))
+    whole = F.array(*[F.lit(f.name) for f in schema.fields])
+    fields = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    broken = F.when(F.col(CORRUPT).isNotNull(), whole).otherwise(fields)
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(f.name), F.lit("")) for f in schema.fields]))
+    out = df.select(*values, broken.alias("bad_columns"), F.when(F.size(broken) > 0, line).alias("line"))
+    return normalised(out)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """The lines that hold their types; ``rejected_csv`` has the others."""
+    return parse_csv(spark, path, schema).filter(F.size("bad_columns") == 0).select(*schema.names)
+
+
+def rejected_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """Lines that were set aside: line, bad_columns."""
+    return parse_csv(spark, path, schema).filter(F.size("bad_columns") > 0).select("line", "bad_columns")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

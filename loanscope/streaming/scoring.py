@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loanscope.operators.validate import with_violations
 from loanscope.plans.service import score_applications
 from loanscope.schemas import APPLICATION_SCHEMA
+from loanscope.sources.loans import CORRUPT
 
 
 def read_applications(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Applications arriving as JSON lines in a folder."""
-    reader = spark.readStream.schema(APPLICATION_SCHEMA)
+    """Applications arriving as JSON lines in a folder; the text of a line that cannot be read is in ``_corrupt_record``."""
+    schema = T.StructType([*APPLICATION_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
@@ -24,8 +28,13 @@ def start_scoring(
     available_now: bool = False,
 ) -> tuple[StreamingQuery, StreamingQuery]:
     """Two append-only queries with their own checkpoints, so that a restart neither loses nor repeats a row."""
-    scored = score_applications(applications, model)
-    rejected = with_violations(applications).filter("size(violations) > 0")
+    readable = applications
+    broken = F.lit(False)
+    if CORRUPT in applications.columns:
+        broken = F.col(CORRUPT).isNotNull()
+        readable = applications.filter(~broken).drop(CORRUPT)
+    scored = score_applications(readable, model)
+    rejected = with_violations(applications).filter(broken | (F.size("violations") > 0))
     queries = []
     for name, df, path in (("scored", scored, scored_path), ("rejected", rejected, rejected_path)):
         writer = df.writeStream.format("parquet").outputMode("append").option(

@@ -29,7 +29,6 @@ def _cases():
 def test_quantiles_match_numpy(spark, monkeypatch, name, small_steps):
     if small_steps:  # force narrowing over many passes
         monkeypatch.setattr(O, "BUCKETS", 8)
-        monkeypatch.setattr(O, "SETTLE_ROWS", 4)
     values = _cases()[name]
     kind = "bigint" if isinstance(values[0], int) else "double"
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], f"x {kind}").repartition(3)
@@ -68,3 +67,28 @@ def test_decile_buckets_match_a_full_sort(spark):
     cuts = O.pair_cuts(df, "pos", "h", lambda rows: [0, 400, rows - 1], HASH_RANGE)
     ordered = sorted((r[1], r[2]) for r in rows)
     assert cuts == [ordered[0], ordered[400], ordered[-1]]
+
+
+SHAPES = {
+    "infinite": ("double", lambda n: [float("inf"), float("-inf")] + [i * 0.5 for i in range(n - 2)]),
+    "signed zeros": ("double", lambda n: [0.0, -0.0] * (n // 4) + [float(i % 50) for i in range(n // 2)]),
+    "subnormal": ("double", lambda n: [5e-324 * (i % 40) for i in range(n)] + [0.0, 1e-310]),
+    "magnitudes": ("double", lambda n: [10.0 ** (i % 600 - 300) for i in range(n)] + [-1e308, 1e308]),
+    "full range": ("bigint", lambda n: [-2**63, 2**63 - 1] + [(i * 2654435761) % 2**40 for i in range(n - 2)]),
+    "one hot value": ("bigint", lambda n: [7] * (n - n // 3) + list(range(n // 3))),
+}
+
+
+@pytest.mark.parametrize("rows", [100, 60_000])
+@pytest.mark.parametrize("name", SHAPES)
+def test_extreme_values_at_every_size(spark, name, rows):
+    kind, build = SHAPES[name]
+    values = sorted(build(rows))
+    df = spark.createDataFrame([(v,) for v in values], f"x {kind}").repartition(4)
+    ranks = sorted({0, 1, len(values) // 3, len(values) // 2, len(values) - 2, len(values) - 1})
+    got = O.SeriesSet(df, {"x": None}).values_at({"x": ranks})
+    for rank in ranks:
+        hit = got[("x", rank)]
+        assert hit.value == values[rank]
+        assert hit.below <= rank < hit.below + hit.rows
+        assert hit.rows == sum(1 for v in values if v == hit.value)
