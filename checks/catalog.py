@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import loans as L
-from loanscope.functions.expressions import lookup
 from loanscope.functions.rules import (
     class_by_arrears,
     classify_masks,
@@ -137,7 +136,7 @@ def derive_product_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_sector_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = L.loans_base(spark, sf_dir)
-    return _counted(base.withColumn("risque_secteur", lookup("secteur_activite", L.SECTOR_WEIGHTS)),
+    return _counted(base.withColumn("risque_secteur", D.sector_risk(L.SECTOR_WEIGHTS)),
                     "secteur_activite", "risque_secteur")
 
 

@@ -5,7 +5,19 @@ They use the engine's own quantiles, ranks and joins, so they share no method wi
 
 from __future__ import annotations
 
-from loanscope.schemas import DECISIONS_V1, DECISIONS_V2, GRADES_V1, GRADES_V2, RECOMMENDATIONS
+# ---- fixed values, written out here so that a wrong constant of the package shows ------------------------------
+GRADES_V1 = ((800, "A - Excellent"), (650, "B - Bon"), (500, "C - Moyen"), (350, "D - Risqué"), (None, "E - Très risqué"))
+GRADES_V2 = ((800, "A - Excellent"), (700, "B - Bon"), (587, "C - Moyen"), (400, "D - Risqué"), (None, "E - Très risqué"))
+DECISIONS_V1 = ((650, "ACCEPTÉ"), (500, "À EXAMINER"), (None, "REFUSÉ"))
+DECISIONS_V2 = ((724, "ACCEPTÉ"), (587, "À EXAMINER"), (None, "REFUSÉ"))
+RECOMMENDATIONS = {
+    "ACCEPTÉ": "Client éligible. Taux de défaut observé sur ce segment : 2,7%. "
+               "Procéder à l'octroi selon les conditions standards.",
+    "À EXAMINER": "Dossier à examiner par le comité. Taux de défaut observé : 9,7%. "
+                  "Vérifier les garanties et l'historique relationnel.",
+    "REFUSÉ": "Profil à risque élevé. Taux de défaut observé : 58,8%. "
+              "Refus recommandé ou demande de garanties exceptionnelles.",
+}
 
 # ---- loans over the given tables ---------------------------------------------------------------------------
 _LOANS = """
@@ -555,9 +567,9 @@ def statements() -> dict[str, str]:
             {RATE_EVEN} AS taux, round_even({EXPOSURE}::DOUBLE/1e6, 1) AS exposition_millions
             FROM credits WHERE secteur_activite IS NOT NULL GROUP BY 1"""),
         "report_sector_extremes": _credits("""SELECT w.k AS secteur_plus_risque, w.t AS taux_plus_eleve,
-            b.k AS secteur_moins_risque, b.t AS taux_plus_faible, 'Constat : le secteur ' || w.k ||
-            ' présente le taux de défaut le plus élevé (' || printf('%.2f', w.t) || '%), contre ' ||
-            printf('%.2f', b.t) || '% pour le secteur le moins risqué (' || b.k || ').' AS constat
+            b.k AS secteur_moins_risque, b.t AS taux_plus_faible, w.k ||
+            ' est le secteur où les défauts sont les plus fréquents : ' || printf('%.2f', w.t) || '% des prêts. ' || b.k ||
+            ' en compte le moins : ' || printf('%.2f', b.t) || '%.' AS constat
             FROM (SELECT * FROM s ORDER BY m DESC, k LIMIT 1) w, (SELECT * FROM s ORDER BY m, k DESC LIMIT 1) b""",
             f"s AS (SELECT secteur_activite AS k, {MEAN} AS m, {RATE_EVEN} AS t FROM credits GROUP BY 1)"),
         "report_product": _credits(_sheet("type_produit", "taux")),
@@ -582,10 +594,9 @@ def statements() -> dict[str, str]:
             {RATE_EVEN} AS taux_defaut_pct FROM credits GROUP BY 1"""),
         "report_text_rows": _credits(_union([
             "SELECT 1 AS ordre, 'Date du rapport' AS indicateur, '31/03/2024' AS valeur",
-            """SELECT 2, 'Synthèse', 'Le portefeuille analysé comprend ' || format('{:,}', total_prets) ||
-              ' crédits pour un encours total de ' || printf('%.2f', encours::DOUBLE/1e9) ||
-              ' milliards FCFA. Le taux de défaut observé s''élève à ' || taux::VARCHAR || '%, représentant ' ||
-              format('{:,}', nb_defauts) || ' dossiers pour un encours en défaut de ' ||
+            """SELECT 2, 'Synthèse', format('{:,}', total_prets) || ' prêts sont suivis ; leur encours est de ' ||
+              printf('%.2f', encours::DOUBLE/1e9) || ' milliards FCFA. Parmi eux, ' || format('{:,}', nb_defauts) ||
+              ' sont en défaut (taux : ' || taux::VARCHAR || '%), avec un encours de ' ||
               printf('%.2f', perdu::DOUBLE/1e9) || ' milliards FCFA.' FROM k""",
             "SELECT 3, 'Total prêts', format('{:,}', total_prets) FROM k",
             "SELECT 4, 'Taux de défaut global', taux::VARCHAR || ' %' FROM k",

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from loanscope.functions.expressions import col
 from loanscope.session import staged
 
-RANGE_ERROR = 0.001
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -68,7 +67,8 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 def _ranges(df: DataFrame, c: str) -> list[float]:
     """Bounds that cut the distinct values of a column into about equal parts, one per shuffle partition."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inner = sorted(set(df.approxQuantile(c, [i / parts for i in range(1, parts)], RANGE_ERROR)))
+    # the error allowed is a tenth of a range, however many ranges there are
+    inner = sorted(set(df.approxQuantile(c, [i / parts for i in range(1, parts)], 0.1 / parts)))
     return [-math.inf, *inner, math.inf]
 
 

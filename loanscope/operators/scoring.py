@@ -26,6 +26,7 @@ from loanscope.schemas import CATEGORICAL, CLEAN_SCHEMA, DECISIONS_V1, GRADES_V1
 from loanscope.session import ensure_checkpoint_dir, staged
 
 FEATURES = NUMERIC_FEATURES + [f"{c}_enc" for c in CATEGORICAL]
+MAX_LABELS = 100_000
 MISSING_LABEL = "nan"  # a missing category is a category of its own
 
 
@@ -44,8 +45,15 @@ def _codes_sql(sizes: Mapping[str, int]) -> str:
 
 
 def fit_encoders(df: DataFrame) -> PipelineModel:
-    """Integer codes in label order for the five categorical columns; unseen labels get -1."""
+    """Integer codes in label order for the five categorical columns; unseen labels get -1.
+
+    The labels become part of the model, so their number is checked before they come to the driver.
+    """
     labelled = SQLTransformer(statement=_labels_sql())
+    sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL]).first().asDict()
+    wide = {c: n for c, n in sketch.items() if n > MAX_LABELS}
+    if wide:
+        raise ValueError(f"more than {MAX_LABELS} labels: {wide}")
     indexer = StringIndexer(
         inputCols=[f"{c}_label" for c in CATEGORICAL], outputCols=[f"{c}_index" for c in CATEGORICAL],
         stringOrderType="alphabetAsc", handleInvalid="keep",

@@ -45,8 +45,8 @@ def sector_extremes(credits: DataFrame) -> DataFrame:
     entry = F.struct((-S.mean_default()).alias("m"), F.col("secteur_activite").alias("k"), S.rate_mean().alias("t"))
     found = by_sector.agg(F.min(entry).alias("worst"), F.max(entry).alias("best"))
     text = F.format_string(
-        "Constat : le secteur %s présente le taux de défaut le plus élevé (%.2f%%), contre %.2f%% pour le secteur "
-        "le moins risqué (%s).", F.col("worst.k"), F.col("worst.t"), F.col("best.t"), F.col("best.k"))
+        "%s est le secteur où les défauts sont les plus fréquents : %.2f%% des prêts. %s en compte le moins : %.2f%%.",
+        F.col("worst.k"), F.col("worst.t"), F.col("best.k"), F.col("best.t"))
     return found.select(
         F.col("worst.k").alias("secteur_plus_risque"), F.col("worst.t").alias("taux_plus_eleve"),
         F.col("best.k").alias("secteur_moins_risque"), F.col("best.t").alias("taux_plus_faible"),
@@ -146,11 +146,9 @@ def text_rows(credits: DataFrame, report_date: str | None = None) -> DataFrame:
     billions = lambda c: F.format_string("%.2f", F.col(c).cast("double") / 1e9)
     rate = decimal_text("taux_defaut", 2)
     sentence = F.concat(
-        F.lit("Le portefeuille analysé comprend "), thousands("total_prets"),
-        F.lit(" crédits pour un encours total de "), billions("encours_total_fcfa"),
-        F.lit(" milliards FCFA. Le taux de défaut observé s'élève à "), rate,
-        F.lit("%, représentant "), thousands("nb_defauts"),
-        F.lit(" dossiers pour un encours en défaut de "), billions("encours_defaut_fcfa"), F.lit(" milliards FCFA."))
+        thousands("total_prets"), F.lit(" prêts sont suivis ; leur encours est de "), billions("encours_total_fcfa"),
+        F.lit(" milliards FCFA. Parmi eux, "), thousands("nb_defauts"), F.lit(" sont en défaut (taux : "), rate,
+        F.lit("%), avec un encours de "), billions("encours_defaut_fcfa"), F.lit(" milliards FCFA."))
     rows = [
         ("Synthèse", sentence),
         ("Total prêts", thousands("total_prets")),

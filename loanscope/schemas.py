@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import types as T
 
+# ---- fixed values: column names, their order and types ------------------------------------------------------
 CATEGORICAL = ["ville", "secteur_activite", "type_emploi", "type_produit", "garantie"]
 
 NUMERIC_FEATURES = [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loanscope.functions import expressions as X
 from loanscope.functions import rules as R
 from loanscope.operators import derive as D
-from loanscope.schemas import AGE_BANDS, AMOUNT_BANDS, DECISIONS_V1, GRADES_V1, INCOME_BANDS, PRODUCT_RISK
+from loanscope.schemas import AGE_BANDS, AMOUNT_BANDS, DECISIONS_V1, GRADES_V1, INCOME_BANDS, PRODUCT_RISK, SECTOR_RISK
 
 
 def column(spark, values, kind, expr):
@@ -120,3 +120,17 @@ def test_row_hash_tells_missing_from_text(spark):
 @pytest.mark.parametrize("digits,expected", [(0, 2.0), (1, 2.5)])
 def test_half_even(spark, digits, expected):
     assert spark.range(1).select(X.half_even(F.lit(2.5), digits)).first()[0] == expected
+
+
+def test_every_risk_weight(spark):
+    expected_products = {"Crédit consommation": 0.25, "Crédit immobilier": 0.10, "Crédit PME": 0.30, "Découvert": 0.20,
+                         "Crédit auto": 0.15, "Crédit scolaire": 0.12, "Microfinance": 0.35}
+    expected_sectors = {"Commerce": 0.20, "BTP": 0.28, "Services": 0.15, "Agriculture": 0.30, "Transport": 0.22, "Industrie": 0.14,
+                        "Pétrole & Gaz": 0.10, "Fonction publique": 0.05, "Santé": 0.12, "Éducation": 0.08}
+    for expected, table, column, operator in (
+            (expected_products, PRODUCT_RISK, "type_produit", D.product_risk),
+            (expected_sectors, SECTOR_RISK, "secteur_activite", D.sector_risk)):
+        assert set(table) == set(expected)
+        rows = spark.createDataFrame([(k,) for k in [*expected, "unknown", None]], f"{column} string")
+        got = {r[0]: r[1] for r in rows.select(column, operator()).collect()}
+        assert got == expected | {"unknown": None, None: None}

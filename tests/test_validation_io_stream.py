@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanscope.operators import scoring as Z
 from loanscope.operators import validate as V
 from loanscope.schemas import APPLICATION_SCHEMA, RAW_SCHEMA
 from loanscope.sources import loans as IO
+from loanscope.sources.loans import CORRUPT
 from loanscope.streaming import scoring as ST
 
 GOOD = {
@@ -108,3 +110,39 @@ def test_streaming_scores_equal_batch_scores(spark, credits, tmp_path):
     assert got.select(cols).exceptAll(expected).count() == 0
     assert got.count() == expected.count() == len(KEPT) + 1
     assert spark.read.parquet(f"{out}/rejected").count() == len(BROKEN) + 1
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("k", T.IntegerType()),
+                           T.StructField("x", T.DoubleType()), T.StructField("t", T.TimestampType()), T.StructField("s", T.StringType())])
+    lines = ["9007199254740993,7,0.1,2022-01-01 03:00:00.123456,a", "9007199254740993.0,7.00,1e3,2022-01-01,b", "1,7.9,1,2022-01-01,c",
+             "1,2,bad,2022-01-01,d", "1,2,3,yesterday,e", "99999999999999999999,2,3,2022-01-01,f", "1,2", ",NaN,,,", "1,3000000000,1,2022-01-01,g"]
+    folder = tmp_path / "exact"
+    folder.mkdir()
+    (folder / "a.csv").write_text("n,k,x,t,s\n" + "\n".join(lines) + "\n")
+    good = {r.s: r for r in IO.read_csv(spark, str(folder), schema).collect()}
+    assert set(good) == {"a", "b", None}
+    assert good["a"].n == good["b"].n == 9007199254740993 and good["a"].t.microsecond == 123456 and good["b"].x == 1000.0
+    rejected = {r.line: r.bad_columns for r in IO.rejected_csv(spark, str(folder), schema).collect()}
+    assert {v[0] for k, v in rejected.items() if k != "1,2"} == {"k", "x", "t", "n"} and len(rejected) == 6
+    assert len(rejected["1,2"]) == 5
+    IO.write_csv(IO.read_csv(spark, str(folder), schema), str(tmp_path / "again"))
+    assert {tuple(r) for r in IO.read_csv(spark, str(tmp_path / "again"), schema).collect()} == {tuple(r) for r in good.values()}
+
+
+def test_unreadable_stream_lines_are_kept(spark, tmp_path):
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"ville": "A", "age": 40}\n{"ville": "B", "age": \n')
+    query = ST.read_applications(spark, str(folder)).writeStream.format("memory").queryName("lines").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.ville: r[CORRUPT] for r in spark.table("lines").collect()} == {"A": None, None: '{"ville": "B", "age": '}
+
+
+def test_shared_folder_must_be_reachable():
+    from loanscope.session import check_reachable
+    check_reachable("file:/tmp/x", "local[8]")
+    check_reachable("hdfs://name/x", "spark://host:7077")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            check_reachable("file:/tmp/x", master)
