@@ -99,14 +99,14 @@ def pack_refs(keys: np.ndarray, text: np.ndarray, pos: np.ndarray) -> tuple[byte
     return keys[text[edges]].tobytes(), counts.astype(np.int32).tobytes(), pos.astype(np.int32).tobytes()
 
 
-def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions whose hash occurs again, by row key."""
+def answer(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Positions whose hash occurs again, packed by bucket of their row key."""
     held: list[tuple] = []
     for batch in batches:
         for keys, hashes, more, at, pos in zip(*(batch.column(c).to_pylist() for c in ("keys", "hashes", "more", "at", "pos"))):
             keys, at, pos = np.frombuffer(keys, np.int64), np.frombuffer(at, np.int32), np.frombuffer(pos, np.int32)
             if hashes is None:
-                yield found_rows(np.repeat(keys, at), pos)
+                yield dealt_back(np.repeat(keys, at), pos, parts)
             else:
                 held.append((np.repeat(keys, at), pos, np.frombuffer(hashes, np.uint64), None if more is None else np.frombuffer(more, np.uint32)))
     if not held:
@@ -122,22 +122,53 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again[1:] |= same
     again[:-1] |= same
     hit = order[again]
-    for k in range(0, len(hit), 1 << 20):
-        yield found_rows(key[hit[k : k + (1 << 20)]], pos[hit[k : k + (1 << 20)]])
+    if len(hit):
+        yield dealt_back(key[hit], pos[hit], parts)
 
 
-def found_rows(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def dealt_back(key: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
     order = np.lexsort((pos, key))
-    key, pos = key[order], pos[order].astype(np.int32)
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    ends = np.concatenate([edges[1:], [len(key)]]) if len(key) else edges
-    data = pos.tobytes()
-    return pa.record_batch({"key": pa.array(key[edges]), "pos": pa.array([data[4 * s : 4 * e] for s, e in zip(edges.tolist(), ends.tolist())], pa.binary())})
+    key, pos = key[order], pos[order]
+    dealt, edges = common.deal(key.view(np.uint64), parts)
+    key, pos = key[dealt], pos[dealt].astype(np.int32)
+    rows = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        k = key[edges[b] : edges[b + 1]]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        counts = np.diff(np.concatenate([first, [len(k)]])).astype(np.int32)
+        rows.append((b, k[first].tobytes(), counts.tobytes(), pos[edges[b] : edges[b + 1]].tobytes()))
+    columns = list(zip(*rows))
+    return pa.record_batch({"bucket": pa.array(columns[0], pa.int32())} | {
+        c: pa.array(columns[i], pa.binary()) for i, c in enumerate(("keys", "at", "pos"), 1)})
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per row key: all its positions, sorted; as many as the row has words at most."""
+    held = []
+    for batch in batches:
+        for keys, at, pos in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "pos"))):
+            held.append((np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(at, np.int32)), np.frombuffer(pos, np.int32)))
+    if not held:
+        return
+    key, pos = (np.concatenate([x[i] for x in held]) for i in range(2))
+    held.clear()
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])])
+    key, pos = key[new], pos[new]
+    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
+    for k in range(0, len(edges) - 1, 4096):
+        span = edges[k : k + 4097].tolist()
+        yield pa.record_batch({"key": pa.array(key[span[:-1]]),
+                               "found": pa.array([pos[s:e].tobytes() for s, e in zip(span[:-1], span[1:])], pa.binary())})
 
 
-def by_row(found: DataFrame, name: str) -> DataFrame:
-    """key, found: all positions of a row, packed; as many as the row has words at most."""
-    return staged(found.groupBy("key").agg(F.collect_list("pos").alias("found")), name)
+def asked_again(asked: DataFrame, name: str) -> DataFrame:
+    """key, found: the positions of each row whose hash occurs again. Only packed arrays are shuffled, by hash and then by row."""
+    parts = common.shuffle_parts(asked.sparkSession)
+    back = asked.repartitionById(parts, F.col("bucket")).mapInArrow(
+        lambda batches: answer(batches, parts), "bucket int, keys binary, at binary, pos binary")
+    return staged(back.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "key long, found binary"), name)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -180,17 +211,12 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield ask_rows(part.column("key").to_numpy(), text, pos, h, more, parts, turn() + n)
 
     texts = keyed(docs).select("key", "text")
-    found = (texts.mapInArrow(ask_anchors, ASK).repartitionById(parts, F.col("bucket")).mapInArrow(answer, "key long, pos binary"))
-    near = by_row(found, "repeated-anchors")
-    asked = texts.join(near, "key").select("key", "text", "found").mapInArrow(ask_windows, ASK)
-    found = asked.repartitionById(parts, F.col("bucket")).mapInArrow(answer, "key long, pos binary")
-    return by_row(found, "repeated-windows")
+    near = asked_again(texts.mapInArrow(ask_anchors, ASK), "repeated-anchors")
+    return asked_again(texts.join(near, "key").select("key", "text", "found").mapInArrow(ask_windows, ASK), "repeated-windows")
 
 
 def positions(found) -> np.ndarray:
-    """Positions of one row from its packed lists."""
-    lists = found.as_py() or []
-    return np.unique(np.frombuffer(b"".join(lists), np.int32)).astype(np.int64)
+    return np.frombuffer(found.as_py() or b"", np.int32).astype(np.int64)
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
