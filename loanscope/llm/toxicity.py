@@ -3,16 +3,17 @@
 Both dictionaries are trained on labelled text: one on ordinary text alone, one on ordinary text and on what only toxic text
 has (words of toxic documents that the ordinary sample lacks, most frequent last, where matches are cheapest). They share
 their ordinary part byte for byte, so a window of ordinary words is as long under either one, and a window with toxic
-words is shorter under the toxic one. Features of a document are made from the differences over all its windows (largest,
-sum of those beyond the noise, their share); a logistic curve over them, fitted on the training rows with the cut where
-training errors are balanced, gives the score.
+words is shorter under the toxic one. How much likelier a difference is in toxic texts than in ordinary ones is calibrated on
+training rows that the dictionaries have not seen; a document's features are the sum, the largest and the mean excess of these
+log ratios over all its windows, and the number of windows. A logistic curve over them, with the cut where training errors
+are fewest, gives the score.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of each class in the order of a hash, texts of at most
 ``SAMPLE_TEXT_BYTES``); scoring reads every whole text.
 
 Defined results: null and empty texts have no window and get the score of a text without differences; if no row of either
-class is labelled every score is 0; repeated rows score alike; language, source, label and id are no inputs; empty
-tables give an empty result.
+class is labelled every score is 0; repeated rows score alike; language, source, label and id are no inputs; rows
+with a null id are scored but never dropped; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ SAMPLE_TEXT_BYTES = 32 << 10
 SHARED_BYTES = 24 << 10
 TOXIC_BYTES = 24 << 10
 LEVEL = 13
-NOISE_QUANTILE = 0.999
-MAX_FEATURE = 12.0
+LEAST_SAVED, MOST_SAVED = -10, 14  # differences beyond these bytes count as these
+MAX_SUM = 20.0
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    noise: float
+    ratios: tuple[float, ...]  # log likelihood ratio of each difference from LEAST_SAVED to MOST_SAVED
     weights: tuple[float, ...]  # intercept first; empty where nothing could be fitted
 
 
@@ -96,28 +97,31 @@ def differences(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) ->
     low = common.LOWER[data]
     low = np.where(common.IS_SPACE[low], np.uint8(32), low)
     saved = (compressed_sizes(low, begin, end, model.ordinary) - compressed_sizes(low, begin, end, model.toxic))
-    return saved.astype(np.float64), text
+    return np.clip(saved, LEAST_SAVED, MOST_SAVED) - LEAST_SAVED, text
 
 
-def features(saved: np.ndarray, text: np.ndarray, n: int, noise: float) -> np.ndarray:
-    """Per text: largest difference, root of the sum beyond the noise, root of their share of the windows."""
-    result = np.zeros((n, 3))
+def features(saved: np.ndarray, text: np.ndarray, n: int, ratios: tuple[float, ...]) -> np.ndarray:
+    """Per text: sum and largest of the log ratios, root of their mean excess, log of the number of windows."""
+    result = np.zeros((n, 4))
     if len(saved):
+        ratio = np.array(ratios)[saved]
         edges = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-        at = text[edges]
-        over = np.maximum(saved - noise, 0.0)
-        total = np.add.reduceat(over, edges)
         size = np.diff(np.concatenate([edges, [len(text)]]))
-        result[at, 0] = np.clip(np.maximum.reduceat(saved, edges), 0, MAX_FEATURE)
-        result[at, 1] = np.minimum(np.sqrt(total), MAX_FEATURE)
-        result[at, 2] = np.minimum(np.sqrt(total / size), MAX_FEATURE)
+        result[text[edges]] = np.stack([
+            np.clip(np.add.reduceat(ratio, edges), -MAX_SUM, MAX_SUM), np.maximum.reduceat(ratio, edges),
+            np.sqrt(np.add.reduceat(np.maximum(ratio, 0.0), edges) / size), np.log1p(size)], axis=1)
     return result
 
 
+def shares(saved: np.ndarray) -> np.ndarray:
+    counts = np.bincount(saved, minlength=MOST_SAVED - LEAST_SAVED + 1) + 0.5
+    return counts / counts.sum()
+
+
 def fit(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     """Train the dictionaries on one half of the sample, the curve on the other half."""
     if not ordinary or not toxic:
-        return ToxicityModel(b"", b"", 0.0, ())
+        return ToxicityModel(b"", b"", (), ())
     o_text, t_text = [[" ".join(words_of(x)) for x in part] for part in (ordinary, toxic)]
     o_train, o_rest = o_text[::2], o_text[1::2] or o_text
     t_train, t_rest = t_text[::2], t_text[1::2] or t_text
@@ -133,13 +137,13 @@ def fit(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     special = (" " + " ".join(only) + " ").encode()[-TOXIC_BYTES:]
     # both have the ordinary part at the end, at the same distance from the window
     filler = trained(o_train[::-1], len(special))[-len(special):].rjust(len(special))
-    model = ToxicityModel(filler + shared, special + shared, 0.0, ())
+    model = ToxicityModel(filler + shared, special + shared, (), ())
     saved_o, text_o = differences(*buffer_of(o_rest), model)
-    noise = float(np.quantile(saved_o, NOISE_QUANTILE)) if len(saved_o) else 0.0
     saved_t, text_t = differences(*buffer_of(t_rest), model)
-    x = np.concatenate([features(saved_o, text_o, len(o_rest), noise), features(saved_t, text_t, len(t_rest), noise)])
+    ratios = tuple(np.log(shares(saved_t)) - np.log(shares(saved_o)))
+    x = np.concatenate([features(saved_o, text_o, len(o_rest), ratios), features(saved_t, text_t, len(t_rest), ratios)])
     y = np.concatenate([np.zeros(len(o_rest)), np.ones(len(t_rest))])
-    return ToxicityModel(model.ordinary, model.toxic, noise, tuple(logistic(x, y)))
+    return ToxicityModel(model.ordinary, model.toxic, ratios, tuple(logistic(x, y)))
 
 
 def words_of(text: str) -> list[str]:
@@ -187,7 +191,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) ->
     if not model.weights:
         return np.zeros(n)
     saved, text = differences(data, offsets, model)
-    x = features(saved, text, n, model.noise)
+    x = features(saved, text, n, model.ratios)
     return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
 
 
@@ -219,13 +223,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         run, "doc_id long, score double, predicted int")
 
 
-def in_fold(doc_id: Column, remainder: int = 0, folds: int = 5) -> Column:
-    """True where the crc32 of the id as text leaves ``remainder``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == remainder
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that are not predicted toxic, all their columns."""
-    model = train(docs, labels, ~in_fold(F.col("doc_id")), sample_rows)
+    model = train(docs, labels, common.crc_fold("doc_id") != 0, sample_rows)
     rejected = score(docs, model).filter("predicted = 1").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
