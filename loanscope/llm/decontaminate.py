@@ -13,7 +13,8 @@ Only DataFrame functions are used. The index is joined without a hint: Catalyst
 and shuffles hashes otherwise.
 
 Defined results: null and empty texts contain nothing and are contained in nothing; repeated documents are reported each;
-repeated items (same id) count once per distinct text; empty tables give an empty result; other columns are ignored.
+repeated items (same id) are one item with the shingles of all; rows with a null id are in no pair and are never dropped; empty
+tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,14 +43,6 @@ def shingle_hashes(tokens: str, n: int = SHINGLE_WORDS) -> Column:
         f"WHEN size({tokens}) > 0 THEN array(xxhash64({tokens})) ELSE CAST(array() AS array<bigint>) END")
 
 
-def shingles(tokens: str, n: int = SHINGLE_WORDS) -> Column:
-    """Every distinct shingle of an array column as text."""
-    return F.expr(
-        f"array_distinct(CASE WHEN size({tokens}) >= {n} "
-        f"THEN transform(sequence(0, size({tokens}) - {n}), i -> array_join(slice({tokens}, i + 1, {n}), ' ')) "
-        f"WHEN size({tokens}) > 0 THEN array(array_join({tokens}, ' ')) ELSE CAST(array() AS array<string>) END")
-
-
 def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """item_id, size_class, hash: the bottom-k sketch of each item; size classes double."""
     hashed = items.select("item_id", words(F.col("text")).alias("w")).select(

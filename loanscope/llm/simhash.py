@@ -237,6 +237,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, seed:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id; all its columns."""
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each near-duplicate group: the one with the smallest id; all its columns.
+
+    Rows with the same id are one document and stay together; rows with a null id belong to no group and stay.
+    """
+    gone = near_duplicates(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

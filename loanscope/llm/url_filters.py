@@ -35,9 +35,7 @@ def fold(column: Column) -> Column:
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host and path of a url; both empty for null and where there is no ``://``."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
     host = fold(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)
     return host, path
