@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -375,12 +376,16 @@ def eda_decile_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the ten reports when all are taken from one pass over the loans."""
-    out = None
+    """Contents of the ten reports when all are taken from one pass over the loans: one row per number."""
+    parts = []
     for name, df in Q.all_reports(L.credits(spark, sf_dir)).items():
-        one = df.agg(F.count(F.lit(1)).alias("nb_lignes")).select(F.lit(name).alias("rapport"), "nb_lignes")
-        out = one if out is None else out.unionByName(one)
-    return out
+        texts = [c for c, kind in df.dtypes if kind == "string"]
+        numbers = [c for c, kind in df.dtypes if kind != "string"]
+        line = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in texts]) if texts else F.lit("")
+        pairs = [F.struct(F.lit(c).alias("colonne"), F.col(c).cast("double").alias("valeur")) for c in numbers] or [
+            F.struct(F.lit("").alias("colonne"), F.lit(None).cast("double").alias("valeur"))]
+        parts.append(df.select(F.lit(name).alias("rapport"), line.alias("ligne"), F.inline(F.array(*pairs))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def registered() -> dict[str, Query]:

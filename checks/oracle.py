@@ -308,7 +308,7 @@ def _kpi_columns() -> str:
 def statements() -> dict[str, str]:
     kpi = f"k AS (SELECT {_kpi_columns()} FROM credits)"
     dash = "WHERE secteur_activite = 'BUILDING'"
-    return {
+    out = {
         # sources
         "src_csv_roundtrip": _raw("SELECT * FROM raw"),
         "src_csv_rejected": _raw("""SELECT colonnes, count(*) AS nb FROM (
@@ -471,21 +471,6 @@ def statements() -> dict[str, str]:
               for label, key in (("Secteur le plus risqué", "secteur_activite"),
                                  ("Produit le plus risqué", "type_produit"))],
         ])),
-        "sql_export_all": _credits(_union([
-            "SELECT 'kpi_globaux' AS rapport, 1::BIGINT AS nb_lignes",
-            "SELECT 'defaut_par_secteur', count(*) FROM "
-            "(SELECT 1 FROM credits GROUP BY secteur_activite HAVING count(*) >= 30)",
-            "SELECT 'defaut_par_produit', count(*) FROM (SELECT DISTINCT type_produit FROM credits)",
-            "SELECT 'defaut_par_revenu', count(*) FROM (SELECT DISTINCT tranche_revenu FROM credits)",
-            "SELECT 'impact_incidents', count(*) FROM (SELECT DISTINCT nb_incidents_24m = 0 FROM credits)",
-            "SELECT 'analyse_geographique', count(*) FROM (SELECT DISTINCT ville FROM credits)",
-            "SELECT 'segments_critiques', least(count(*), 15) FROM "
-            "(SELECT 1 FROM credits GROUP BY secteur_activite, garantie HAVING count(*) >= 50)",
-            f"SELECT 'matrice_cobac', count(*) FROM (SELECT DISTINCT {CLASS_SQL} FROM credits)",
-            "SELECT 'top_segments_risque', least(count(*), 10) FROM "
-            "(SELECT 1 FROM credits GROUP BY secteur_activite, type_produit HAVING count(*) >= 30)",
-            "SELECT 'dashboard_synthetique', 7::BIGINT",
-        ])),
         "class_rules_grid": _credits(f"""SELECT {CLASS_SQL} AS classe_sql, {CLASS_MASKS} AS classe_masques,
             nb_incidents_24m, count(*) AS nb, min(taux_effort) AS effort_min, max(taux_effort) AS effort_max
             FROM credits GROUP BY 1, 2, 3"""),
@@ -653,3 +638,34 @@ def statements() -> dict[str, str]:
               FROM credits GROUP BY 1, 2 HAVING count(defaut) >= 20
               ORDER BY m DESC, secteur_activite, type_produit LIMIT 10)"""),
     }
+    out["sql_export_all"] = _union(_entries(out[query], *parts) for query, *parts in _EXPORTED)
+    return out
+
+
+# ---- fixed values: report, its text columns, its number columns ------------------------------------------------
+_EXPORTED = (
+    ("sql_kpi", "kpi_globaux", (), ("total_prets", "nb_defauts", "taux_defaut_pct", "encours_milliards_fcfa",
+     "encours_defaut_milliards_fcfa", "montant_moyen_fcfa", "taux_interet_moyen", "taux_effort_moyen")),
+    ("sql_by_sector", "defaut_par_secteur", ("secteur_activite",), ("nb_prets", "nb_defauts", "taux_defaut_pct", "montant_moyen",
+     "exposition_millions_fcfa", "perte_potentielle_millions")),
+    ("sql_by_product", "defaut_par_produit", ("type_produit",), ("nb_prets", "taux_defaut_pct", "montant_moyen",
+     "duree_moyenne_mois", "taux_moyen")),
+    ("sql_by_income", "defaut_par_revenu", ("tranche_revenu",), ("nb_prets", "taux_defaut_pct", "revenu_moyen", "montant_moyen",
+     "perte_potentielle_millions")),
+    ("sql_incidents", "impact_incidents", ("categorie",), ("nb_prets", "nb_defauts", "taux_defaut_pct", "montant_moyen")),
+    ("sql_geo", "analyse_geographique", ("ville",), ("nb_clients", "encours_millions", "concentration_pct", "taux_defaut_pct")),
+    ("sql_critical_segments", "segments_critiques", ("secteur_activite", "garantie"), ("nb_prets", "taux_defaut_pct",
+     "exposition_millions")),
+    ("sql_class_matrix", "matrice_cobac", ("categorie_cobac",), ("nb_credits", "encours_milliards", "part_pct", "taux_defaut_observe")),
+    ("sql_top_segments", "top_segments_risque", ("secteur_activite", "type_produit"), ("nb_prets", "taux_defaut_pct",
+     "perte_potentielle_millions")),
+    ("sql_summary", "dashboard_synthetique", ("indicateur", "valeur"), ()),
+)
+
+
+def _entries(sql: str, report: str, texts, numbers) -> str:
+    """A report as one row per number: report, the row's texts, column, value."""
+    line = " || '|' || ".join(f"coalesce({c}, '')" for c in texts) or "''"
+    pairs = ", ".join(f"{{'c': '{c}', 'v': {c}::DOUBLE}}" for c in numbers) or "{'c': '', 'v': NULL::DOUBLE}"
+    return (f"SELECT '{report}' AS rapport, ligne, e.c AS colonne, e.v AS valeur FROM "
+            f"(SELECT {line} AS ligne, unnest([{pairs}]) AS e FROM ({sql}))")
