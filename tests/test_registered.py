@@ -3,12 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import catalog, oracle
 from checks.compare import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.registered(), oracle.statements()
 WITHOUT_SQL = {
     "ml_logreg_metrics", "ml_forest_metrics", "ml_gbt_metrics", "ml_model_selection", "ml_importance",
     "score_strict_three_profiles", "calib_scored", "serve_score", "serve_score_batch", "model_info",
+    "ml_class_reports",
 }
 
 
@@ -17,6 +19,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_only_trained_models_lack_sql():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL
     assert set(SQL) <= set(QUERIES)
