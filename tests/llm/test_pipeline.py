@@ -5,6 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from checks.compare import compare, connect
 from loanscope.llm import decontaminate, queries, simhash
 from loanscope.llm.common import table
 
@@ -42,3 +43,8 @@ def test_native_plans(spark, sf_dir):
     for name in ("op3_decontamination", "op6_url_filters"):
         plan = queries.registered()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_result_as_sql(spark, sf_dir, name):
+    assert compare(spark, sf_dir, queries.registered()[name], queries.oracle_sql()[name], connect(sf_dir)) == []
