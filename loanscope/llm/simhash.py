@@ -126,22 +126,19 @@ class BKTree:
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A subset of the edges that connects the same values."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(i)
-    return a[kept], b[kept]
+    """Edges that connect the same values as the given ones, one for each value but the smallest of its group."""
+    values, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    root = np.arange(len(values))
+    while len(i):
+        x, y = root[i], root[j]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    other = np.flatnonzero(root != np.arange(len(values)))
+    return values[other], values[root[other]]
 
 
 def small_links(values: np.ndarray, shard: np.ndarray, most: int, radius: int) -> tuple[np.ndarray, np.ndarray]:

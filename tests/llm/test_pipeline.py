@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
         if n < 4:
             assert docs.columns == columns
         if name == "simhash_near_dedup":
-            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(before).collect()}
+            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(before, radius=corpus_pipeline.NEAR_BITS).collect()}
         if name == "benchmark_decontamination":
             assert decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).count() == 0
     assert counts[0] > counts[1] > 0 and counts[1] == counts[2] >= counts[3] >= counts[4] > 0

@@ -33,15 +33,15 @@ def groups_of(n, linked):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("tree_nodes", [2048, 4])
-def test_near_duplicates_match_brute_force(docs, corpus, tree_nodes):
+@pytest.mark.parametrize("tree_nodes, radius", [(2048, 4), (4, 4), (2048, 6)])
+def test_near_duplicates_match_brute_force(docs, corpus, tree_nodes, radius):
     fp = [fingerprint(t) for _, t in corpus]
-    root = groups_of(len(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4)
+    root = groups_of(len(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= radius)
     least = {}
     for (d, _), r in zip(corpus, root):
         least[r] = min(d, least.get(r, d))
     want = {(d, f"{f:016x}", least[r]) for (d, _), f, r in zip(corpus, fp, root)}
-    got = [tuple(r) for r in simhash.near_duplicates(docs, tree_nodes=tree_nodes).collect()]
+    got = [tuple(r) for r in simhash.near_duplicates(docs, tree_nodes=tree_nodes, radius=radius).collect()]
     assert set(got) == want and len(got) == len(corpus) + 1
 
 
@@ -63,6 +63,20 @@ def test_tree_finds_all_within_the_radius():
     assert set(zip(q.tolist(), n.tolist())) == want
 
 
+def test_a_forest_connects_the_same_values():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 300, 250).astype(np.uint64), rng.integers(0, 300, 250).astype(np.uint64)
+    x, y = simhash.forest(a, b)
+
+    def groups(p, q):
+        edges = set(zip(p.tolist(), q.tolist())) | set(zip(q.tolist(), p.tolist()))
+        return groups_of(300, lambda i, j: (i, j) in edges)
+
+    first, second = groups(a, b), groups(x, y)
+    assert len(set(zip(first, second))) == len(set(first)) == len(set(second))
+    assert len(x) == 300 - len(set(first))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 180), rng.randrange(100, 180)) for _ in range(60)] + [(5, 5), (None, 3)]
