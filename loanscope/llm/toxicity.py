@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from loanscope.llm import common
 
 WINDOW_WORDS = 6
-SAMPLE_ROWS = 6000
-SAMPLE_TEXT_BYTES = 32 << 10
+SAMPLE_ROWS = 4000
+SAMPLE_TEXT_BYTES = 16 << 10
 SHARED_BYTES = 24 << 10
 TOXIC_BYTES = 24 << 10
 LEVEL = 13
