@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loanscope.llm import common
 from loanscope.session import staged
 
-ORDER = 5
+ORDER = 6
 CONTEXT_SHARE = 1e-5
 WORD_SHARE = 2e-6
 END = 10  # the end byte; white space never occurs inside a word
@@ -366,21 +366,34 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     waiting.setdefault(bucket, []).append((row, words, np.frombuffer(other, np.int32)))
         for bucket, asked in waiting.items():
             table = tables.get(bucket, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            rows = []
             for row, words, texts in asked:
                 count = known(words, table)
-                n = int(texts.max()) + 1
-                some = np.flatnonzero(np.bincount(texts, minlength=n))
-                yield pa.record_batch({
-                    "row": pa.array(row + some), "n": pa.array(np.bincount(texts, count > 0, n)[some].astype(np.int64)),
-                    "log": pa.array(np.bincount(texts, np.log10(count + 0.5), n)[some])})
+                some = np.flatnonzero(np.bincount(texts))
+                # all answers to one slice meet in one place
+                rows.append((int(common.mix(np.array([row], np.uint64))[0] % np.uint64(parts)), (row + some).tobytes(),
+                             np.bincount(texts, count > 0)[some].astype(np.int64).tobytes(),
+                             np.bincount(texts, np.log10(count + 0.5))[some].tobytes()))
+            columns = list(zip(*rows))
+            yield pa.record_batch({"bucket": pa.array(columns[0], pa.int32())} | {
+                c: pa.array(columns[i], pa.binary()) for i, c in enumerate(("rows", "n", "log"), 1)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(r, np.int64), np.frombuffer(n, np.int64), np.frombuffer(x, np.float64))
+                for batch in batches for r, n, x in zip(*(batch.column(c).to_pylist() for c in ("rows", "n", "log")))]
+        if held:
+            row, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            n, log = (np.bincount(place, np.concatenate([h[i] for h in held]), len(row)) for i in (1, 2))
+            yield pa.record_batch({"row": pa.array(row), "more": pa.array(n.astype(np.int64)), "log": pa.array(log)})
 
     scored = staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, bucket int, words binary, texts binary"),
         "ppm-scored")
     asked = scored.filter("bucket IS NOT NULL").select("bucket", "row", "words", F.col("texts").alias("other"))
     held = model.words.select("bucket", F.lit(None).cast("long").alias("row"), "words", F.col("counts").alias("other"))
-    answers = (asked.unionByName(held).repartitionById(parts, F.col("bucket")).mapInArrow(answer, "row long, n long, log double")
-               .groupBy("row").agg(F.sum("n").alias("more"), F.sum("log").alias("log")))
+    back = asked.unionByName(held).repartitionById(parts, F.col("bucket")).mapInArrow(
+        answer, "bucket int, rows binary, n binary, log binary")
+    answers = back.repartitionById(parts, F.col("bucket")).mapInArrow(add, "row long, more long, log double")
     spread = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     return scored.filter("bucket IS NULL").join(answers, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
