@@ -168,7 +168,9 @@ def asked_again(asked: DataFrame, name: str) -> DataFrame:
     parts = common.shuffle_parts(asked.sparkSession)
     back = asked.repartitionById(parts, F.col("bucket")).mapInArrow(
         lambda batches: answer(batches, parts), "bucket int, keys binary, at binary, pos binary")
-    return staged(back.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "key long, found binary"), name)
+    found = staged(back.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "key long, found binary"), name)
+    common.release(asked.sparkSession)  # the packed hashes are no longer needed
+    return found
 
 
 def keyed(docs: DataFrame) -> DataFrame:
