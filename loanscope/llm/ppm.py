@@ -6,10 +6,11 @@ symbol seen there) to the next shorter context, in which the symbols that the lo
 empty context all remaining byte values are equally likely. The probabilities of all 256 continuations sum to one everywhere.
 
 Training is pretrained over the whole training part: every task counts its byte runs and words, sends them packed by bucket,
-and the buckets are added up; the counts grow with the corpus and never pass through one task. The trie keeps the contexts
-that make up at least ``CONTEXT_SHARE`` of all positions, the same share at every corpus size, so there are at most
-``ORDER / CONTEXT_SHARE`` of them: this proven bound is what is sent to every task. It becomes an automaton (state: the longest kept context) that
-many segments of text walk through side by side.
+and the buckets are added up; the counts grow with the corpus and never pass through one task. Every context counts. Those that make up
+at least ``CONTEXT_SHARE`` of all positions are sent to every task: at most ``ORDER / CONTEXT_SHARE`` at every corpus size, a proven
+bound. Positions whose longest context is among them are scored in the task. The grams (context and symbol) of all others are sent,
+packed, to the bucket that holds all training grams with the same shortest context that is not frequent, so every longer context of
+theirs is whole there, and none of these groups is frequent: buckets stay even.
 
 Word counts for the base score: words with at least ``WORD_SHARE`` of all tokens (at most ``1 / WORD_SHARE``, a proven bound)
 are looked up in the task; all other tokens are sent, packed, to the bucket that holds their word's count. No word that
@@ -27,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,6 @@ ORDER = 6
 CONTEXT_SHARE = 1e-5
 WORD_SHARE = 2e-6
 END = 10  # the end byte; white space never occurs inside a word
-SEGMENT = 256
 
 
 def streams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -138,19 +139,58 @@ def count_corpus(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
 
 
 @dataclass
-class Automaton:
-    """``step`` and ``cost`` are indexed by state * symbols + symbol; a state is stored times ``symbols``."""
+class Frequent:
+    """The contexts that every task holds. ``cost`` is indexed by state * symbols + symbol; ``cells`` are the indexes seen, sorted."""
 
+    by_depth: list[np.ndarray]  # contexts of each depth, sorted; the state of a context is ``first[depth]`` and its place
+    first: np.ndarray
     symbol_of: np.ndarray
     symbols: int
-    step: np.ndarray
     cost: np.ndarray
-    start: int
+    escape: np.ndarray  # by state
+    cells: np.ndarray
+    counts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
     order: int
 
+    def depth(self, grams: np.ndarray) -> np.ndarray:
+        """Depth of the longest context held of each gram; all shorter ones are held too."""
+        depth = np.zeros(len(grams), np.int64)
+        going = np.arange(len(grams))
+        for k in range(1, self.order + 1):
+            going = going[found(self.by_depth[k], context_of(grams[going], k)) >= 0]
+            depth[going] = k
+        return depth
+
+    def state(self, grams: np.ndarray, depth: int) -> np.ndarray:
+        return self.first[depth] + found(self.by_depth[depth], context_of(grams, depth))
+
+    def at(self, grams: np.ndarray, depth: int) -> np.ndarray:
+        return self.state(grams, depth) * self.symbols + self.symbol_of[(grams & np.uint64(255)).astype(np.int64)]
+
+
+def found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def context_of(grams: np.ndarray, depth: int) -> np.ndarray:
+    return (grams >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
+
+
+def rest_bucket(grams: np.ndarray, depth: np.ndarray, parts: int) -> np.ndarray:
+    """Bucket of grams whose longest context is not held: all with the same shortest context that is not held meet in one."""
+    size = (8 * (depth + 1)).astype(np.uint64)
+    own = (grams >> np.uint64(8)) & ((np.uint64(1) << size) - np.uint64(1))
+    return (common.mix(own ^ (size << np.uint64(56))) % np.uint64(parts)).astype(np.int64)
+
 
 def kept_contexts(grams: DataFrame, order: int, share: float) -> pa.Table:
-    """depth, context, symbol, n of every context with at least ``share`` of all positions."""
+    """depth, context, symbol, n of every context with at least ``share`` of all positions, and of the empty one."""
     # each depth is added up from the next deeper one, which has dropped its first byte
     level = grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
     levels = []
@@ -160,11 +200,12 @@ def kept_contexts(grams: DataFrame, order: int, share: float) -> pa.Table:
         levels.append(level.select(F.lit(k).alias("depth"), "context", "symbol", "n"))
     nodes = reduce(DataFrame.unionByName, levels)
     positions = level.agg(F.sum("n")).first()[0] or 0
-    frequent = nodes.groupBy("depth", "context").agg(F.sum("n").alias("total")).filter(F.col("total") >= share * positions)
+    frequent = nodes.groupBy("depth", "context").agg(F.sum("n").alias("total")).filter(
+        (F.col("depth") == 0) | (F.col("total") >= share * positions))
     return nodes.join(frequent, ["depth", "context"]).select("depth", "context", "symbol", "n").toArrow()
 
 
-def build_automaton(nodes: pa.Table, order: int) -> Automaton:
+def frequent_contexts(nodes: pa.Table, order: int) -> Frequent:
     depth, context, symbol, n = (nodes.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
     by_depth = [np.unique(context[depth == k]) for k in range(order + 1)]
     if not len(by_depth[0]):
@@ -213,53 +254,131 @@ def build_automaton(nodes: pa.Table, order: int) -> Automaton:
                 below[rows] = np.where(seen[up], own, escape + below[up])
             own, escape = coded(counts[rows])
             cost[rows] = np.where(seen[rows], own, escape + below[rows])
-    step = np.zeros((states, symbols), np.int64)
-    for k in range(order + 1):
-        rows = np.arange(first[k], first[k + 1])
-        if k and len(rows):
-            step[rows] = step[parent[rows]]
-        if k < order and len(by_depth[k + 1]):
-            child = by_depth[k + 1]
-            at = state(k, child >> 8)
-            ok = at >= 0
-            step[at[ok], symbol_of[(child[ok] & 255).astype(np.int64)]] = first[k + 1] + np.flatnonzero(ok)
-    start = 0
-    for k in range(order, 0, -1):
-        front = state(k, np.array([int.from_bytes(bytes([END]) * k, "big")]))[0]
-        if front >= 0:
-            start = int(front)
-            break
-    return Automaton(symbol_of, symbols, (step * symbols).astype(np.int32).ravel(), cost.astype(np.float32).ravel(),
-                     start * symbols, order)
-
-
-def code_lengths(stream: np.ndarray, stop: np.ndarray, model: Automaton) -> np.ndarray:
-    """log10 probability of each text of the stream."""
-    order = model.order
-    sym = model.symbol_of[stream]
-    pieces = -(-len(sym) // SEGMENT)
-    padded = np.full(order + pieces * SEGMENT, model.symbol_of[END], np.uint8)
-    padded[order : order + len(sym)] = sym
-    # segments side by side, each after the bytes that set its state
-    side = np.lib.stride_tricks.as_strided(padded, (pieces, SEGMENT + order), (SEGMENT, 1))
-    side = np.ascontiguousarray(side.T).astype(np.int32)
-    state = np.zeros(pieces, np.int32)
-    costs = np.empty((SEGMENT, pieces), np.float32)
-    for t in range(order):
-        state = model.step.take(state + side[t])
-    for t in range(SEGMENT):
-        at = state + side[t + order]
-        model.cost.take(at, out=costs[t])
-        state = model.step.take(at)
-    costs = costs.T.ravel()[: len(sym)].astype(np.float64)
-    begin = np.concatenate([[0], stop[:-1]]) + order
-    sums = np.concatenate([[0.0], np.cumsum(costs)])
-    return -(sums[stop] - sums[begin])
+    cells = np.flatnonzero(seen.ravel())
+    totals, kinds = counts.sum(axis=1), seen.sum(axis=1)
+    return Frequent([c.astype(np.uint64) for c in by_depth], first, symbol_of, symbols, cost.astype(np.float32).ravel(),
+                    escape_cost(kinds, totals), cells, counts.ravel()[cells], totals, kinds, order)
+
+
+def escape_cost(kinds: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    return np.where(kinds > 0, -np.log10(np.maximum(kinds, 1) / (2 * np.maximum(totals, 1))), 0.0)
+
+
+class RestCosts:
+    """Costs of grams whose longest context is not held, from all training grams of their bucket: nothing is left out.
+
+    For each depth the grams are added up to (context, symbol). A symbol that a context has not seen is coded by an escape to the
+    next shorter one without the symbols seen here; below the shortest context of the bucket that is a frequent one.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, model: Frequent):
+        self.model = model
+        depth = model.depth(grams)
+        self.nodes: dict[int, tuple] = {}
+        for k in range(model.order, 0, -1):
+            grams, n, depth = grams[depth < k], n[depth < k], depth[depth < k]
+            mask = np.uint64((1 << (8 * (k + 1))) - 1)
+            self.nodes[k] = common.summed(grams & mask, n)
+        self.contexts: dict[int, tuple] = {}
+        for k in range(1, model.order + 1):
+            keys, n = self.nodes[k]
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)])) if len(keys) else np.zeros(0, np.int64)
+            context = keys[new] >> np.uint64(8)
+            if not len(new):
+                self.contexts[k] = (context, *[np.zeros(0)] * 4)
+                continue
+            total, kinds = np.add.reduceat(n, new), np.diff(np.concatenate([new, [len(keys)]]))
+            above, above_total, above_kinds = np.zeros(len(keys)), np.zeros(len(new)), np.zeros(len(new))
+            shorter = model.depth(keys)  # at most k - 1
+            own = shorter == k - 1
+            above[own] = self.held_counts(keys[own], k - 1)
+            above[~own] = self.counts(keys[~own], k - 1)
+            head, own = keys[new], own[new]
+            state = model.state(head[own], k - 1)
+            above_total[own], above_kinds[own] = model.totals[state], model.kinds[state]
+            if (~own).any():
+                at = found(self.contexts[k - 1][0], context_of(head[~own], k - 1))
+                above_total[~own], above_kinds[~own] = self.contexts[k - 1][1][at], self.contexts[k - 1][2][at]
+            self.contexts[k] = (context, total, kinds, above_total - np.add.reduceat(above, new), above_kinds - kinds)
+
+    def counts(self, grams: np.ndarray, k: int) -> np.ndarray:
+        if not len(grams):
+            return np.zeros(0)
+        keys, n = self.nodes[k]
+        at = found(keys, grams & np.uint64((1 << (8 * (k + 1))) - 1))
+        return np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(grams))
+
+    def held_counts(self, grams: np.ndarray, k: int) -> np.ndarray:
+        at = found(self.model.cells, self.model.at(grams, k))
+        return np.where(at >= 0, self.model.counts[at], 0) if len(self.model.cells) else np.zeros(len(grams))
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        model = self.model
+        depth = model.depth(grams)
+        cost = np.zeros(len(grams))
+        open_, escaped = np.ones(len(grams), bool), np.zeros(len(grams), bool)
+        total, kinds = np.zeros(len(grams)), np.zeros(len(grams))  # of the next shorter context, without what was seen above
+        for k in range(model.order, -1, -1):
+            i = np.flatnonzero(open_ & (depth < k))
+            if len(i):
+                context, all_total, all_kinds, left_total, left_kinds = self.contexts[k]
+                at = found(context, context_of(grams[i], k))
+                i, at = i[at >= 0], at[at >= 0]
+                t, m = (np.where(escaped[i], x[i], y[at]) for x, y in ((total, all_total), (kinds, all_kinds)))
+                n = self.counts(grams[i], k)
+                cost[i] += np.where(n > 0, -np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(t, 1)), escape_cost(m, t))
+                open_[i[n > 0]] = False
+                i, at = i[n == 0], at[n == 0]
+                escaped[i], total[i], kinds[i] = True, left_total[at], left_kinds[at]
+            i = np.flatnonzero(open_ & (depth == k))
+            if len(i):
+                cell = model.at(grams[i], k)
+                n = self.held_counts(grams[i], k)
+                after = np.where(n > 0, -np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(total[i], 1)),
+                                 escape_cost(kinds[i], total[i]) + model.cost[cell] - model.escape[cell // model.symbols])
+                cost[i] += np.where(escaped[i], after, model.cost[cell])
+                open_[i] = False
+        return cost
+
+
+def planes(grams: np.ndarray, order: int) -> bytes:
+    """Grams byte by byte, first bytes first: sorted ones compress well."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - order :].T).tobytes()
+
+
+def from_planes(data: bytes, order: int) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(order + 1, -1).T
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, 7 - order :] = part
+    return whole.view(">u8").ravel().astype(np.uint64)
+
+
+def rest_grams(grams: DataFrame, model: Frequent) -> DataFrame:
+    """bucket, keys, counts: the training grams whose longest context is not held, packed by the bucket that is asked for them."""
+    spark = grams.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    parts = common.shuffle_parts(spark)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = batch.column("gram").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            depth = shared.value.depth(keys)
+            rest = np.flatnonzero(depth < shared.value.order)
+            bucket = rest_bucket(keys[rest], depth[rest], parts)
+            by = np.argsort(bucket, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
+            full = np.flatnonzero(np.diff(edges))
+            dealt = [rest[by[edges[b] : edges[b + 1]]] for b in full]
+            yield pa.record_batch({"bucket": pa.array(full.astype(np.int32)), "keys": pa.array([keys[d].tobytes() for d in dealt], pa.binary()),
+                                   "counts": pa.array([n[d].tobytes() for d in dealt], pa.binary())})
+
+    return grams.mapInArrow(deal, "bucket int, keys binary, counts binary")
 
 
 @dataclass
 class LanguageModel:
-    automaton: Automaton
+    contexts: Frequent
+    rest: DataFrame  # bucket, keys, counts: grams of all other contexts
     words: DataFrame  # bucket, words, counts
     frequent: tuple[np.ndarray, np.ndarray]
     tokens: int
@@ -291,8 +410,8 @@ def train(docs: DataFrame, order: int = ORDER, context_share: float = CONTEXT_SH
     word = found.column("word").to_numpy().view(np.uint64)
     by = np.argsort(word)
     frequent = (word[by], found.column("n").to_numpy()[by])
-    automaton = build_automaton(kept_contexts(grams, order, context_share), order)
-    return LanguageModel(automaton, words, frequent, tokens, distinct, texts, common.shuffle_parts(spark))
+    contexts = frequent_contexts(kept_contexts(grams, order, context_share), order)
+    return LanguageModel(contexts, rest_grams(grams, contexts), words, frequent, tokens, distinct, texts, common.shuffle_parts(spark))
 
 
 def known(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -307,11 +426,35 @@ def known(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.automaton, model.frequent))
-    parts, end_count = model.parts, model.texts
+    shared = spark.sparkContext.broadcast((model.contexts, model.frequent))
+    parts, end_count, order = model.parts, model.texts, model.contexts.order
+
+    def held_scores(stream, stop, contexts) -> tuple[np.ndarray, tuple]:
+        """Score of each text over positions whose longest context is held; the other grams, their depth, and their texts."""
+        begin = np.concatenate([[0], stop[:-1]]) + order
+        text = np.repeat(np.arange(len(stop)), stop - begin)
+        grams, place = np.unique(gram_keys(stream, stop, order), return_inverse=True)
+        depth = contexts.depth(grams)
+        here = depth == order
+        cost = np.zeros(len(grams))
+        cost[here] = contexts.cost[contexts.at(grams[here], order)]
+        rest = np.flatnonzero(~here[place])
+        by = rest[np.argsort(place[rest], kind="stable")]
+        return -np.bincount(text, cost[place], len(stop)), (grams[~here], depth[~here], np.bincount(place[by], minlength=len(grams))[~here], text[by])
+
+    def gram_asks(first_row, n, grams, depth, times, texts) -> pa.RecordBatch:
+        bucket = rest_bucket(grams, depth, parts)
+        by = np.argsort(bucket, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
+        full = np.flatnonzero(np.diff(edges))
+        begin = np.concatenate([[0], np.cumsum(times)[:-1]])
+        texts = texts.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+        dealt = [by[edges[b] : edges[b + 1]] for b in full]
+        return asks(full, first_row, [planes(grams[d], order) for d in dealt],
+                    [texts[common.ranges(begin[d], times[d])] for d in dealt], [times[d].astype(np.uint32) for d in dealt], small=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, frequent = shared.value
+        contexts, frequent = shared.value
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         turn = 0
@@ -320,8 +463,10 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
             n = part.num_rows
             row = base + turn + np.arange(n, dtype=np.int64)
             turn += n
-            stream, stop, (starts, ends, first) = streams(data, offsets, automaton.order)
-            value = code_lengths(stream, stop, automaton)
+            stream, stop, (starts, ends, first) = streams(data, offsets, order)
+            value, rest = held_scores(stream, stop, contexts)
+            if len(rest[0]):
+                yield gram_asks(int(row[0]), n, *rest)
             words = common.word_hashes(common.LOWER[data], starts, ends)
             count = known(words, frequent)
             there = count > 0
@@ -344,15 +489,22 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return pa.record_batch({
             "row": pa.array(row), "doc_id": doc_id, "n_tokens": pa.array(n_tokens.astype(np.int64)),
             "n_known": pa.array(n_known.astype(np.int64)), "base": pa.array(base), "score": pa.array(value),
-            "bucket": pa.nulls(n, pa.int32()), "words": pa.nulls(n, pa.binary()), "texts": pa.nulls(n, pa.binary())})
-
-    def asks(buckets, first_row, words, texts) -> pa.RecordBatch:
+            "bucket": pa.nulls(n, pa.int32()), "words": pa.nulls(n, pa.binary()), "texts": pa.nulls(n, pa.binary()),
+            "times": pa.nulls(n, pa.binary())})
+
+    def asks(buckets, first_row, words, texts, times=None, small=False) -> pa.RecordBatch:
+        if small:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            words, texts, times = ([np.frombuffer(pack(x if isinstance(x, bytes) else x.tobytes()), np.uint8) for x in part]
+                                   for part in (words, texts, times))
         n = len(buckets)
         return pa.record_batch({
             "row": pa.array([first_row] * n, pa.int64()), "doc_id": pa.nulls(n, pa.int64()),
             "n_tokens": pa.nulls(n, pa.int64()), "n_known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()),
             "score": pa.nulls(n, pa.float64()), "bucket": pa.array(buckets.astype(np.int32)),
-            "words": pa.array([w.tobytes() for w in words], pa.binary()), "texts": pa.array([t.tobytes() for t in texts], pa.binary())})
+            "words": pa.array([w.tobytes() for w in words], pa.binary()),
+            "texts": pa.array([t.tobytes() for t in texts], pa.binary()),
+            "times": pa.array([t.tobytes() for t in times] if times else [None] * n, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, tuple] = {}
@@ -373,28 +525,81 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 # all answers to one slice meet in one place
                 rows.append((int(common.mix(np.array([row], np.uint64))[0] % np.uint64(parts)), (row + some).tobytes(),
                              np.bincount(texts, count > 0)[some].astype(np.int64).tobytes(),
-                             np.bincount(texts, np.log10(count + 0.5))[some].tobytes()))
+                             np.bincount(texts, np.log10(count + 0.5))[some].tobytes(), np.zeros(len(some)).tobytes()))
             columns = list(zip(*rows))
             yield pa.record_batch({"bucket": pa.array(columns[0], pa.int32())} | {
-                c: pa.array(columns[i], pa.binary()) for i, c in enumerate(("rows", "n", "log"), 1)})
+                c: pa.array(columns[i], pa.binary()) for i, c in enumerate(("rows", "n", "log", "score"), 1)})
+
+    def gram_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a bucket come sorted: its training grams first
+        bucket, table, costs, asked, size = None, [], None, [], 0
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def answers() -> pa.RecordBatch:
+            grams = np.concatenate([a[1] for a in asked])
+            distinct, place = np.unique(grams, return_inverse=True)
+            cost = costs.of(distinct)[place]
+            rows, at = [], 0
+            for row, own, times, texts in asked:
+                each = np.repeat(cost[at : at + len(own)], times)
+                at += len(own)
+                some = np.flatnonzero(np.bincount(texts))
+                rows.append((int(common.mix(np.array([row], np.uint64))[0] % np.uint64(parts)), (row + some).tobytes(),
+                             np.zeros(len(some), np.int64).tobytes(), np.zeros(len(some)).tobytes(),
+                             (-np.bincount(texts, each)[some]).tobytes()))
+            columns = list(zip(*rows))
+            return pa.record_batch({"bucket": pa.array(columns[0], pa.int32())} | {
+                c: pa.array(columns[i], pa.binary()) for i, c in enumerate(("rows", "n", "log", "score"), 1)})
+
+        for batch in batches:
+            for b, row, keys, other, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "words", "other", "times"))):
+                if b != bucket:
+                    if asked:
+                        yield answers()
+                    bucket, table, costs, asked, size = b, [], None, [], 0
+                if row is None:
+                    table.append((np.frombuffer(keys, np.uint64), np.frombuffer(other, np.int64)))
+                    continue
+                if costs is None:
+                    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    costs = RestCosts(*(np.concatenate(x) for x in zip(*(table or [none]))), shared.value[0])
+                    table = []
+                keys, other, times = map(unpack, (keys, other, times))
+                times = np.frombuffer(times, np.uint32)
+                kind = np.uint16 if len(other) == 2 * int(times.sum()) else np.uint32
+                asked.append((row, from_planes(keys, order), times, np.frombuffer(other, kind).astype(np.int64)))
+                size += len(asked[-1][3])
+                if size > 1 << 20:
+                    yield answers()
+                    asked, size = [], 0
+        if asked:
+            yield answers()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(r, np.int64), np.frombuffer(n, np.int64), np.frombuffer(x, np.float64))
-                for batch in batches for r, n, x in zip(*(batch.column(c).to_pylist() for c in ("rows", "n", "log")))]
+        held = [(np.frombuffer(r, np.int64), np.frombuffer(n, np.int64), np.frombuffer(x, np.float64), np.frombuffer(y, np.float64))
+                for batch in batches for r, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("rows", "n", "log", "score")))]
         if held:
             row, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n, log = (np.bincount(place, np.concatenate([h[i] for h in held]), len(row)) for i in (1, 2))
-            yield pa.record_batch({"row": pa.array(row), "more": pa.array(n.astype(np.int64)), "log": pa.array(log)})
+            n, log, more = (np.bincount(place, np.concatenate([h[i] for h in held]), len(row)) for i in (1, 2, 3))
+            yield pa.record_batch({"row": pa.array(row), "more": pa.array(n.astype(np.int64)), "log": pa.array(log), "rest": pa.array(more)})
 
     scored = staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, bucket int, words binary, texts binary"),
+        run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, bucket int, words binary, texts binary, times binary"),
         "ppm-scored")
-    asked = scored.filter("bucket IS NOT NULL").select("bucket", "row", "words", F.col("texts").alias("other"))
-    held = model.words.select("bucket", F.lit(None).cast("long").alias("row"), "words", F.col("counts").alias("other"))
-    back = asked.unionByName(held).repartitionById(parts, F.col("bucket")).mapInArrow(
-        answer, "bucket int, rows binary, n binary, log binary")
-    answers = back.repartitionById(parts, F.col("bucket")).mapInArrow(add, "row long, more long, log double")
+    asked = scored.filter("bucket IS NOT NULL").select("bucket", "row", "words", F.col("texts").alias("other"), "times")
+    answered = "bucket int, rows binary, n binary, log binary, score binary"
+
+    def replies(asked: DataFrame, held: DataFrame, by) -> DataFrame:
+        none = F.lit(None)
+        held = held.select("bucket", none.cast("long").alias("row"), "words", F.col("counts").alias("other"), none.cast("binary").alias("times"))
+        dealt = asked.unionByName(held).repartitionById(parts, F.col("bucket"))
+        return (dealt.sortWithinPartitions("bucket", "row") if by is gram_answer else dealt).mapInArrow(by, answered)
+
+    back = replies(asked.filter("times IS NULL"), model.words, answer).unionByName(
+        replies(asked.filter("times IS NOT NULL"), model.rest.withColumnRenamed("keys", "words"), gram_answer))
+    answers = back.repartitionById(parts, F.col("bucket")).mapInArrow(add, "row long, more long, log double, rest double")
     spread = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     return scored.filter("bucket IS NULL").join(answers, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(spread)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(spread)).alias("base_score"),
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))

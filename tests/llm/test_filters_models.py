@@ -281,3 +281,16 @@ def test_streams_of_bytes():
     data, offsets = common.raw_text(pa.array(["Ab  c", None, "é\n"]))
     s, stop, _ = ppm.streams(data, offsets, 2)
     assert bytes(s) == b"\n\nab c \n" + b"\n\n\n" + b"\n\n" + "é \n".encode() and stop.tolist() == [8, 11, 17]
+
+
+@pytest.mark.parametrize("context_share", [1e-3, 2.0])
+def test_rare_contexts_count(spark, context_share):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30)) for i in range(36)] + [(200, None), (201, "Zebra \x00 é never seen")]
+    train = [stream(t) for i, t in rows if i < 33]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = ppm.train(docs.filter("doc_id < 33"), context_share=context_share)
+    got = ppm.score(docs.filter("doc_id > 30"), model).collect()
+    assert len(got) == 7
+    for r in got:
+        assert r.score == pytest.approx(brute_probability(train, stream(dict(rows)[r.doc_id]), ppm.ORDER), rel=1e-4)
