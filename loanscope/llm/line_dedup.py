@@ -1,4 +1,11 @@
-"""Line deduplication in content-defined chunks of lines.
+"""Line deduplication: repeated passages of lines, or whole content-defined chunks of lines.
+
+``dedup_passages`` compares every run of ``MIN_LINES`` consecutive lines, so it finds each repeated passage of that many lines or
+more, wherever it begins and ends: a passage is removed where all its runs have occurred before. Runs are decided by 128 bits of
+SHA-256. The first occurrence of a run (smallest doc_id, then position) stays, as does a run that overlaps its own first
+occurrence, and the first occurrence of every line. Runs are counted map-side; no pairs are formed.
+
+``dedup_lines`` compares whole chunks only, which is less: a passage goes only where chunk boundaries fall inside it.
 
 A rolling hash over the hashes of the last ``WINDOW_LINES`` lines ends a chunk wherever it is 0 modulo ``DIVISOR``; boundaries depend on
 nearby lines only, so an inserted line shifts no other chunk. Chunks of ``MIN_LINES`` lines or more that occur again anywhere are compared byte
@@ -15,6 +22,8 @@ removed has an empty text; lines end at ``\\n`` alone; other columns are kept as
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,6 +114,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     columns = [c for c in docs.columns if c != "n_removed_lines"]
     joined = docs.select(columns).join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("chunks").alias("_gone")),
                        F.col("doc_id").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    return without(joined, columns, without_chunks)
+
+
+def without(joined: DataFrame, columns: list[str], cut) -> DataFrame:
+    """``joined`` without its column _gone, which ``cut`` has taken out of the text."""
     fields = [f for f in joined.schema.fields if f.name != "_gone"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_removed_lines long"
 
@@ -113,10 +127,56 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             for part in common.slices(iter([batch])):
                 texts, removed = [], []
                 for text, chunks in zip(part.column("text").to_pylist(), part.column("_gone").to_pylist()):
-                    text, n = without_chunks(text, chunks) if chunks and text is not None else (text, 0)
+                    text, n = cut(text, chunks) if chunks and text is not None else (text, 0)
                     texts.append(text)
                     removed.append(n)
                 arrays = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in columns]
                 yield pa.record_batch(arrays + [pa.array(removed, pa.int64())], [*columns, "n_removed_lines"])
 
     return joined.mapInArrow(run, schema)
+
+
+def line_runs(text: str, width: int = MIN_LINES) -> list[tuple[int, int, int]]:
+    """(first line, two halves of the hash) of every run of ``width`` lines that are not all blank."""
+    lines = text.split("\n")
+    filled = [bool(x.strip()) for x in lines]
+    digest = hashlib.sha256
+    return [(i, *struct.unpack("<qq", digest("\n".join(lines[i : i + width]).encode()).digest()[:16]))
+            for i in range(len(lines) - width + 1) if any(filled[i : i + width])]
+
+
+def without_runs(text: str, starts: list[int], width: int = MIN_LINES) -> tuple[str, int]:
+    lines = text.split("\n")
+    gone = {i + k for i in starts for k in range(width)}
+    kept = [x for i, x in enumerate(lines) if i not in gone]
+    return "\n".join(kept), len(lines) - len(kept)
+
+
+def repeated_runs(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
+    """doc_id, text_hash, runs: first lines of the runs to remove."""
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").contains("\n")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    names = ("doc_id", "text_hash", "n", "h1", "h2")
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            rows = [(d, x, *run) for d, x, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")))
+                    for run in line_runs(t, width)]
+            yield pa.record_batch({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(names)})
+
+    runs = staged(texts.mapInArrow(positions, ", ".join(f"{n} long" for n in names)), "line-runs")
+    first = (runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "n")).alias("first"))
+             .filter("copies > 1").select("h1", "h2", "first"))
+    later = runs.join(first, ["h1", "h2"]).filter(
+        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("n") >= F.col("first.n") + width))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("runs"))
+
+
+def dedup_passages(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
+    """The rows of ``docs`` with repeated passages of ``width`` lines or more removed from the text, and n_removed_lines."""
+    gone = staged(repeated_runs(docs, width), "line-removal")
+    columns = [c for c in docs.columns if c != "n_removed_lines"]
+    joined = docs.select(columns).join(
+        gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"), F.col("runs").alias("_gone")),
+        (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text")), "left").drop("_gone_id", "_gone_text")
+    return without(joined, columns, lambda text, starts: without_runs(text, starts, width))

@@ -60,7 +60,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_removed_lines", F.octet_length("text").cast("long").alias("kept_bytes"),
                       F.sha2("text", 256).alias("kept_sha256"))
 

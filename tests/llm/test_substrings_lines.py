@@ -103,3 +103,20 @@ def test_line_edges(spark, no_docs):
     got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(x for x in got if x[0] is not None)
     assert (None, block) in got and texts[1] == block and len(texts[2]) < len(block) and texts[3] is None and texts[4] == ""
+
+
+def test_short_passages_are_removed_wherever_they_begin(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):
+        passage = [f"passage {i} {k}" for k in range(2 + i % 4)]
+        for side in (0, 1):
+            around = [f"own {i} {side} {rng.random()}" for _ in range(1 + i % 3)]
+            text = [*around, *passage, *around[::-1][:1], "end"][: None if i % 2 else -2]
+            rows.append((2 * i + side, "\n".join(text)))
+            want[2 * i + side] = text if side == 0 else [x for x in text if x not in passage]
+    rows += [(500, "again\nagain\nagain\nagain"), (None, rows[0][1])]
+    want[500], want[None] = ["again", "again"], rows[0][1].split("\n")
+    got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split("\n") for r in got} == want
+    assert all(r.n_removed_lines == dict(rows)[r.doc_id].count("\n") - r.text.count("\n") for r in got)
