@@ -7,7 +7,9 @@ neighbours (and reverse neighbours) of a node are compared with each other, and
 cosine of ``threshold`` or more, computed in double precision; nothing below it is ever kept as a link.
 
 A node whose list is full of links is saturated: its list is enlarged to all links that it has in its component, counted
-block by block against the component's members without forming pairs. Lists, comparisons and blocks are bounded; range
+block by block against the component's members without forming pairs. Nodes with open and with full lists are audited apart, each against
+all nodes, first those with a candidate near the threshold, until ``LINKS_SEEN`` true links are seen or ``MOST_QUERIES`` nodes are asked.
+Where the rounds end below the wanted recall, all pairs are compared in blocks, which is exact. Lists, comparisons and blocks are bounded; range
 partitioning by projection spreads a dense region over tasks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from loanscope.llm import common
 from loanscope.llm.components import connected
+from loanscope.llm.simhash import forest
 from loanscope.session import staged
 
 THRESHOLD = 0.9
@@ -34,6 +37,9 @@ PROJECTIONS = 8
 CHUNK = 256
 BLOCK = 1024
 AUDIT_QUERIES = 256
+MOST_QUERIES = 4096
+LINKS_SEEN = 200
+NEAR = 0.05
 WANTED_RECALL = 0.98
 MAX_ROUNDS = 5
 
@@ -174,9 +180,35 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Data
 
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
     """Share of the true links of a sample that ``links`` (u, v, both ways) has; the sample is compared with all nodes."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "dim", "vec").toArrow().to_pylist()
-    if not sample:
-        return 1.0
+    return recall_of(nodes, nodes.select("id"), lambda true: linked(true, links), threshold, (queries,))
+
+
+def recall_of(nodes: DataFrame, asked: DataFrame, hits, threshold: float, sizes: tuple[int, ...] = (AUDIT_QUERIES, MOST_QUERIES)) -> float:
+    """Share of true links of a sample of ``asked`` (id, maybe near) that ``hits`` marks; the sample is compared with all nodes.
+
+    The sample grows until LINKS_SEEN true links are seen; nodes with a candidate near the threshold come first.
+    """
+    first = [F.col("near").desc()] if "near" in asked.columns else []
+    for queries in sizes:
+        sample = nodes.join(asked, "id").orderBy(*first, F.xxhash64("id"), "id").limit(queries).select("id", "dim", "vec").toArrow().to_pylist()
+        if not sample:
+            return 1.0
+        row = hits(true_links(nodes, sample, threshold)).agg(F.count(F.lit(1)), F.count("hit")).first()
+        if row[0] >= LINKS_SEEN or len(sample) < queries:
+            break
+    return row[1] / row[0] if row[0] else 1.0
+
+
+def linked(true: DataFrame, links: DataFrame) -> DataFrame:
+    return true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left")
+
+
+def together(true: DataFrame, groups: DataFrame) -> DataFrame:
+    own, other = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("u", "v"))
+    return true.join(own, "u", "left").join(other, "v", "left").select(F.when(F.col("of_u") == F.col("of_v"), 1).alias("hit"))
+
+
+def true_links(nodes: DataFrame, sample: list[dict], threshold: float) -> DataFrame:
     by_dim = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(r)
@@ -193,9 +225,39 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = A
                     other = own[q] != ids[at[n]]
                     yield pa.record_batch({"u": pa.array(own[q[other]]), "v": pa.array(ids[at[n[other]]])})
 
-    true = nodes.select("id", "dim", "vec").mapInArrow(run, "u long, v long")
-    row = true.join(links.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count(F.lit(1)), F.count("hit")).first()
-    return row[1] / row[0] if row[0] else 1.0
+    return nodes.select("id", "dim", "vec").mapInArrow(run, "u long, v long")
+
+
+def all_pairs(nodes: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect all linked nodes, and (id, n) of every node with links: each block of nodes against each other."""
+    blocks = -(-nodes.count() // block) or 1
+    placed = nodes.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int"))
+    visits = placed.select("dim", "id", "vec", "copies", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        "dim", F.least("own", "other").alias("host"), F.greatest("own", "other").alias("guest"), (F.col("own") <= F.col("other")).alias("hosted"),
+        "id", "vec", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in common.whole_groups(batches, ["dim", "host", "guest"], 1 << 13):
+            host, guest, hosted, ids, copies = (rows.column(c).to_numpy() for c in ("host", "guest", "hosted", "id", "copies"))
+            vecs = rows.column("vec")
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                alone = host[lo] == guest[lo]
+                q, m = lo + np.flatnonzero(hosted[lo:hi]), lo + np.flatnonzero(hosted[lo:hi] if alone else ~hosted[lo:hi])
+                if not len(q) or not len(m):
+                    continue
+                near = unit(vecs.take(pa.array(q)).to_pylist()) @ unit(vecs.take(pa.array(m)).to_pylist()).T >= threshold
+                near &= ids[q][:, None] != ids[m][None, :]
+                i, j = np.nonzero(near)
+                a, b = forest(ids[q][i], ids[m][j])
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b), "n": pa.nulls(len(a), pa.int64())})
+                for x, n in ((q, near @ copies[m]), *(() if alone else ((m, near.T @ copies[q]),))):
+                    some = np.flatnonzero(n)
+                    yield pa.record_batch({"a": pa.array(ids[x][some]), "b": pa.nulls(len(some), pa.int64()), "n": pa.array(n[some].astype(np.int64))})
+
+    cells = visits.repartition(common.shuffle_parts(nodes.sparkSession), "dim", "host", "guest").sortWithinPartitions("dim", "host", "guest")
+    found = staged(cells.mapInArrow(run, "a long, b long, n long"), "vector-pairs")
+    counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    return found.filter("n IS NULL").select("a", "b"), counts
 
 
 def enlarge(saturated: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -247,12 +309,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         # lists that are full are completed below; the others have to be complete by now
         open_links = links.join(degree.filter(F.col("n") >= k).select("u"), "u", "left_anti")
         closed = degree.filter(F.col("n") >= k).select(F.col("u").alias("id"))
-        if audit(nodes.join(closed, "id", "left_anti"), open_links, threshold) >= wanted_recall and turn:
+        best = graph.groupBy(F.col("u").alias("id")).agg(F.max("cos").alias("best"))
+        asked = nodes.select("id").join(closed, "id", "left_anti").join(best, "id", "left").select(
+            "id", F.coalesce(F.col("best") >= threshold - NEAR, F.lit(False)).alias("near"))
+        recall = recall_of(nodes, asked, lambda true: linked(true, open_links), threshold)
+        if recall >= wanted_recall and turn:
             break
     groups = staged(connected(links.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))), "vector-groups")
     saturated = staged(closed, "vectors-saturated")
     weighted = open_links.join(nodes.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n"))
-    counts = weighted.select(F.col("u").alias("id"), "n").unionByName(enlarge(saturated, groups, nodes, threshold, block))
+    # what a full list lacks is counted inside its component: all that it links has to be there
+    if min(recall, recall_of(nodes, saturated, lambda true: together(true, groups), threshold)) >= wanted_recall:
+        counts = weighted.select(F.col("u").alias("id"), "n").unionByName(enlarge(saturated, groups, nodes, threshold, block))
+    else:
+        edges, counts = all_pairs(nodes, threshold, block)
+        groups = staged(connected(edges), "vector-groups")
     node = staged(nodes.select("id", "copies").join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-nodes")
     # the smallest id of a node is its own, and so the smallest of a component is a node's

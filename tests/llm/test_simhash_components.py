@@ -128,3 +128,14 @@ def test_audit_sees_missing_links(spark):
     rows = [(i, [1.0, 0.01 * i]) for i in range(10)]
     _, nodes = embedding_dedup.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert embedding_dedup.audit(nodes, spark.createDataFrame([], "u long, v long"), 0.9) == 0.0
+
+
+def test_links_that_the_rounds_miss_are_found_by_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 4)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((110, 24))
+    rows = [(i + 1000 * k, (v + 0.08 * k * rng.standard_normal(24)).tolist()) for i, v in enumerate(base) for k in range(3)]
+    rows += [(5000 + i, (base[0] + 0.1 * rng.standard_normal(24)).tolist()) for i in range(20)] + [(6000, base[1].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(table, k=4, projections=1, max_rounds=1, block=64).collect()]
+    assert len(got) == len(rows) and set(got) == brute_vectors(rows)
