@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loanscope.llm import (
+    byte_bpe,
     decontaminate,
     embedding_dedup,
+    importance_resampling,
     line_dedup,
     mixing,
     ppm,
     simhash,
     substring_dedup,
+    token_alignment,
     toxicity,
     url_filters,
     warc,
@@ -77,13 +81,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.build(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, keep_text=False)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.read_tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = staged(token_alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizers), "alignment")
+    return token_alignment.link_scores(aligned, token_alignment.link_counts(aligned))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_embedding_near_dedup, op2_substring_dedup, op3_decontamination, op4_toxicity, op5_simhash_near_dedup,
-             op6_url_filters, op7_warc, op8_line_dedup, op9_language_model, op10_mixing, pipeline)
+             op6_url_filters, op7_warc, op8_line_dedup, op9_language_model, op10_mixing,
+             op11_byte_level_bpe, op12_token_alignment, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -152,5 +176,40 @@ FROM q
 """
 
 
+# CRC-32 from its definition (reversed polynomial 3988292384), for each distinct word once.
+OP13 = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS w FROM benchmark
+), dw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w
+), bw AS (SELECT w, count(*) AS n FROM b GROUP BY w
+), hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, strlen(w)), lambda i:
+      (strpos('0123456789ABCDEF', substr(hex(w), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(w), 2 * i + 2, 1)) - 1),
+    lambda a, x: list_reduce(range(0, 8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(a, x::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS k
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw)
+), s AS (SELECT k, sum(n)::DOUBLE AS n FROM dw JOIN hashed USING (w) GROUP BY k
+), t AS (SELECT k, sum(n)::DOUBLE AS n FROM bw JOIN hashed USING (w) GROUP BY k
+), gain AS (
+  SELECT w, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+    / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS g
+  FROM hashed LEFT JOIN s USING (k) LEFT JOIN t USING (k)
+), total AS (
+  SELECT doc_id, row, sum(g) AS g FROM (SELECT doc_id, row, unnest(w) AS w FROM (SELECT *, row_number() OVER () AS row FROM d)) JOIN gain USING (w) GROUP BY doc_id, row
+), weighed AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(floor(g::DOUBLE / len(w)), 0)::BIGINT AS weight
+  FROM (SELECT *, row_number() OVER () AS row FROM d) d LEFT JOIN total ON total.row = d.row
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM weighed
+), ranked AS (
+  SELECT *, n_features >= 20 AS may, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN may AND r <= (SELECT count(*) FROM ranked WHERE may) * 10 // 100 THEN r END AS rank
+FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op2_substring_dedup": OP2, "op3_decontamination": OP3, "op7_warc": OP7}
+    return {"op13_importance_resampling": OP13, "op1_embedding_near_dedup": OP1, "op2_substring_dedup": OP2, "op3_decontamination": OP3, "op7_warc": OP7}
