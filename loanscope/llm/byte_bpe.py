@@ -36,8 +36,8 @@ from loanscope.llm import common
 
 MATRIX_BYTES = 512
 MATRIX_CELLS = 1 << 21
-KEPT_PIECES = 1 << 18
-KEPT_BYTES = 16 << 20
+KEPT_PIECES = 1 << 17
+KEPT_BYTES = 8 << 20
 
 # The split pattern of byte-level tokenizers (fixed value).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,47 +36,64 @@ from loanscope.llm import byte_bpe, common
 from loanscope.session import staged
 
 PAIR_SHARE = 4e-6
+SLICE_BYTES = 1 << 19
 SPACE = "▁"  # stands for a space in pieces
 
 
-class ByteLevel:
-    """A byte-level tokenizer of a ``tokenizers`` file, given as its text.
-
-    Where the file says what ``byte_bpe`` does (the usual split pattern, plain merges in the order of their ids), distinct pieces are
-    merged there. Texts with characters on which the engines' Unicode tables differ, and all texts of other files, go to the library.
-    """
-
-    def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
-        as_byte = byte_of_characters()
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        entries = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.bytes = TokenBytes([bytes(as_byte[c] for c in e) if all(c in as_byte for c in e) else e.encode() for e in entries])
-        self.encoder = plain_encoder(json.loads(content), as_byte)
-        self.doubtful = frozenset(byte_bpe.unassigned_words())
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [self.encoder is not None and (t.isascii() or self.doubtful.isdisjoint(t)) for t in texts]
-        if all(plain):
-            ids, edges = self.encoder.encode([" " + t if t else t for t in texts])
-            return ids.astype(np.int64), edges
-        lists: list = [[]] * len(texts)
-        some = [i for i, t in enumerate(texts) if plain[i] and t]
-        if some:
-            ids, edges = self.encoder.encode([" " + texts[i] for i in some])
-            for i, x, y in zip(some, edges[:-1], edges[1:]):
-                lists[i] = ids[x:y]
-        others = [i for i, t in enumerate(texts) if t and not plain[i]]
-        for i, e in zip(others, self.tokenizer.encode_batch_fast([" " + texts[i] for i in others], add_special_tokens=False)):
-            lists[i] = e.ids
-        return flat(lists)
-
-
-def plain_encoder(spec: dict, as_byte: dict[str, int]) -> byte_bpe.Encoder | None:
+class TokenBytes:
+    def __init__(self, tokens: list[bytes]):
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[common.ranges(self.start[ids], self.size[ids])]
+
+
+@dataclass
+class Tokenizers:
+    """What tasks get of both tokenizers: contents of the files, tables made from them once."""
+
+    first: str
+    second: bytes
+    first_bytes: TokenBytes
+    second_bytes: TokenBytes
+    ranks: byte_bpe.Ranks | None  # where the first file says what ``byte_bpe`` does
+    doubtful: frozenset[str]  # characters on which the engines' Unicode tables differ
+    words_apart: bool  # no piece of the second model goes on after a space
+
+
+def read_tokenizers(first: str, second: str) -> Tokenizers:
+    """Read a ``tokenizers`` file and a ``sentencepiece`` model on the driver; the size of both is fixed."""
+    with open(first, encoding="utf-8") as a, open(second, "rb") as b:
+        first, second = a.read(), b.read()
+    library, pieces = library_of(first), pieces_of(second)
+    as_byte = byte_of_characters()
+    entries = [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
+    names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
+    spelled = [bytes([int(p[3:-1], 16)]) if pieces.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+    return Tokenizers(
+        first, second, TokenBytes([bytes(as_byte[c] for c in e) if all(c in as_byte for c in e) else e.encode() for e in entries]),
+        TokenBytes(spelled), plain_ranks(json.loads(first), as_byte), frozenset(byte_bpe.unassigned_words()),
+        not any(SPACE in p.lstrip(SPACE) for p in names))
+
+
+def library_of(content: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def pieces_of(content: bytes):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_proto=content)
+
+
+def plain_ranks(spec: dict, as_byte: dict[str, int]) -> byte_bpe.Ranks | None:
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     usual = (model.get("type", "BPE") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True)
              and not before.get("add_prefix_space") and spec.get("normalizer") is None and not model.get("dropout")
@@ -88,33 +107,67 @@ def plain_encoder(spec: dict, as_byte: dict[str, int]) -> byte_bpe.Encoder | Non
         return None
     pairs = {vocabulary[a] << 32 | vocabulary[b]: r for (a, b), r in zip(merges, rank)}
     single = {bytes([b]): vocabulary[c] for c, b in as_byte.items()}
-    return byte_bpe.Encoder(byte_bpe.with_pairs(single, pairs, byte_bpe.BYTE_LEVEL_PATTERN))
-
-
-class Pieces:
-    """A ``sentencepiece`` model, given as its bytes; it puts the space in front itself."""
-
-    def __init__(self, content: bytes):
-        from sentencepiece import SentencePieceProcessor
+    return byte_bpe.with_pairs(single, pairs, byte_bpe.BYTE_LEVEL_PATTERN)
 
-        self.processor = SentencePieceProcessor(model_proto=content)
-        ids = range(self.processor.get_piece_size())
-        self.bytes = TokenBytes([
-            bytes([int(self.processor.id_to_piece(i)[3:-1], 16)]) if self.processor.is_byte(i)
-            else self.processor.id_to_piece(i).replace(SPACE, " ").encode() for i in ids])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return flat([ids if t else [] for ids, t in zip(self.processor.encode(texts, num_threads=1), texts)])
+class ByteLevel:
+    """The first side: distinct pieces are merged by ``byte_bpe``; texts with characters in doubt, and all texts of files that
+    ask for something else, go to the library."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers, self.library = tokenizers, None
+        self.encoder = byte_bpe.Encoder(tokenizers.ranks) if tokenizers.ranks else None
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, the offset of each text, and which texts they are known to spell."""
+        doubtful = self.tokenizers.doubtful
+        plain = np.array([self.encoder is not None and (t.isascii() or doubtful.isdisjoint(t)) for t in texts], bool)
+        ids, edges = self.encoder.encode([" " + t if t and p else "" for t, p in zip(texts, plain)]) if plain.any() else flat([[]] * len(texts))
+        if plain.all():
+            return ids, edges, plain
+        self.library = self.library or library_of(self.tokenizers.first)
+        found = iter(self.library.encode_batch_fast([" " + t if t else "" for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return *flat([ids[x:y] if p else next(found).ids
+                      for x, y, p, t in zip(edges[:-1], edges[1:], plain, texts)]), plain
 
 
-class TokenBytes:
-    def __init__(self, tokens: list[bytes]):
-        self.data = np.frombuffer(b"".join(tokens), np.uint8)
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-
-    def joined(self, ids: np.ndarray) -> np.ndarray:
-        return self.data[common.ranges(self.start[ids], self.size[ids])]
+class Pieces:
+    """The second side. Where no piece goes on after a space, words between single spaces are encoded once while they are kept; the
+    model puts the space in front itself. Texts with further spaces go to the model as they are."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.model, self.bytes, self.words_apart = pieces_of(tokenizers.second), tokenizers.second_bytes, tokenizers.words_apart
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.start, self.count, self.same, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), 0
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.number) > byte_bpe.KEPT_PIECES or self.held > byte_bpe.KEPT_BYTES:
+            self.forget()
+        plain = np.array([self.words_apart and "  " not in t and t[:1] != " " and t[-1:] != " " for t in texts], bool)
+        found = [t.split(" ") if t and p else [] for t, p in zip(texts, plain)]
+        new = [w for w in dict.fromkeys(w for words in found for w in words) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            ids, edges = flat(self.model.encode(new, num_threads=1))
+            data, offsets = common.raw_text(pa.array([" " + w for w in new], pa.string()))
+            self.held += len(data)
+            self.same = np.concatenate([self.same, spelled(self.bytes, ids, edges, data, offsets)])
+            self.start = np.concatenate([self.start, len(self.ids) + edges[:-1]])
+            self.count = np.concatenate([self.count, np.diff(edges)])
+            self.ids = np.concatenate([self.ids, ids])
+        sizes = np.array([len(words) for words in found], np.int64)
+        place = self.number
+        at = np.fromiter((place[w] for words in found for w in words), np.int64, int(sizes.sum()))
+        edges = np.concatenate([[0], np.cumsum(self.count[at])])[np.concatenate([[0], np.cumsum(sizes)])]
+        ids = self.ids[common.ranges(self.start[at], self.count[at])]
+        wrong = np.bincount(np.repeat(np.arange(len(texts)), sizes), ~self.same[at], len(texts)) > 0
+        if plain.all():
+            return ids, edges, ~wrong
+        others = iter(self.model.encode([t for t, p in zip(texts, plain) if not p], num_threads=1))
+        return *flat([ids[x:y] if p else next(others) for x, y, p in zip(edges[:-1], edges[1:], plain)]), plain & ~wrong
 
 
 def byte_of_characters() -> dict[str, int]:
@@ -124,28 +177,17 @@ def byte_of_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-@functools.lru_cache(4)
-def loaded(kind: type, content):
-    return kind(content)
-
-
-def read_tokenizers(first: str, second: str) -> tuple[str, bytes]:
-    """Contents of a ``tokenizers`` file and of a ``sentencepiece`` model; tasks get these, not the paths."""
-    with open(first, encoding="utf-8") as a, open(second, "rb") as b:
-        return a.read(), b.read()
-
-
 def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
 
 
-def spelled(side, ids: np.ndarray, edges: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def spelled(side: TokenBytes, ids: np.ndarray, edges: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which texts the tokens spell: same bytes, same length."""
-    ends = np.concatenate([[0], np.cumsum(side.bytes.size[ids])])[edges]
+    ends = np.concatenate([[0], np.cumsum(side.size[ids])])[edges]
     length = np.diff(offsets)
     fits = np.diff(ends) == length
-    whole = side.bytes.joined(ids)
+    whole = side.joined(ids)
     at = np.flatnonzero(fits)
     same = whole[common.ranges(ends[at], length[at])] == data[common.ranges(offsets[at], length[at])]
     wrong = np.bincount(np.repeat(at, length[at]), ~same, len(fits))
@@ -177,24 +219,32 @@ def groups(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number[:n], number[n:]
 
 
-def align(docs: DataFrame, tokenizers: tuple[str, bytes], text: str = "text", key: str = "doc_id") -> DataFrame:
+def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, a_ids, b_ids, and a_sizes, b_sizes: how many tokens of each side the groups have, in their order."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = loaded(ByteLevel, shared.value[0]), loaded(Pieces, shared.value[1])
-        for part in common.slices(batches, "text"):
+        shared_tables = shared.value
+        first, second = ByteLevel(shared_tables), Pieces(shared_tables)
+        a_bytes, b_bytes = shared_tables.first_bytes, shared_tables.second_bytes
+        for part in common.slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            data, offsets = common.raw_text(pa.array([" " + t if t else "" for t in texts], pa.string()))
+            keep = np.array([bool(t) for t in texts], bool)
             sides = []
-            for side in (first, second):
-                sides.append((side, *side.encode(texts)))
-            keep = np.logical_and(*(spelled(side, ids, edges, data, offsets) for side, ids, edges in sides))
-            (a, a_edges), (b, b_edges) = (kept_ids(ids, edges, keep) for _, ids, edges in sides)
+            for side, table in ((first, a_bytes), (second, b_bytes)):
+                ids, edges, known = side.encode(texts)
+                asked = np.flatnonzero(~known & keep)
+                if len(asked):
+                    data, offsets = common.raw_text(pa.array([" " + texts[i] for i in asked], pa.string()))
+                    some, some_edges = kept_ids(ids, edges, np.isin(np.arange(len(texts)), asked))
+                    keep[asked] = spelled(table, some, some_edges[np.concatenate([asked, [len(texts)]])], data, offsets)
+                sides.append((ids, edges))
+            (a, a_edges), (b, b_edges) = (kept_ids(ids, edges, keep) for ids, edges in sides)
             # the texts of the slice stand one after the other, so no token of one overlaps a token of another
-            a_group, b_group = groups(first.bytes.size[a], second.bytes.size[b])
-            edges = [0, *np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), np.diff(a_edges))[starts_of(a_group)], minlength=len(texts)))]
+            a_group, b_group = groups(a_bytes.size[a], b_bytes.size[b])
+            text = np.repeat(np.arange(len(texts)), np.diff(a_edges))[starts_of(a_group)]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
             yield pa.record_batch({
                 "key": part.column("key"), "a_ids": listed(a, a_edges), "b_ids": listed(b, b_edges),
                 "a_sizes": listed(np.bincount(a_group) if len(a) else a, edges), "b_sizes": listed(np.bincount(b_group) if len(b) else b, edges)})
