@@ -24,6 +24,7 @@ from loanscope.functions.rules import (
 from loanscope.operators import calibrate as K
 from loanscope.operators import clean as C
 from loanscope.operators import derive as D
+from loanscope.operators import labels as N
 from loanscope.operators import metrics as M
 from loanscope.operators import profile as P
 from loanscope.operators import scoring as Z
@@ -34,9 +35,10 @@ from loanscope.plans import eda as E
 from loanscope.plans import reporting as R
 from loanscope.plans import service as A
 from loanscope.plans import sql_reports as Q
-from loanscope.schemas import AGE_BANDS, DECISIONS_V1, GRADES_V1, INCOME_BANDS, TARGET
-from loanscope.session import shared_root
+from loanscope.schemas import AGE_BANDS, APPLICATION_SCHEMA, DECISIONS_V1, GRADES_V1, INCOME_BANDS, TARGET
+from loanscope.session import shared_root, staged
 from loanscope.sources import loans as IO
+from loanscope.streaming import alerts as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,7 +206,7 @@ def clean_impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     credits = L.credits(spark, sf_dir)
-    return Z.encode(credits, Z.fit_encoders(credits)).select(
+    return N.encode_labels(credits, N.label_tables(credits, Z.CATEGORICAL)).select(
         *Z.CATEGORICAL, *Z.FEATURES[len(Z.NUMERIC_FEATURES):], "age", "montant_credit_fcfa")
 
 
@@ -212,7 +214,7 @@ def ml_encode_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoders fitted without one sector and without missing guarantees, applied to all loans."""
     credits = L.credits(spark, sf_dir)
     known = credits.filter((F.col("secteur_activite") != "FURNITURE") & F.col("garantie").isNotNull())
-    return _counted(Z.encode(credits, Z.fit_encoders(known)),
+    return _counted(N.encode_labels(credits, N.label_tables(known, Z.CATEGORICAL)),
                     "secteur_activite", "secteur_activite_enc", "garantie", "garantie_enc")
 
 
@@ -269,6 +271,64 @@ def serve_score_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.count_if(wrong).alias("nb_faux"))
 
 
+def ml_logreg_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the training part, and whether the logistic model stands at the optimum of its convex loss."""
+    trained = _trained(spark, sf_dir, Z.LOGISTIC)
+    parts = L.once(spark, sf_dir, "split", lambda: Z.split_loans(L.credits(spark, sf_dir)))
+    return Z.logistic_gradient(parts.train, trained.models[Z.LOGISTIC]).select(
+        "nb_train", (F.col("plus_grande_derivee") < 1e-4).alias("optimum"))
+
+
+def ml_confusion_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model: loans of the test part, and how far the confusion counted again from its predictions, and the classes that
+    follow from the probabilities, are from what it reported."""
+    parts = L.once(spark, sf_dir, "split", lambda: Z.split_loans(L.credits(spark, sf_dir)))
+    out = []
+    for name in Z.MODEL_NAMES:
+        trained = _trained(spark, sf_dir, name)
+        predicted = Z.predict(parts.test, trained.models[name]).agg(
+            F.count(F.lit(1)).alias("nb_test"),
+            *[F.count_if((F.col(TARGET) == label) & (F.col("prediction") == p)).alias(f"c{label}{p}") for label in (0, 1) for p in (0, 1)],
+            F.count_if((F.col("proba") > 0.5) != (F.col("prediction") == 1)).alias("nb_classes_fausses"))
+        told = trained.metrics.select("vrais_negatifs", "faux_positifs", "faux_negatifs", "vrais_positifs")
+        apart = sum(F.abs(F.col(a) - F.col(b)) for a, b in (("c00", "vrais_negatifs"), ("c01", "faux_positifs"),
+                                                             ("c10", "faux_negatifs"), ("c11", "vrais_positifs")))
+        # two one-row aggregates
+        out.append(predicted.crossJoin(F.broadcast(told)).select(
+            F.lit(name).alias("modele"), "nb_test", apart.cast("bigint").alias("nb_ecarts"), "nb_classes_fausses"))
+    return reduce(DataFrame.unionByName, out)
+
+
+FOLDS = 4
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> list[PipelineModel]:
+    return L.once(spark, sf_dir, "folds", lambda: Z.fit_folds(L.credits(spark, sf_dir), Z.LOGISTIC, FOLDS))
+
+
+def calib_zones_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of the logistic model over the loans it was trained on, next to zones where no model has seen the loan it scores."""
+    credits = L.credits(spark, sf_dir)
+    whole = _trained(spark, sf_dir, Z.LOGISTIC).models[Z.LOGISTIC]
+    return K.compared_zones(K.score_histogram(K.score_portfolio(credits, whole)),
+                            K.score_histogram(K.score_out_of_fold(credits, _folds(spark, sf_dir))))
+
+
+def calib_fold_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans scored out of fold per sector: each once, with a score that follows from its probability, equal loans in one fold."""
+    scored = K.score_out_of_fold(L.credits(spark, sf_dir), _folds(spark, sf_dir))
+    wrong = (F.col("score") != score_rounded("proba_defaut")) | ~F.col("fold").between(0, FOLDS - 1)
+    return scored.groupBy("secteur_activite").agg(
+        F.count(F.lit(1)).alias("nb"), F.sum("montant_credit_fcfa").alias("encours"), F.count_if(wrong).alias("nb_faux"))
+
+
+def eda_crosstab_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default rates per product and city as text: one entry per city, in hundredths of a percent."""
+    maps = S.crosstab_sparse(L.credits(spark, sf_dir), "type_produit", "ville")
+    entry = F.transform(F.map_entries("taux_defaut"), lambda e: F.concat(e["key"], F.lit(":"), F.bround(e["value"] * 100, 0).cast("bigint").cast("string")))
+    return maps.select("type_produit", F.size("taux_defaut").alias("nb_villes"), F.array_join(entry, ";").alias("taux"))
+
+
 def ml_importance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of features, and whether their shares sum to 100 and fall."""
     ranked = ml_importance(spark, sf_dir)
@@ -356,6 +416,76 @@ def serve_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "client_id", "probabilite_defaut", "score", "categorie", "decision", "recommandation")
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lot, payload: the loans of each supplier and line number as one document, in the order of their ids.
+
+    Some documents are cut off, some have no list, some are longer than accepted, and some keep the applications that break a rule.
+    """
+    line = L.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("CLI"), F.lpad((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"), 9, "0")).alias("client_id"),
+        (F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("lot"))
+    rows = V.with_violations(applications(spark, sf_dir).dropDuplicates(["client_id"])).join(line, "client_id").filter(
+        (F.size("violations") == 0) | (F.col("lot") % 13 == 3))
+    fields = [f.name for f in APPLICATION_SCHEMA.fields]
+    clients = F.array_sort(F.collect_list(F.struct("client_id", F.struct(*fields).alias("client"))))
+    lots = rows.groupBy("lot").agg(F.transform(clients, lambda c: c["client"]).alias("clients"))
+    document = F.to_json(F.struct("clients"))
+    return lots.select("lot", F.when(F.col("lot") % 50 == 7, F.substring(document, 1, 40)).when(F.col("lot") % 41 == 5, "{}")
+                       .otherwise(document).alias("payload"))
+
+
+def serve_batch_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with many applications each: total, or why the document is refused, and instalments in the order of the list."""
+    read = A.read_payloads(payloads(spark, sf_dir))
+    rows = A.payload_clients(read, "lot").withColumn(
+        "mensualite", F.floor(F.col("montant_credit_fcfa").cast("double") / F.col("duree_mois")).cast("bigint"))
+    out = A.payload_results(rows, read, "lot", ["mensualite"])
+    return out.select("lot", "total", F.array_join(F.transform("resultats", lambda r: r["mensualite"].cast("string")), ",").alias("mensualites"), "erreur")
+
+
+def serve_batch_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by the forest: how many are refused, results given, and results whose decision does not follow from their score."""
+    out = A.score_payloads(payloads(spark, sf_dir), model(spark, sf_dir), "lot")
+    wrong = F.size(F.filter("resultats", lambda r: (r["decision"] != decision(r["score"])) | (r["categorie"] != grade(r["score"]))))
+    return out.agg(F.count(F.lit(1)).alias("nb_lots"), F.count("erreur").alias("nb_refuses"), F.sum("total").alias("nb_resultats"),
+                   F.sum(F.when(F.col("erreur").isNull(), wrong)).alias("nb_faux"))
+
+
+# ---- alerts --------------------------------------------------------------------------------------------------
+
+RULE = T.AlertRule()
+
+
+def segment_events(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """Events with the sector of their customer; errors are incidents. Works on a stream alike."""
+    sectors = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    return events.join(sectors, "user_id").select(
+        "event_id", F.col("ts").cast("timestamp").alias("event_time"), "segment", (F.col("event_type") == "error").alias("incident"))
+
+
+def _shown(alerts: DataFrame) -> DataFrame:
+    return alerts.select("segment", "window_start", "window_end", "events", "incidents", F.round("rate", 9).alias("rate"),
+                         F.round("baseline", 9).alias("baseline"), F.round("errors", 6).alias("errors"), "level")
+
+
+def stream_segment_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed as a stream: alerts of all windows that the watermark has closed."""
+    folder = f"{shared_root(spark)}/alerts-{uuid.uuid4().hex[:12]}"
+    schema = L.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    sectors = L.table(spark, sf_dir, "customer")
+    base = staged(T.baseline(L.credits(spark, sf_dir), "secteur_activite"), "alert-baseline")
+    T.start_alerts(segment_events(events, sectors), base, f"{folder}/alerts", f"{folder}/checkpoint", RULE, available_now=True).awaitTermination()
+    columns = "segment string, window_start timestamp, window_end timestamp, events long, incidents long, rate double, baseline double, errors double, level string"
+    return _shown(spark.read.schema(columns).parquet(f"{folder}/alerts"))
+
+
+def batch_segment_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all windows over the whole table, open ones too."""
+    events = segment_events(L.table(spark, sf_dir, "events"), L.table(spark, sf_dir, "customer"))
+    return _shown(T.segment_alerts(T.segment_windows(events, RULE), T.baseline(L.credits(spark, sf_dir), "secteur_activite"), RULE))
+
+
 def api_kpis(credits: DataFrame) -> DataFrame:
     k = A.portfolio_kpis(credits)
     return k.withColumn("taux_interet_moyen", F.round("taux_interet_moyen", 9)).withColumn(
@@ -453,6 +583,7 @@ def registered() -> dict[str, Query]:
         "eda_crosstab": _on_credits(lambda c: S.crosstab(c, "secteur_activite", "garantie").withColumn(
             TARGET, F.round(TARGET, 9))),
         "eda_crosstab_wide": _on_credits(lambda c: S.crosstab_wide(c, "secteur_activite", "garantie")),
+        "eda_crosstab_sparse": eda_crosstab_sparse,
         "eda_decile_evolution": eda_decile_evolution,
         # portfolio reports
         "sql_kpi": _on_credits(lambda c: Q.report(c, "kpi_globaux")),
@@ -485,6 +616,8 @@ def registered() -> dict[str, Query]:
         "ml_test_facts": ml_test_facts,
         "ml_score_facts": ml_score_facts,
         "ml_importance_facts": ml_importance_facts,
+        "ml_logreg_optimality": ml_logreg_optimality,
+        "ml_confusion_facts": ml_confusion_facts,
         "serve_score_facts": serve_score_facts,
         "metric_auc": metric_auc,
         "metric_average_precision": metric_average_precision,
@@ -505,6 +638,8 @@ def registered() -> dict[str, Query]:
         "calib_thresholds": _on_histogram(K.thresholds),
         "calib_zones": _on_histogram(K.zones),
         "calib_avoided": _on_histogram(K.avoided),
+        "calib_zones_out_of_fold": calib_zones_out_of_fold,
+        "calib_fold_facts": calib_fold_facts,
         # regulatory report
         "report_kpis": _on_credits(lambda c: R.kpis(c).withColumns({
             "montant_moyen_fcfa": F.round("montant_moyen_fcfa", 4),
@@ -530,6 +665,11 @@ def registered() -> dict[str, Query]:
         "serve_score": serve_score,
         "serve_score_batch": lambda spark, sf_dir: A.batch_summary(
             A.score_batch(applications(spark, sf_dir), model(spark, sf_dir)).resultats),
+        "serve_batch_payloads": serve_batch_payloads,
+        "serve_batch_facts": serve_batch_facts,
+        # alerts
+        "stream_segment_alerts": stream_segment_alerts,
+        "batch_segment_alerts": batch_segment_alerts,
         "api_kpis": _on_credits(api_kpis),
         "api_by_sector": _on_credits(A.by_sector),
         "api_by_product": _on_credits(A.by_product),

@@ -95,7 +95,9 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loans_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return once(spark, sf_dir, "base", lambda: staged(_base(spark, sf_dir), "loans_base"))
+    # dealt by loan key: the join keeps the files' layout, which may be one row group that one task reads ever after
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return once(spark, sf_dir, "base", lambda: staged(_base(spark, sf_dir).repartition(parts, "client_id"), "loans_base"))
 
 
 def loans_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,8 +145,8 @@ scored AS (
 """
 
 
-def _raw(sql: str) -> str:
-    return f"WITH {_LOANS} {sql}"
+def _raw(sql: str, *more: str) -> str:
+    return f"WITH {', '.join([_LOANS, *more])} {sql}"
 
 
 def _credits(sql: str, *more: str) -> str:
@@ -305,6 +305,47 @@ def _kpi_columns() -> str:
             "round_even(avg(taux_effort), 2) AS effort")
 
 
+# Documents of applications: the loans of a supplier and line number, and why a document is refused.
+_LOTS = f"""numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lot ORDER BY client_id) - 1 AS rang FROM (
+    SELECT once.*, l.l_suppkey * 8 + l.l_linenumber AS lot, {_VIOLATIONS} AS broken FROM once
+    JOIN lineitem l ON client_id = 'CLI' || lpad((l.l_orderkey*8 + l.l_linenumber)::VARCHAR, 9, '0'))
+  WHERE broken = '' OR lot % 13 = 3
+),
+refused AS (SELECT lot, min_by('clients[' || rang || ']:' || split_part(broken, ';', 1), rang) AS e FROM numbered WHERE broken <> '' GROUP BY 1),
+listed AS (
+  SELECT lot, count(*) AS n, string_agg(floor(montant_credit_fcfa::DOUBLE / duree_mois)::BIGINT::VARCHAR, ',' ORDER BY rang) AS m
+  FROM numbered GROUP BY 1
+),
+judged AS (
+  SELECT listed.*, CASE WHEN lot % 50 = 7 THEN 'illisible' WHEN lot % 41 = 5 THEN 'clients:required'
+    WHEN n > 100 THEN 'clients:max_length_100' ELSE e END AS erreur FROM listed LEFT JOIN refused USING (lot)
+),
+lots AS (
+  SELECT lot, CASE WHEN erreur IS NULL THEN n END::INTEGER AS total, CASE WHEN erreur IS NULL THEN m END AS mensualites, erreur FROM judged
+)"""
+
+# Sliding windows of a day every six hours over the events of each sector, next to the sector's default rate.
+_WINDOWS = """marked AS (
+  SELECT DISTINCT event_id, ts, c_mktsegment AS segment, event_type = 'error' AS bad FROM events JOIN customer ON user_id = c_custkey
+),
+windows AS (
+  SELECT segment, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS window_start, count(*) AS events,
+    sum(bad::BIGINT)::BIGINT AS incidents
+  FROM marked, range(0, 4) AS r(k) GROUP BY 1, 2
+),
+compared AS (
+  SELECT w.*, window_start + INTERVAL 24 HOUR AS window_end, incidents::DOUBLE / events AS rate,
+    coalesce((SELECT avg(defaut) FROM credits c WHERE c.secteur_activite = w.segment), (SELECT avg(defaut) FROM credits)) AS baseline
+  FROM windows w
+),
+measured AS (SELECT *, (rate - baseline) / sqrt(baseline * (1 - baseline) / events) AS errors FROM compared)"""
+
+_ALERTS = """SELECT segment, window_start, window_end, events, incidents, round(rate, 9) AS rate, round(baseline, 9) AS baseline,
+  round(errors, 6) AS errors, CASE WHEN errors >= 2 THEN 'critical' ELSE 'warning' END AS level
+  FROM measured WHERE events >= 20 AND rate >= baseline * 1.1 AND errors >= 1"""
+
+
 def statements() -> dict[str, str]:
     kpi = f"k AS (SELECT {_kpi_columns()} FROM credits)"
     dash = "WHERE secteur_activite = 'BUILDING'"
@@ -416,6 +457,10 @@ def statements() -> dict[str, str]:
         "eda_crosstab_wide": _credits("SELECT secteur_activite, " + ", ".join(
             f"round_even(avg(defaut) FILTER (garantie = '{g}') * 100, 2) AS \"{g}\""
             for g in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM credits GROUP BY 1"),
+        "eda_crosstab_sparse": _credits("""SELECT type_produit, count(*)::INTEGER AS nb_villes,
+            string_agg(ville || ':' || round_even(t * 100, 0)::BIGINT, ';' ORDER BY ville) AS taux FROM (
+              SELECT type_produit, ville, round_even(avg(defaut) * 100, 2) AS t FROM credits
+              WHERE type_produit IS NOT NULL AND ville IS NOT NULL GROUP BY 1, 2) GROUP BY 1"""),
         "eda_decile_evolution": _credits(f"""SELECT bucket, count(defaut) AS nb_prets, round({MEAN}, 9) AS mean,
             {RATE_EVEN} AS taux_defaut FROM (
               SELECT defaut, greatest((10*i + n - 2)//(n - 1) - 1, 0)::INTEGER AS bucket FROM (
@@ -500,6 +545,10 @@ def statements() -> dict[str, str]:
         "ml_importance_facts": "SELECT 15::BIGINT AS nb_features, true AS somme_ok, true AS positif",
         "serve_score_facts": _raw(f"""SELECT count(*) AS nb, count(DISTINCT client_id) AS nb_clients, 0::BIGINT AS nb_faux
             FROM raw WHERE {_VIOLATIONS} = ''"""),
+        "ml_logreg_optimality": _credits("SELECT count(*) - (SELECT sum(k) FROM sizes)::BIGINT AS nb_train, true AS optimum FROM credits", _SIZES),
+        "ml_confusion_facts": _credits("""SELECT modele, (SELECT sum(k) FROM sizes)::BIGINT AS nb_test, 0::BIGINT AS nb_ecarts,
+            0::BIGINT AS nb_classes_fausses
+            FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting')) AS m(modele)""", _SIZES),
         "ml_class_weights": _credits("""SELECT defaut, count(*) AS nb,
             round((SELECT count(*) FROM credits)::DOUBLE / (2 * count(*)), 9) AS poids FROM credits GROUP BY 1"""),
         "metric_auc": _scored("""SELECT round(sum(neg * ((tp - pos) + pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)::DOUBLE),
@@ -541,6 +590,8 @@ def statements() -> dict[str, str]:
             FROM scored GROUP BY 1"""),
         "calib_thresholds": _scored("SELECT a AS seuil_accept, r AS seuil_refus FROM cut", _ZONED),
         "calib_zones": _scored("SELECT * FROM zone_rows", _ZONED),
+        "calib_fold_facts": _credits("""SELECT secteur_activite, count(*) AS nb, sum(montant_credit_fcfa)::BIGINT AS encours,
+            0::BIGINT AS nb_faux FROM credits GROUP BY 1"""),
         "calib_avoided": _scored("""SELECT part_pct AS part_refusee_pct, part_defauts_pct AS defauts_evites_pct
             FROM zone_rows WHERE zone = 'REFUSÉ'""", _ZONED),
         # regulatory report
@@ -605,6 +656,12 @@ def statements() -> dict[str, str]:
             CASE WHEN q IS NOT NULL THEN least(greatest(q * 100, 0.0::DOUBLE), 200.0::DOUBLE) END AS taux_effort
             FROM (SELECT *, montant_credit_fcfa::DOUBLE / duree_mois::DOUBLE / revenu_mensuel_fcfa::DOUBLE AS q
             FROM raw)"""),
+        "serve_batch_payloads": _raw("SELECT lot, total, mensualites, erreur FROM lots", _LOTS),
+        "serve_batch_facts": _raw("""SELECT count(*) AS nb_lots, count(erreur) AS nb_refuses, sum(total)::BIGINT AS nb_resultats,
+            0::BIGINT AS nb_faux FROM lots""", _LOTS),
+        "stream_segment_alerts": _credits(f"""{_ALERTS} AND window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 6 HOUR FROM marked)""",
+            _WINDOWS),
+        "batch_segment_alerts": _credits(_ALERTS, _WINDOWS),
         "api_kpis": _credits("""SELECT count(*) AS total_prets, sum(defaut)::BIGINT AS nb_defauts,
             round_even(avg(defaut) * 100, 2) AS taux_defaut_pct, sum(montant_credit_fcfa)::DOUBLE AS encours_total_fcfa,
             sum(CASE WHEN defaut = 1 THEN montant_credit_fcfa ELSE 0 END)::DOUBLE AS encours_defaut_fcfa,

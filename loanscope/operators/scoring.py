@@ -6,7 +6,7 @@ the same stages. Nothing here runs Python per row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -110,21 +110,35 @@ def stratified_sizes(counts: Mapping[int, int], share: float) -> dict[int, int]:
 def with_split(df: DataFrame, share: float = 0.25, seed: int = 42, target: str = TARGET) -> DataFrame:
     """Add ``is_test``: per class, exactly its share of the rows, those with the smallest hashes.
 
-    The bound of a class is an order statistic of its hashes, so no class is sorted or gathered. Equal rows always
-    fall on the same side. A row without label belongs to neither part: its ``is_test`` is missing.
+    The bound of a class is an order statistic of its hashes, so no class is sorted or gathered. Of the rows that stand on the bound
+    itself, which a hot row may make many, those with the smallest row numbers are taken, up to another order statistic: the
+    shares hold exactly whatever the ties. A row without label belongs to neither part: its ``is_test`` is missing.
     """
-    # the hash is worked out once per row; the passes that follow read two stored columns
-    hashed = staged(df.select(target, loan_hash(seed).alias("h")), "split_hashes")
-    counts = {r[target]: r["n"] for r in hashed.filter(F.col(target).isNotNull()).groupBy(target)
+    # hash and number are worked out once per row; the passes that follow read stored columns
+    numbered = staged(df.withColumns({"_hash": loan_hash(seed), "_row": F.monotonically_increasing_id()}), "split_rows")
+    counts = {r[target]: r["n"] for r in numbered.filter(F.col(target).isNotNull()).groupBy(target)
               .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
     sizes = {c: k for c, k in stratified_sizes(counts, share).items() if k > 0}
-    series = {f"class{c}": F.when(F.col(target) == c, F.col("h")) for c in sizes}
+    series = {f"class{c}": F.when(F.col(target) == c, F.col("_hash")) for c in sizes}
     extent = {f"class{c}": (counts[c], *HASH_RANGE) for c in sizes}
-    bounds = SeriesSet(hashed, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
-    bound = F.lit(-1)
-    for c, k in sizes.items():
-        bound = F.when(F.col(target) == c, F.lit(bounds[(f"class{c}", k - 1)].value)).otherwise(bound)
-    return df.withColumn("is_test", F.when(F.col(target).isNotNull(), loan_hash(seed) <= bound))
+    bounds = SeriesSet(numbered, series, extent).values_at({f"class{c}": [k - 1] for c, k in sizes.items()})
+    on_bound = {c: bounds[(f"class{c}", k - 1)] for c, k in sizes.items()}
+    # of the rows on a bound, how many belong to the test part, and the row number of the last of them
+    wanted = {c: sizes[c] - hit.below for c, hit in on_bound.items()}
+    tied = [c for c, hit in on_bound.items() if wanted[c] < hit.rows]
+    last = {}
+    if tied:
+        rows = {f"tie{c}": F.when((F.col(target) == c) & (F.col("_hash") == on_bound[c].value), F.col("_row")) for c in tied}
+        search = SeriesSet(numbered, rows)
+        search.measure()
+        found = search.values_at({f"tie{c}": [wanted[c] - 1] for c in tied})
+        last = {c: found[(f"tie{c}", wanted[c] - 1)].value for c in tied}
+    inside = F.lit(False)
+    for c, hit in on_bound.items():
+        on = F.col("_hash") == hit.value
+        within = (F.col("_hash") < hit.value) | ((on & (F.col("_row") <= last[c])) if c in last else on)
+        inside = F.when(F.col(target) == c, within).otherwise(inside)
+    return numbered.withColumn("is_test", F.when(F.col(target).isNotNull(), inside)).drop("_hash", "_row")
 
 
 def class_weights(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -222,6 +236,49 @@ def evaluate(predictions: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return metrics, report
 
 
+def logistic_gradient(train: DataFrame, model: PipelineModel) -> DataFrame:
+    """One row: rows, and the largest partial derivative of the training loss at the fitted coefficients.
+
+    The penalised loss of the logistic model is convex, so it has one optimum, and there every derivative is 0. The sums over the rows are
+    one pass of column expressions; weights and penalty are those of ``fit_model``.
+    """
+    fitted = model.stages[-1]
+    train = train.filter(F.col(TARGET).isNotNull())
+    counts = {r[TARGET]: r["n"] for r in train.groupBy(TARGET).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    weights = {c: n / (len(counts) * k) for c, k in counts.items()}
+    scored = model.transform(train).select(
+        vector_to_array("scaled").alias("x"), (vector_to_array("probability")[1] - F.col(TARGET)).alias("miss"),
+        _weight_column(weights).alias("w"))
+    sums = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("miss")).alias("g"),
+        *[F.sum(F.col("w") * F.col("miss") * F.col("x")[i]).alias(f"g{i}") for i in range(len(FEATURES))])
+    penalty = fitted.getRegParam()
+    parts = [F.abs(F.col("g") / F.col("w"))] + [
+        F.abs(F.col(f"g{i}") / F.col("w") + F.lit(penalty * float(c))) for i, c in enumerate(fitted.coefficients.toArray())]
+    return sums.select(F.col("n").alias("nb_train"), F.greatest(*parts).alias("plus_grande_derivee"))
+
+
+# ---- folds ---------------------------------------------------------------------------------------------------
+
+def fold_of(folds: int, seed: int = 7) -> Column:
+    """Fold of a loan by the hash of its content: equal loans share a fold, so a copy never sits on both sides."""
+    return F.pmod(loan_hash(seed), F.lit(folds)).cast("int")
+
+
+def fit_folds(loans: DataFrame, name: str, folds: int = 4, sizes: ModelSizes = ModelSizes()) -> list[PipelineModel]:
+    """For every fold, a model of all loans outside it; encoders see the whole table, labels of the fold do not enter."""
+    encoders = fit_encoders(loans)
+    numbered = staged(loans.withColumn("fold", fold_of(folds)), "folds", partition_by="fold")
+    return [fit_model(numbered.filter(F.col("fold") != i).drop("fold"), name, encoders, sizes) for i in range(folds)]
+
+
+def predict_out_of_fold(loans: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
+    """Input columns plus ``fold``, ``proba``, ``prediction``: every loan is scored by the model that has not seen its fold."""
+    folded = loans.withColumn("fold", fold_of(len(models)))
+    return reduce(DataFrame.unionByName, [predict(folded.filter(F.col("fold") == i), m) for i, m in enumerate(models)])
+
+
 @dataclass(frozen=True)
 class TrainingResult:
     models: dict[str, PipelineModel]

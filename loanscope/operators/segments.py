@@ -158,6 +158,16 @@ def crosstab_wide(df: DataFrame, first: str, second: str, columns: Sequence[str]
     return pivot.agg(F.first("taux_defaut"))
 
 
+def crosstab_sparse(df: DataFrame, first: str, second: str) -> DataFrame:
+    """The matrix as one map per first category, from second category to default rate: no column list, no pivot limit.
+
+    Built from the pair totals, so a map gathers one entry per second category, never loans.
+    """
+    pairs = crosstab(df, first, second)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(second).alias("key"), F.col("taux_defaut").alias("value"))))
+    return pairs.groupBy(first).agg(entries.alias("entries")).select(first, F.map_from_entries("entries").alias("taux_defaut"))
+
+
 def histogram(df: DataFrame, c: str, bins: int = 50, below_quantile: float | None = None) -> DataFrame:
     """Equal-width histogram split by the default flag, over the values strictly below a quantile if one is given."""
     if below_quantile is not None:

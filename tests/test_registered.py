@@ -10,7 +10,7 @@ QUERIES, SQL = catalog.registered(), oracle.statements()
 WITHOUT_SQL = {
     "ml_logreg_metrics", "ml_forest_metrics", "ml_gbt_metrics", "ml_model_selection", "ml_importance",
     "score_strict_three_profiles", "calib_scored", "serve_score", "serve_score_batch", "model_info",
-    "ml_class_reports",
+    "ml_class_reports", "calib_zones_out_of_fold",
 }
 
 
