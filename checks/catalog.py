@@ -417,21 +417,19 @@ def serve_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lot, payload: the loans of each supplier and line number as one document, in the order of their ids.
+    """lot, payload: the loans of 25 consecutive orders as one document, in a fixed order.
 
     Some documents are cut off, some have no list, some are longer than accepted, and some keep the applications that break a rule.
     """
-    line = L.table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("CLI"), F.lpad((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"), 9, "0")).alias("client_id"),
-        (F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("lot"))
-    rows = V.with_violations(applications(spark, sf_dir).dropDuplicates(["client_id"])).join(line, "client_id").filter(
+    loans = V.with_violations(L.loans_labelled(spark, sf_dir)).withColumn(
+        "lot", F.floor(F.substring("client_id", 4, 20).cast("bigint") / 200)).filter(
         (F.size("violations") == 0) | (F.col("lot") % 13 == 3))
-    fields = [f.name for f in APPLICATION_SCHEMA.fields]
-    clients = F.array_sort(F.collect_list(F.struct("client_id", F.struct(*fields).alias("client"))))
-    lots = rows.groupBy("lot").agg(F.transform(clients, lambda c: c["client"]).alias("clients"))
+    client = F.struct(*[f.name for f in APPLICATION_SCHEMA.fields])
+    order = F.struct("client_id", "montant_credit_fcfa", "duree_mois", "h")
+    clients = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("order"), client.alias("client")))), lambda c: c["client"])
     document = F.to_json(F.struct("clients"))
-    return lots.select("lot", F.when(F.col("lot") % 50 == 7, F.substring(document, 1, 40)).when(F.col("lot") % 41 == 5, "{}")
-                       .otherwise(document).alias("payload"))
+    return loans.groupBy("lot").agg(clients.alias("clients")).select(
+        "lot", F.when(F.col("lot") % 50 == 7, F.substring(document, 1, 40)).when(F.col("lot") % 41 == 5, "{}").otherwise(document).alias("payload"))
 
 
 def serve_batch_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,8 +469,9 @@ def _shown(alerts: DataFrame) -> DataFrame:
 def stream_segment_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events replayed as a stream: alerts of all windows that the watermark has closed."""
     folder = f"{shared_root(spark)}/alerts-{uuid.uuid4().hex[:12]}"
-    schema = L.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    table = L.table(spark, sf_dir, "events")
+    table.write.parquet(f"{folder}/events")  # a stream reads folders, the table may be one file
+    events = spark.readStream.schema(table.schema).parquet(f"{folder}/events")
     sectors = L.table(spark, sf_dir, "customer")
     base = staged(T.baseline(L.credits(spark, sf_dir), "secteur_activite"), "alert-baseline")
     T.start_alerts(segment_events(events, sectors), base, f"{folder}/alerts", f"{folder}/checkpoint", RULE, available_now=True).awaitTermination()

@@ -305,11 +305,10 @@ def _kpi_columns() -> str:
             "round_even(avg(taux_effort), 2) AS effort")
 
 
-# Documents of applications: the loans of a supplier and line number, and why a document is refused.
+# Documents of applications: the loans of 25 consecutive orders, and why a document is refused.
 _LOTS = f"""numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY lot ORDER BY client_id) - 1 AS rang FROM (
-    SELECT once.*, l.l_suppkey * 8 + l.l_linenumber AS lot, {_VIOLATIONS} AS broken FROM once
-    JOIN lineitem l ON client_id = 'CLI' || lpad((l.l_orderkey*8 + l.l_linenumber)::VARCHAR, 9, '0'))
+  SELECT *, row_number() OVER (PARTITION BY lot ORDER BY client_id, montant_credit_fcfa, duree_mois, h) - 1 AS rang FROM (
+    SELECT *, substr(client_id, 4)::BIGINT // 200 AS lot, {_VIOLATIONS} AS broken FROM once)
   WHERE broken = '' OR lot % 13 = 3
 ),
 refused AS (SELECT lot, min_by('clients[' || rang || ']:' || split_part(broken, ';', 1), rang) AS e FROM numbered WHERE broken <> '' GROUP BY 1),
