@@ -6,11 +6,13 @@ symbol seen there) to the next shorter context, in which the symbols that the lo
 empty context all remaining byte values are equally likely. The probabilities of all 256 continuations sum to one everywhere.
 
 Training is pretrained over the whole training part: every task counts its byte runs and words, sends them packed by bucket,
-and the buckets are added up; the counts grow with the corpus and never pass through one task. Every context counts. Those that make up
-at least ``CONTEXT_SHARE`` of all positions are sent to every task: at most ``ORDER / CONTEXT_SHARE`` at every corpus size, a proven
-bound. Positions whose longest context is among them are scored in the task. The grams (context and symbol) of all others are sent,
-packed, to the bucket that holds all training grams with the same shortest context that is not frequent, so every longer context of
-theirs is whole there, and none of these groups is frequent: buckets stay even.
+and the buckets are added up; the counts grow with the corpus and never pass through one task. A bucket holds all runs (context of
+``ORDER`` bytes and symbol) whose contexts end in the same ``BUCKET_DEPTH`` bytes, so every longer context is whole there; the shorter ones
+are one small table (at most 65,536 pairs of bytes). Sorted runs are packed byte plane by byte plane: one to two bytes each.
+
+Every context counts. Those with at least ``CONTEXT_SHARE`` of all positions are sent to every task: at most ``ORDER / CONTEXT_SHARE``
+at every corpus size, with the symbols seen there. Positions whose longest context is among them are scored in the task. The runs of
+all others are sent, packed, to their bucket, which holds what is needed to cost them exactly.
 
 Word counts for the base score: words with at least ``WORD_SHARE`` of all tokens (at most ``1 / WORD_SHARE``, a proven bound)
 are looked up in the task; all other tokens are sent, packed, to the bucket that holds their word's count. No word that
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from loanscope.llm import common
 from loanscope.session import staged
 
 ORDER = 6
-CONTEXT_SHARE = 1e-5
+BUCKET_DEPTH = 2
+CONTEXT_SHARE = 1e-6
 WORD_SHARE = 2e-6
 END = 10  # the end byte; white space never occurs inside a word
 
@@ -71,7 +73,8 @@ def gram_keys(stream: np.ndarray, stop: np.ndarray, order: int) -> np.ndarray:
 
 
 def count_corpus(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, int]:
-    """(gram, n), (bucket, words, counts) with packed arrays, and the number of texts, over all rows of ``docs``."""
+    """(bucket, keys, counts, total) of grams and (bucket, words, counts) of words with packed arrays, and the number of texts, over
+    all rows of ``docs``."""
     spark = docs.sparkSession
     parts = common.shuffle_parts(spark)
 
@@ -96,7 +99,7 @@ def count_corpus(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
                 continue
             merge(kind)
             keys, counts = held[kind].pop()
-            dealt, edges = common.deal(common.mix(keys) if kind == "gram" else keys, parts)
+            dealt, edges = common.deal(bucket_hash(keys, order) if kind == "gram" else keys, parts)
             keys, counts = keys[dealt], counts[dealt].astype(np.int64)
             full = np.flatnonzero(np.diff(edges))
             yield packed(kind, full, [keys[edges[b] : edges[b + 1]] for b in full], [counts[edges[b] : edges[b + 1]] for b in full])
@@ -104,16 +107,20 @@ def count_corpus(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
             yield packed("text", np.array([0]), [np.zeros(1, np.uint64)], [np.array([texts], np.int64)])
 
     def packed(kind, buckets, keys, counts) -> pa.RecordBatch:
+        small = kind == "gram"
         return pa.record_batch({
             "kind": pa.array([kind] * len(buckets)), "bucket": pa.array(buckets.astype(np.int32)),
-            "keys": pa.array([k.tobytes() for k in keys], pa.binary()), "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+            "keys": pa.array([pack_planes(k, order + 1) if small else k.tobytes() for k in keys], pa.binary()),
+            "counts": pa.array([pack_planes(c, 8) if small else c.tobytes() for c in counts], pa.binary()),
+            "total": pa.array([int(c.sum()) for c in counts], pa.int64())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         for batch in batches:
             for kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts"))):
                 one = held.setdefault((kind, bucket), [])
-                one.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+                one.append((unpack_planes(keys, order + 1), unpack_planes(counts, 8).astype(np.int64)) if kind == "gram"
+                           else (np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
                 if len(one) > 16:
                     held[kind, bucket] = [merged(one)]
         for (kind, bucket), one in held.items():
@@ -123,51 +130,12 @@ def count_corpus(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
     def merged(one: list) -> tuple[np.ndarray, np.ndarray]:
         return common.summed(np.concatenate([k for k, _ in one]), np.concatenate([c for _, c in one]))
 
-    schema = "kind string, bucket int, keys binary, counts binary"
+    schema = "kind string, bucket int, keys binary, counts binary, total long"
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     counts = staged(sent.repartitionById(parts, F.col("bucket")).mapInArrow(add, schema), "ppm-counts")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                yield pa.record_batch({"gram": pa.array(np.frombuffer(keys, np.int64)), "n": pa.array(np.frombuffer(n, np.int64))})
-
-    grams = counts.filter("kind = 'gram'").select("keys", "counts").mapInArrow(rows, "gram long, n long")
-    texts = counts.filter("kind = 'text'").select("keys", "counts").mapInArrow(rows, "gram long, n long").agg(F.sum("n")).first()[0]
+    texts = counts.filter("kind = 'text'").agg(F.sum("total")).first()[0]
     words = counts.filter("kind = 'word'").select("bucket", F.col("keys").alias("words"), "counts")
-    return grams, words, int(texts or 0)
-
-
-@dataclass
-class Frequent:
-    """The contexts that every task holds. ``cost`` is indexed by state * symbols + symbol; ``cells`` are the indexes seen, sorted."""
-
-    by_depth: list[np.ndarray]  # contexts of each depth, sorted; the state of a context is ``first[depth]`` and its place
-    first: np.ndarray
-    symbol_of: np.ndarray
-    symbols: int
-    cost: np.ndarray
-    escape: np.ndarray  # by state
-    cells: np.ndarray
-    counts: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-    order: int
-
-    def depth(self, grams: np.ndarray) -> np.ndarray:
-        """Depth of the longest context held of each gram; all shorter ones are held too."""
-        depth = np.zeros(len(grams), np.int64)
-        going = np.arange(len(grams))
-        for k in range(1, self.order + 1):
-            going = going[found(self.by_depth[k], context_of(grams[going], k)) >= 0]
-            depth[going] = k
-        return depth
-
-    def state(self, grams: np.ndarray, depth: int) -> np.ndarray:
-        return self.first[depth] + found(self.by_depth[depth], context_of(grams, depth))
-
-    def at(self, grams: np.ndarray, depth: int) -> np.ndarray:
-        return self.state(grams, depth) * self.symbols + self.symbol_of[(grams & np.uint64(255)).astype(np.int64)]
+    return counts.filter("kind = 'gram'").drop("kind"), words, int(texts or 0)
 
 
 def found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -178,207 +146,160 @@ def found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def tail(grams: np.ndarray, depth: int) -> np.ndarray:
+    """Context of ``depth`` bytes and symbol."""
+    return grams & np.uint64((1 << (8 * (depth + 1))) - 1)
+
+
 def context_of(grams: np.ndarray, depth: int) -> np.ndarray:
-    return (grams >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-
-
-def rest_bucket(grams: np.ndarray, depth: np.ndarray, parts: int) -> np.ndarray:
-    """Bucket of grams whose longest context is not held: all with the same shortest context that is not held meet in one."""
-    size = (8 * (depth + 1)).astype(np.uint64)
-    own = (grams >> np.uint64(8)) & ((np.uint64(1) << size) - np.uint64(1))
-    return (common.mix(own ^ (size << np.uint64(56))) % np.uint64(parts)).astype(np.int64)
-
-
-def kept_contexts(grams: DataFrame, order: int, share: float) -> pa.Table:
-    """depth, context, symbol, n of every context with at least ``share`` of all positions, and of the empty one."""
-    # each depth is added up from the next deeper one, which has dropped its first byte
-    level = grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-    levels = []
-    for k in range(order, -1, -1):
-        level = staged(level.withColumn("context", F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1)))
-                       .groupBy("context", "symbol").agg(F.sum("n").alias("n")), "ppm-nodes")
-        levels.append(level.select(F.lit(k).alias("depth"), "context", "symbol", "n"))
-    nodes = reduce(DataFrame.unionByName, levels)
-    positions = level.agg(F.sum("n")).first()[0] or 0
-    frequent = nodes.groupBy("depth", "context").agg(F.sum("n").alias("total")).filter(
-        (F.col("depth") == 0) | (F.col("total") >= share * positions))
-    return nodes.join(frequent, ["depth", "context"]).select("depth", "context", "symbol", "n").toArrow()
-
-
-def frequent_contexts(nodes: pa.Table, order: int) -> Frequent:
-    depth, context, symbol, n = (nodes.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
-    by_depth = [np.unique(context[depth == k]) for k in range(order + 1)]
-    if not len(by_depth[0]):
-        by_depth[0] = np.zeros(1, np.int64)
-    first = np.concatenate([[0], np.cumsum([len(c) for c in by_depth])])
-    seen_bytes = np.union1d(np.unique(symbol[depth == 0]), [END]).astype(np.int64)
-    symbols = len(seen_bytes) + 1  # one more for all bytes never seen
-    symbol_of = np.full(256, symbols - 1, np.uint8)
-    symbol_of[seen_bytes] = np.arange(len(seen_bytes))
-
-    def state(k: int, contexts: np.ndarray) -> np.ndarray:
-        """Number of each context at depth k, or -1."""
-        at = np.searchsorted(by_depth[k], contexts)
-        at = np.minimum(at, max(len(by_depth[k]) - 1, 0))
-        return np.where(len(by_depth[k]) and by_depth[k][at] == contexts, first[k] + at, -1) if len(by_depth[k]) else np.full(len(contexts), -1)
-
-    states = int(first[-1])
-    counts = np.zeros((states, symbols))
-    for k in range(order + 1):
-        rows = depth == k
-        counts[state(k, context[rows]), symbol_of[symbol[rows]]] = n[rows]
-    seen = counts > 0
-
-    def coded(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost of each symbol of a context and of its escape: half a count of every distinct symbol goes to the escape."""
-        total = np.maximum(rest.sum(axis=1, keepdims=True), 1)
-        kinds = (rest > 0).sum(axis=1, keepdims=True)
-        escape = np.where(kinds > 0, -np.log10(np.maximum(kinds, 1) / (2 * total)), 0.0)
-        return -np.log10(np.maximum(rest - 0.5, 0.5) / total), escape
-
-    # cost below a state for symbols that it has not seen, by depth
-    below = np.zeros((states, symbols))
-    cost = np.zeros((states, symbols))
-    parent = np.zeros(states, np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(order + 1):
-            rows = np.arange(first[k], first[k + 1])
-            if not len(rows):
-                continue
-            if k == 0:
-                # all byte values that were never seen share what is left
-                below[0] = np.log10(max(256 - int(seen[0].sum()), 1))
-            else:
-                parent[rows] = up = state(k - 1, by_depth[k] & ((1 << (8 * (k - 1))) - 1))
-                own, escape = coded(np.where(seen[rows], 0.0, counts[up]))
-                below[rows] = np.where(seen[up], own, escape + below[up])
-            own, escape = coded(counts[rows])
-            cost[rows] = np.where(seen[rows], own, escape + below[rows])
-    cells = np.flatnonzero(seen.ravel())
-    totals, kinds = counts.sum(axis=1), seen.sum(axis=1)
-    return Frequent([c.astype(np.uint64) for c in by_depth], first, symbol_of, symbols, cost.astype(np.float32).ravel(),
-                    escape_cost(kinds, totals), cells, counts.ravel()[cells], totals, kinds, order)
+    return tail(grams, depth) >> np.uint64(8)
+
+
+def bucket_hash(grams: np.ndarray, order: int) -> np.ndarray:
+    """All grams whose contexts end in the same bytes have the same hash."""
+    return common.mix(context_of(grams, min(BUCKET_DEPTH, order)))
+
+
+def pack_planes(values: np.ndarray, size: int) -> bytes:
+    """Numbers byte by byte, first bytes first, compressed: sorted or small ones become short."""
+    bytes_ = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(bytes_.T).tobytes())
+
+
+def unpack_planes(data: bytes, size: int) -> np.ndarray:
+    part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    whole = np.zeros((part.shape[1], 8), np.uint8)
+    whole[:, 8 - size :] = part.T
+    return whole.view(">u8").ravel().astype(np.uint64)
 
 
 def escape_cost(kinds: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Half a count of every distinct symbol goes to the escape."""
     return np.where(kinds > 0, -np.log10(np.maximum(kinds, 1) / (2 * np.maximum(totals, 1))), 0.0)
 
 
-class RestCosts:
-    """Costs of grams whose longest context is not held, from all training grams of their bucket: nothing is left out.
-
-    For each depth the grams are added up to (context, symbol). A symbol that a context has not seen is coded by an escape to the
-    next shorter one without the symbols seen here; below the shortest context of the bucket that is a frequent one.
-    """
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray, model: Frequent):
-        self.model = model
-        depth = model.depth(grams)
-        self.nodes: dict[int, tuple] = {}
-        for k in range(model.order, 0, -1):
-            grams, n, depth = grams[depth < k], n[depth < k], depth[depth < k]
-            mask = np.uint64((1 << (8 * (k + 1))) - 1)
-            self.nodes[k] = common.summed(grams & mask, n)
-        self.contexts: dict[int, tuple] = {}
-        for k in range(1, model.order + 1):
-            keys, n = self.nodes[k]
-            new = np.flatnonzero(np.concatenate([[True], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)])) if len(keys) else np.zeros(0, np.int64)
-            context = keys[new] >> np.uint64(8)
+class Trie:
+    """Counts by depth of some contexts and of all that they end in, and the costs that follow from them."""
+
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
+        """``nodes[k]``: sorted contexts of ``k`` bytes with their symbol, and counts."""
+        self.nodes = nodes
+        self.contexts: list[tuple[np.ndarray, ...]] = []  # context, total, kinds; and of the next shorter one what was not seen here
+        for k, (keys, n) in enumerate(nodes):
+            context = keys >> np.uint64(8)
+            new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
             if not len(new):
-                self.contexts[k] = (context, *[np.zeros(0)] * 4)
+                self.contexts.append((context, *[np.zeros(0)] * 4))
                 continue
             total, kinds = np.add.reduceat(n, new), np.diff(np.concatenate([new, [len(keys)]]))
-            above, above_total, above_kinds = np.zeros(len(keys)), np.zeros(len(new)), np.zeros(len(new))
-            shorter = model.depth(keys)  # at most k - 1
-            own = shorter == k - 1
-            above[own] = self.held_counts(keys[own], k - 1)
-            above[~own] = self.counts(keys[~own], k - 1)
-            head, own = keys[new], own[new]
-            state = model.state(head[own], k - 1)
-            above_total[own], above_kinds[own] = model.totals[state], model.kinds[state]
-            if (~own).any():
-                at = found(self.contexts[k - 1][0], context_of(head[~own], k - 1))
-                above_total[~own], above_kinds[~own] = self.contexts[k - 1][1][at], self.contexts[k - 1][2][at]
-            self.contexts[k] = (context, total, kinds, above_total - np.add.reduceat(above, new), above_kinds - kinds)
+            left_total, left_kinds = np.zeros(len(new)), np.zeros(len(new))
+            if k:
+                shorter, up_total, up_kinds = self.contexts[k - 1][:3]
+                at = found(shorter, context_of(keys[new], k - 1))
+                seen = np.add.reduceat(self.counts(keys, k - 1), new)
+                left_total, left_kinds = up_total[at] - seen, up_kinds[at] - kinds
+            self.contexts.append((context[new], total, kinds, left_total, left_kinds))
+
+    @property
+    def order(self) -> int:
+        return len(self.nodes) - 1
 
     def counts(self, grams: np.ndarray, k: int) -> np.ndarray:
-        if not len(grams):
-            return np.zeros(0)
         keys, n = self.nodes[k]
-        at = found(keys, grams & np.uint64((1 << (8 * (k + 1))) - 1))
+        at = found(keys, tail(grams, k))
         return np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(grams))
 
-    def held_counts(self, grams: np.ndarray, k: int) -> np.ndarray:
-        at = found(self.model.cells, self.model.at(grams, k))
-        return np.where(at >= 0, self.model.counts[at], 0) if len(self.model.cells) else np.zeros(len(grams))
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        return found(self.contexts[-1][0], context_of(grams, self.order)) >= 0
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """Negative log10 probability of the symbol of each gram after its context.
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        model = self.model
-        depth = model.depth(grams)
+        A symbol that a context has not seen is coded by an escape to the next shorter one without the symbols seen here; below the
+        empty context all byte values that were never seen share what is left. Contexts never seen are passed over.
+        """
         cost = np.zeros(len(grams))
-        open_, escaped = np.ones(len(grams), bool), np.zeros(len(grams), bool)
+        open_ = np.arange(len(grams))
+        escaped = np.zeros(len(grams), bool)
         total, kinds = np.zeros(len(grams)), np.zeros(len(grams))  # of the next shorter context, without what was seen above
-        for k in range(model.order, -1, -1):
-            i = np.flatnonzero(open_ & (depth < k))
-            if len(i):
-                context, all_total, all_kinds, left_total, left_kinds = self.contexts[k]
-                at = found(context, context_of(grams[i], k))
-                i, at = i[at >= 0], at[at >= 0]
-                t, m = (np.where(escaped[i], x[i], y[at]) for x, y in ((total, all_total), (kinds, all_kinds)))
-                n = self.counts(grams[i], k)
-                cost[i] += np.where(n > 0, -np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(t, 1)), escape_cost(m, t))
-                open_[i[n > 0]] = False
-                i, at = i[n == 0], at[n == 0]
-                escaped[i], total[i], kinds[i] = True, left_total[at], left_kinds[at]
-            i = np.flatnonzero(open_ & (depth == k))
-            if len(i):
-                cell = model.at(grams[i], k)
-                n = self.held_counts(grams[i], k)
-                after = np.where(n > 0, -np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(total[i], 1)),
-                                 escape_cost(kinds[i], total[i]) + model.cost[cell] - model.escape[cell // model.symbols])
-                cost[i] += np.where(escaped[i], after, model.cost[cell])
-                open_[i] = False
+        for k in range(self.order, -1, -1):
+            context, all_total, all_kinds, left_total, left_kinds = self.contexts[k]
+            at = found(context, context_of(grams[open_], k))
+            i, at = open_[at >= 0], at[at >= 0]
+            t, m = (np.where(escaped[i], x[i], y[at]) if len(y) else x[i] for x, y in ((total, all_total), (kinds, all_kinds)))
+            n = self.counts(grams[i], k)
+            cost[i] += np.where(n > 0, -np.log10(np.maximum(n - 0.5, 0.5) / np.maximum(t, 1)), escape_cost(m, t))
+            going = n == 0
+            escaped[i[going]] = True
+            if len(at):
+                total[i[going]], kinds[i[going]] = left_total[at[going]], left_kinds[at[going]]
+            coded = np.zeros(len(grams), bool)
+            coded[i[~going]] = True
+            open_ = open_[~coded[open_]]
+            if not len(open_):
+                break
+        cost[open_] += np.log10(max(256 - len(self.nodes[0][0]), 1))
         return cost
 
 
-def planes(grams: np.ndarray, order: int) -> bytes:
-    """Grams byte by byte, first bytes first: sorted ones compress well."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - order :].T).tobytes()
+def deepened(grams: np.ndarray, n: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
+    """The trie of the whole grams of a bucket above the table of short contexts."""
+    deeper = []
+    for k in range(order, len(short) - 1, -1):
+        grams, n = common.summed(tail(grams, k), n)
+        deeper.append((grams, n))
+    return Trie(short + deeper[::-1])
 
 
-def from_planes(data: bytes, order: int) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(order + 1, -1).T
-    whole = np.zeros((len(part), 8), np.uint8)
-    whole[:, 7 - order :] = part
-    return whole.view(">u8").ravel().astype(np.uint64)
+def short_contexts(grams: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the contexts that are shorter than what makes a bucket: at most 256 ** BUCKET_DEPTH pairs."""
+    depth = min(BUCKET_DEPTH - 1, order)
 
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                keys, n = common.summed(tail(unpack_planes(keys, order + 1), depth), unpack_planes(n, 8).astype(np.int64))
+                yield pa.record_batch({"gram": pa.array(keys.astype(np.int64)), "n": pa.array(n)})
 
-def rest_grams(grams: DataFrame, model: Frequent) -> DataFrame:
-    """bucket, keys, counts: the training grams whose longest context is not held, packed by the bucket that is asked for them."""
-    spark = grams.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    parts = common.shuffle_parts(spark)
+    rows = grams.select("keys", "counts").mapInArrow(shorten, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = common.summed(rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy())
+    nodes = []
+    for k in range(depth, -1, -1):
+        keys, n = common.summed(tail(keys, k), n)
+        nodes.append((keys, n))
+    return nodes[::-1]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = batch.column("gram").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            depth = shared.value.depth(keys)
-            rest = np.flatnonzero(depth < shared.value.order)
-            bucket = rest_bucket(keys[rest], depth[rest], parts)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
-            full = np.flatnonzero(np.diff(edges))
-            dealt = [rest[by[edges[b] : edges[b + 1]]] for b in full]
-            yield pa.record_batch({"bucket": pa.array(full.astype(np.int32)), "keys": pa.array([keys[d].tobytes() for d in dealt], pa.binary()),
-                                   "counts": pa.array([n[d].tobytes() for d in dealt], pa.binary())})
 
-    return grams.mapInArrow(deal, "bucket int, keys binary, counts binary")
+def frequent_contexts(grams: DataFrame, short: list[tuple[np.ndarray, np.ndarray]], order: int, share: float) -> Trie:
+    """The contexts with at least ``share`` of all positions, with all symbols seen there."""
+    least = share * int(short[0][1].sum())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                keys, n = unpack_planes(keys, order + 1), unpack_planes(n, 8).astype(np.int64)
+                for k in range(order, len(short) - 1, -1):
+                    keys, n = common.summed(tail(keys, k), n)
+                    context = keys >> np.uint64(8)
+                    new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+                    often = np.repeat(np.add.reduceat(n, new) >= least, np.diff(np.concatenate([new, [len(keys)]])))
+                    if often.any():
+                        yield pa.record_batch({"depth": pa.array([k], pa.int32()), "keys": pa.array([pack_planes(keys[often], order + 1)], pa.binary()),
+                                               "counts": pa.array([pack_planes(n[often], 8)], pa.binary())})
+
+    kept = grams.select("keys", "counts").mapInArrow(keep, "depth int, keys binary, counts binary").toArrow()
+    deeper: list[list] = [[] for _ in range(len(short), order + 1)]
+    for depth, keys, n in zip(*(kept.column(c).to_pylist() for c in ("depth", "keys", "counts"))):
+        deeper[depth - len(short)].append((unpack_planes(keys, order + 1), unpack_planes(n, 8).astype(np.int64)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Trie(short + [common.summed(*map(np.concatenate, zip(*(one or [none])))) for one in deeper])
 
 
 @dataclass
 class LanguageModel:
-    contexts: Frequent
-    rest: DataFrame  # bucket, keys, counts: grams of all other contexts
+    contexts: Trie  # the frequent ones
+    short: list[tuple[np.ndarray, np.ndarray]]
+    grams: DataFrame  # bucket, keys, counts: all of them
     words: DataFrame  # bucket, words, counts
     frequent: tuple[np.ndarray, np.ndarray]
     tokens: int
@@ -410,8 +331,9 @@ def train(docs: DataFrame, order: int = ORDER, context_share: float = CONTEXT_SH
     word = found.column("word").to_numpy().view(np.uint64)
     by = np.argsort(word)
     frequent = (word[by], found.column("n").to_numpy()[by])
-    contexts = frequent_contexts(kept_contexts(grams, order, context_share), order)
-    return LanguageModel(contexts, rest_grams(grams, contexts), words, frequent, tokens, distinct, texts, common.shuffle_parts(spark))
+    short = short_contexts(grams, order)
+    contexts = frequent_contexts(grams, short, order, context_share)
+    return LanguageModel(contexts, short, grams, words, frequent, tokens, distinct, texts, common.shuffle_parts(spark))
 
 
 def known(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -427,31 +349,29 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.contexts, model.frequent))
+    low = spark.sparkContext.broadcast(model.short)
     parts, end_count, order = model.parts, model.texts, model.contexts.order
 
-    def held_scores(stream, stop, contexts) -> tuple[np.ndarray, tuple]:
-        """Score of each text over positions whose longest context is held; the other grams, their depth, and their texts."""
+    def held_scores(stream, stop, contexts: Trie) -> tuple[np.ndarray, tuple]:
+        """Score of each text over positions whose longest context is held; the other grams, how often each occurs, and in which texts."""
         begin = np.concatenate([[0], stop[:-1]]) + order
         text = np.repeat(np.arange(len(stop)), stop - begin)
         grams, place = np.unique(gram_keys(stream, stop, order), return_inverse=True)
-        depth = contexts.depth(grams)
-        here = depth == order
+        here = contexts.holds(grams)
         cost = np.zeros(len(grams))
-        cost[here] = contexts.cost[contexts.at(grams[here], order)]
+        cost[here] = contexts.cost(grams[here])
         rest = np.flatnonzero(~here[place])
         by = rest[np.argsort(place[rest], kind="stable")]
-        return -np.bincount(text, cost[place], len(stop)), (grams[~here], depth[~here], np.bincount(place[by], minlength=len(grams))[~here], text[by])
+        return -np.bincount(text, cost[place], len(stop)), (grams[~here], np.bincount(place[by], minlength=len(grams))[~here], text[by])
 
-    def gram_asks(first_row, n, grams, depth, times, texts) -> pa.RecordBatch:
-        bucket = rest_bucket(grams, depth, parts)
-        by = np.argsort(bucket, kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
+    def gram_asks(first_row, n, grams, times, texts) -> pa.RecordBatch:
+        by, edges = common.deal(bucket_hash(grams, order), parts)  # stable, so the grams of a bucket stay sorted
         full = np.flatnonzero(np.diff(edges))
         begin = np.concatenate([[0], np.cumsum(times)[:-1]])
-        texts = texts.astype(np.uint16 if n <= 1 << 16 else np.uint32)
         dealt = [by[edges[b] : edges[b + 1]] for b in full]
-        return asks(full, first_row, [planes(grams[d], order) for d in dealt],
-                    [texts[common.ranges(begin[d], times[d])] for d in dealt], [times[d].astype(np.uint32) for d in dealt], small=True)
+        size = 2 if n <= 1 << 16 else 4
+        return asks(full, first_row, [pack_planes(grams[d], order + 1) for d in dealt],
+                    [pack_planes(texts[common.ranges(begin[d], times[d])], size) for d in dealt], [pack_planes(times[d], 4) for d in dealt])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, frequent = shared.value
@@ -482,7 +402,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 dealt, edges = common.deal(words[rare], parts)
                 w, t = words[rare][dealt], text[dealt]
                 full = np.flatnonzero(np.diff(edges))
-                yield asks(full, int(row[0]), [w[edges[b] : edges[b + 1]] for b in full], [t[edges[b] : edges[b + 1]] for b in full])
+                yield asks(full, int(row[0]), [w[edges[b] : edges[b + 1]].tobytes() for b in full], [t[edges[b] : edges[b + 1]].tobytes() for b in full])
 
     def rows_of(row, doc_id, n_tokens, n_known, base, value) -> pa.RecordBatch:
         n = len(row)
@@ -492,19 +412,14 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
             "bucket": pa.nulls(n, pa.int32()), "words": pa.nulls(n, pa.binary()), "texts": pa.nulls(n, pa.binary()),
             "times": pa.nulls(n, pa.binary())})
 
-    def asks(buckets, first_row, words, texts, times=None, small=False) -> pa.RecordBatch:
-        if small:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            words, texts, times = ([np.frombuffer(pack(x if isinstance(x, bytes) else x.tobytes()), np.uint8) for x in part]
-                                   for part in (words, texts, times))
+    def asks(buckets, first_row, words, texts, times=None) -> pa.RecordBatch:
         n = len(buckets)
         return pa.record_batch({
             "row": pa.array([first_row] * n, pa.int64()), "doc_id": pa.nulls(n, pa.int64()),
             "n_tokens": pa.nulls(n, pa.int64()), "n_known": pa.nulls(n, pa.int64()), "base": pa.nulls(n, pa.float64()),
             "score": pa.nulls(n, pa.float64()), "bucket": pa.array(buckets.astype(np.int32)),
-            "words": pa.array([w.tobytes() for w in words], pa.binary()),
-            "texts": pa.array([t.tobytes() for t in texts], pa.binary()),
-            "times": pa.array([t.tobytes() for t in times] if times else [None] * n, pa.binary())})
+            "words": pa.array(words, pa.binary()), "texts": pa.array(texts, pa.binary()),
+            "times": pa.array(times or [None] * n, pa.binary())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, tuple] = {}
@@ -532,13 +447,12 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def gram_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of a bucket come sorted: its training grams first
-        bucket, table, costs, asked, size = None, [], None, [], 0
-        unpack = zstandard.ZstdDecompressor().decompress
+        bucket, table, trie, asked, size = None, [], None, [], 0
 
         def answers() -> pa.RecordBatch:
             grams = np.concatenate([a[1] for a in asked])
             distinct, place = np.unique(grams, return_inverse=True)
-            cost = costs.of(distinct)[place]
+            cost = trie.cost(distinct)[place]
             rows, at = [], 0
             for row, own, times, texts in asked:
                 each = np.repeat(cost[at : at + len(own)], times)
@@ -556,19 +470,18 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 if b != bucket:
                     if asked:
                         yield answers()
-                    bucket, table, costs, asked, size = b, [], None, [], 0
+                    bucket, table, trie, asked, size = b, [], None, [], 0
                 if row is None:
-                    table.append((np.frombuffer(keys, np.uint64), np.frombuffer(other, np.int64)))
+                    table.append((unpack_planes(keys, order + 1), unpack_planes(other, 8).astype(np.int64)))
                     continue
-                if costs is None:
+                if trie is None:
                     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                    costs = RestCosts(*(np.concatenate(x) for x in zip(*(table or [none]))), shared.value[0])
+                    trie = deepened(*(np.concatenate(x) for x in zip(*(table or [none]))), low.value, order)
                     table = []
-                keys, other, times = map(unpack, (keys, other, times))
-                times = np.frombuffer(times, np.uint32)
-                kind = np.uint16 if len(other) == 2 * int(times.sum()) else np.uint32
-                asked.append((row, from_planes(keys, order), times, np.frombuffer(other, kind).astype(np.int64)))
-                size += len(asked[-1][3])
+                times = unpack_planes(times, 4).astype(np.int64)
+                texts = unpack_planes(other, zstandard.frame_content_size(other) // int(times.sum())).astype(np.int64)
+                asked.append((row, unpack_planes(keys, order + 1), times, texts))
+                size += len(texts)
                 if size > 1 << 20:
                     yield answers()
                     asked, size = [], 0
@@ -596,7 +509,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return (dealt.sortWithinPartitions("bucket", "row") if by is gram_answer else dealt).mapInArrow(by, answered)
 
     back = replies(asked.filter("times IS NULL"), model.words, answer).unionByName(
-        replies(asked.filter("times IS NOT NULL"), model.rest.withColumnRenamed("keys", "words"), gram_answer))
+        replies(asked.filter("times IS NOT NULL"), model.grams.withColumnRenamed("keys", "words"), gram_answer))
     answers = back.repartitionById(parts, F.col("bucket")).mapInArrow(add, "row long, more long, log double, rest double")
     spread = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     return scored.filter("bucket IS NULL").join(answers, "row", "left").select(
