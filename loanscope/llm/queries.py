@@ -92,8 +92,8 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizers = token_alignment.read_tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    aligned = staged(token_alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizers), "alignment")
-    return token_alignment.link_scores(aligned, token_alignment.link_counts(aligned))
+    linked = staged(token_alignment.align_links(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizers), "alignment")
+    return token_alignment.link_scores(linked, token_alignment.link_counts(linked))
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

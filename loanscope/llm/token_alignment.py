@@ -6,7 +6,7 @@ pointers are doubled (each token takes the pointer of its target) until nothing
 token holds the terminal token of its group, the smallest run of bytes in which both sides begin and end together. The number of
 doublings is the logarithm of the longest chain.
 
-``align`` needs no shuffle and returns ids and group sizes of each text. ``link_counts`` adds up, over the whole corpus, how often each pair
+``align`` needs no shuffle and returns ids and group sizes of each text, ``align_links`` only its links, packed. ``link_counts`` adds up, over the whole corpus, how often each pair
 of ids ends together (tasks add first, so a pair that a third of all links share is one row of a task), and marks the pairs that are the
 most frequent ones of their second id. ``link_scores`` carries the counts back to the texts: pairs with at least ``PAIR_SHARE`` of all
 links (at most ``1 / PAIR_SHARE``, a proven bound) are held by every task, all others are joined; none of those is frequent, so the join
@@ -219,39 +219,97 @@ def groups(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return number[:n], number[n:]
 
 
-def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, a_ids, b_ids, and a_sizes, b_sizes: how many tokens of each side the groups have, in their order."""
+@dataclass
+class Slice:
+    """Aligned texts of a slice, one after the other: ids and offsets of the texts on both sides, tokens per group, groups per text."""
+
+    a: np.ndarray
+    a_edges: np.ndarray
+    b: np.ndarray
+    b_edges: np.ndarray
+    a_sizes: np.ndarray
+    b_sizes: np.ndarray
+    edges: np.ndarray
+
+    def links(self) -> np.ndarray:
+        """Pairs of ids that end together, first id << 32 | second id: the last tokens of each group."""
+        return self.a[np.cumsum(self.a_sizes) - 1] << 32 | self.b[np.cumsum(self.b_sizes) - 1]
+
+
+class Aligner:
+    def __init__(self, tokenizers: Tokenizers):
+        self.first, self.second = ByteLevel(tokenizers), Pieces(tokenizers)
+        self.a_bytes, self.b_bytes = tokenizers.first_bytes, tokenizers.second_bytes
+
+    def align(self, texts: list[str]) -> Slice:
+        keep = np.array([bool(t) for t in texts], bool)
+        sides = []
+        for side, table in ((self.first, self.a_bytes), (self.second, self.b_bytes)):
+            ids, edges, known = side.encode(texts)
+            asked = np.flatnonzero(~known & keep)
+            if len(asked):
+                data, offsets = common.raw_text(pa.array([" " + texts[i] for i in asked], pa.string()))
+                some, some_edges = kept_ids(ids, edges, np.isin(np.arange(len(texts)), asked))
+                keep[asked] = spelled(table, some, some_edges[np.concatenate([asked, [len(texts)]])], data, offsets)
+            sides.append((ids.astype(np.int64), edges))
+        (a, a_edges), (b, b_edges) = ((ids, edges) if keep.all() else kept_ids(ids, edges, keep) for ids, edges in sides)
+        # no token of one text overlaps a token of another
+        a_group, b_group = groups(self.a_bytes.size[a], self.b_bytes.size[b])
+        text = np.repeat(np.arange(len(texts)), np.diff(a_edges))[starts_of(a_group)]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
+        return Slice(a, a_edges, b, b_edges, np.bincount(a_group) if len(a) else a, np.bincount(b_group) if len(b) else b, edges)
+
+
+def slices_of(docs: DataFrame, tokenizers: Tokenizers, text: str, key: str, columns, schema: str) -> DataFrame:
+    """``key`` and what ``columns`` makes of each aligned slice."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared_tables = shared.value
-        first, second = ByteLevel(shared_tables), Pieces(shared_tables)
-        a_bytes, b_bytes = shared_tables.first_bytes, shared_tables.second_bytes
+        aligner = Aligner(shared.value)
         for part in common.slices(batches, "text", SLICE_BYTES):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            keep = np.array([bool(t) for t in texts], bool)
-            sides = []
-            for side, table in ((first, a_bytes), (second, b_bytes)):
-                ids, edges, known = side.encode(texts)
-                asked = np.flatnonzero(~known & keep)
-                if len(asked):
-                    data, offsets = common.raw_text(pa.array([" " + texts[i] for i in asked], pa.string()))
-                    some, some_edges = kept_ids(ids, edges, np.isin(np.arange(len(texts)), asked))
-                    keep[asked] = spelled(table, some, some_edges[np.concatenate([asked, [len(texts)]])], data, offsets)
-                sides.append((ids, edges))
-            (a, a_edges), (b, b_edges) = (kept_ids(ids, edges, keep) for ids, edges in sides)
-            # the texts of the slice stand one after the other, so no token of one overlaps a token of another
-            a_group, b_group = groups(a_bytes.size[a], b_bytes.size[b])
-            text = np.repeat(np.arange(len(texts)), np.diff(a_edges))[starts_of(a_group)]
-            edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
-            yield pa.record_batch({
-                "key": part.column("key"), "a_ids": listed(a, a_edges), "b_ids": listed(b, b_edges),
-                "a_sizes": listed(np.bincount(a_group) if len(a) else a, edges), "b_sizes": listed(np.bincount(b_group) if len(b) else b, edges)})
+            yield pa.record_batch({"key": part.column("key")} | columns(aligner.align([t or "" for t in part.column("text").to_pylist()])))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    lists = ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
-    return rows.mapInArrow(run, f"key {kind}, {lists}").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+
+
+def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, a_ids, b_ids, and a_sizes, b_sizes: how many tokens of each side the groups have, in their order."""
+    def columns(s: Slice) -> dict[str, pa.Array]:
+        return {"a_ids": listed(s.a, s.a_edges), "b_ids": listed(s.b, s.b_edges), "a_sizes": listed(s.a_sizes, s.edges), "b_sizes": listed(s.b_sizes, s.edges)}
+
+    return slices_of(docs, tokenizers, text, key, columns, ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")))
+
+
+def align_links(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, n_a, n_b, n_groups, groups_sha256, and ``links``: the linked ids of each text in their order, packed.
+
+    The groups themselves are gone here: this is what counting over a corpus needs, in the fewest bytes.
+    """
+    def columns(s: Slice) -> dict[str, pa.Array]:
+        counts = {"n_a": np.diff(s.a_edges), "n_b": np.diff(s.b_edges), "n_groups": np.diff(s.edges)}
+        return {c: pa.array(v.astype(np.int64)) for c, v in counts.items()} | {
+            "groups_sha256": pa.array(digests(s), pa.string()), "links": pa.array(packed_links(s.links(), s.edges), pa.binary())}
+
+    return slices_of(docs, tokenizers, text, key, columns, "n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
+
+
+def packed_links(links: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The ids of each text, the first ones before the second ones; two bytes each where all of them fit, else four, said by a byte in front."""
+    first, second = links >> 32, links & 0xFFFFFFFF
+    short = not len(links) or max(int(first.max()), int(second.max())) < 1 << 16
+    first, second = (x.astype(np.uint16 if short else np.uint32) for x in (first, second))
+    return [bytes([2 if short else 4]) + first[x:y].tobytes() + second[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+
+
+def unpacked_links(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of all texts, and the offset of each text."""
+    pairs = []
+    for data in column.to_pylist():
+        ids = np.frombuffer(data, np.uint16 if data[0] == 2 else np.uint32, offset=1).astype(np.int64)
+        pairs.append(ids[: len(ids) // 2] << 32 | ids[len(ids) // 2 :])
+    return np.concatenate(pairs or [np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(p) for p in pairs], dtype=np.int64)])
 
 
 def starts_of(group: np.ndarray) -> np.ndarray:
@@ -263,24 +321,13 @@ def listed(values: np.ndarray, edges) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
 
 
-def unlisted(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(size)])
-
-
-def links_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that end together, first id << 32 | second id, and the offset of each text: the last tokens of each group."""
-    (a, _), (b, _), (a_sizes, edges), (b_sizes, _) = (unlisted(part.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
-    return a[np.cumsum(a_sizes) - 1] << 32 | b[np.cumsum(b_sizes) - 1], edges
-
-
-def link_counts(aligned: DataFrame) -> DataFrame:
+def link_counts(linked: DataFrame) -> DataFrame:
     """pair, n, best: how many links of all texts hold a pair of ids, and whether no pair with the same second id has more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for part in batches:
-            held.append(np.unique(links_of(part)[0], return_counts=True))
+            held.append(np.unique(unpacked_links(part.column("links"))[0], return_counts=True))
             if len(held) > 8:
                 held = [common.summed(*map(np.concatenate, zip(*held)))]
         if held:
@@ -289,24 +336,24 @@ def link_counts(aligned: DataFrame) -> DataFrame:
                 yield pa.record_batch({"pair": pa.array(pairs[begin : begin + (1 << 16)]), "n": pa.array(n[begin : begin + (1 << 16)])})
 
     second = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    lists = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes")
-    pairs = lists.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("second", second)
+    pairs = linked.select("links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).withColumn("second", second)
     pairs = staged(pairs, "alignment-pairs")
     most = pairs.groupBy("second").agg(F.max("n").alias("most"))
     return staged(pairs.join(most, "second").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "alignment-counts")
 
 
-def link_scores(aligned: DataFrame, counts: DataFrame, key: str = "doc_id", share: float = PAIR_SHARE) -> DataFrame:
-    """``key``, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``aligned``."""
-    spark = aligned.sparkSession
+def link_scores(linked: DataFrame, counts: DataFrame, key: str = "doc_id", share: float = PAIR_SHARE) -> DataFrame:
+    """``key``, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``linked`` (``align_links``, stored)."""
+    spark = linked.sparkSession
     links = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("n") >= share * links).select("pair", "n", "best").toArrow()
     pairs = often.column("pair").to_numpy()
     order = np.argsort(pairs)
     shared = spark.sparkContext.broadcast(
         (pairs[order], often.column("n").to_numpy()[order], often.column("best").to_numpy(zero_copy_only=False).astype(bool)[order]))
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    kind = aligned.schema[key].dataType
+    sums = ("n_links", "n_best", "count_sum")
+    told = ("n_a", "n_b", "n_groups", "groups_sha256")
+    kinds = {f.name: f.dataType.simpleString() for f in linked.schema.fields}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n, best = shared.value
@@ -316,53 +363,53 @@ def link_scores(aligned: DataFrame, counts: DataFrame, key: str = "doc_id", shar
             rows = part.num_rows
             row = turn + np.arange(rows)
             turn += rows
-            pair, edges = links_of(part)
+            pair, edges = unpacked_links(part.column("links"))
             text = np.repeat(np.arange(rows), np.diff(edges))
             at = np.minimum(np.searchsorted(table, pair), max(len(table) - 1, 0))
             there = table[at] == pair if len(table) else np.zeros(len(pair), bool)
-            totals = [np.zeros(rows, np.int64), np.zeros(rows, np.int64)]
-            for total, value in zip(totals, (best, n)):
-                np.add.at(total, text[there], value[at[there]].astype(np.int64))
-            sizes = [np.diff(unlisted(part.column(c))[1]) for c in ("a_ids", "b_ids", "a_sizes", "a_sizes")]
-            yield pa.record_batch({"row": pa.array(row), "key": part.column("key")} | dict(zip(names, map(pa.array, (*sizes, *totals)))) | {
-                "groups_sha256": pa.array(digests(part), pa.string()), "pair": pa.nulls(rows, pa.int64())})
+            totals = [np.diff(edges)] + [sum_by(text[there], value[at[there]].astype(np.int64), rows) for value in (best, n)]
+            yield pa.record_batch({"row": pa.array(row), "key": part.column("key")} | {c: part.column(c) for c in told} | dict(
+                zip(sums, map(pa.array, totals))) | {"pair": pa.nulls(rows, pa.int64())})
             rare = np.flatnonzero(~there)
             if len(rare):
-                none = pa.nulls(len(rare), pa.int64())
-                yield pa.record_batch({"row": pa.array(row[text[rare]]), "key": pa.nulls(len(rare), part.column("key").type)}
-                                      | dict.fromkeys(names, none) | {"groups_sha256": pa.nulls(len(rare), pa.string()), "pair": pa.array(pair[rare])})
+                none = {c: pa.nulls(len(rare), part.column(c).type) for c in ("key", *told)} | dict.fromkeys(sums, pa.nulls(len(rare), pa.int64()))
+                yield pa.record_batch({"row": pa.array(row[text[rare]])} | none | {"pair": pa.array(pair[rare])})
 
-    columns = ", ".join(f"{c} long" for c in names)
-    scored = staged(aligned.select(F.col(key).alias("key"), "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(
-        score, f"row long, key {kind.simpleString()}, {columns}, groups_sha256 string, pair long"), "alignment-scores")
+    schema = f"row long, key {kinds[key]}, n_a long, n_b long, n_groups long, groups_sha256 string, " + ", ".join(f"{c} long" for c in sums) + ", pair long"
+    scored = staged(linked.select(F.col(key).alias("key"), *told, "links").mapInArrow(score, schema), "alignment-scores")
     rest = (scored.filter("pair IS NOT NULL").groupBy("row", "pair").agg(F.count(F.lit(1)).alias("times"))
             .join(counts.filter(F.col("n") < share * links), "pair")
             .groupBy("row").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more")))
     return scored.filter("pair IS NULL").join(rest, "row", "left").select(
-        F.col("key").alias(key), *names[:4], (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
+        F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), "groups_sha256")
 
 
-def digests(part: pa.RecordBatch) -> list[str]:
+def sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Whole-number sums of values by ascending place."""
+    before = np.concatenate([[0], np.cumsum(values)])
+    return before[np.searchsorted(at, np.arange(n), "right")] - before[np.searchsorted(at, np.arange(n), "left")]
+
+
+def digests(s: Slice) -> list[str]:
     """SHA-256 of the groups of each text as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-    (a, _), (b, _), (a_sizes, edges), (b_sizes, _) = (unlisted(part.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
     digits, length = decimals()
-    both = a_sizes + b_sizes
+    both = s.a_sizes + s.b_sizes
     at = np.cumsum(both) - both
     ids = np.empty(int(both.sum()), np.int64)
-    ids[common.ranges(at, a_sizes)] = a
-    ids[common.ranges(at + a_sizes, b_sizes)] = b
+    ids[common.ranges(at, s.a_sizes)] = s.a
+    ids[common.ranges(at + s.a_sizes, s.b_sizes)] = s.b
     after = np.full(len(ids), ord(","), np.uint8)
-    after[at + a_sizes - 1] = ord("|")
+    after[at + s.a_sizes - 1] = ord("|")
     after[at + both - 1] = ord(";")
     size = length[ids] + 1
     stop = np.cumsum(size)
     whole = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
     whole[common.ranges(stop - size, size - 1)] = digits[common.ranges(ids * digits_width(), size - 1)]
     whole[stop - 1] = after
-    tokens = np.concatenate([[0], np.cumsum(both)])[edges]
+    tokens = np.concatenate([[0], np.cumsum(both)])[s.edges]
     edge = np.concatenate([[0], stop])[tokens]
-    return ["" if x == y else hashlib.sha256(whole[x : y - 1].tobytes()).hexdigest() for x, y in zip(edge[:-1], edge[1:])]
+    return ["" if x == y else hashlib.sha256(whole[x : y - 1]).hexdigest() for x, y in zip(edge[:-1], edge[1:])]
 
 
 def digits_width() -> int:

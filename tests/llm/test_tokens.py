@@ -147,17 +147,30 @@ def brute_alignment(rows, contents):
     return Counter(out)
 
 
+def text_digest(r):
+    groups, i, j = [], 0, 0
+    for n, m in zip(r.a_sizes, r.b_sizes):
+        groups.append(",".join(map(str, r.a_ids[i : i + n])) + "|" + ",".join(map(str, r.b_ids[j : j + m])))
+        i, j = i + n, j + m
+    assert (i, j) == (len(r.a_ids), len(r.b_ids))
+    return hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+
+
 @pytest.mark.parametrize("share", [0.0, 1e-3, 2.0])
 def test_alignment_matches_brute_force(spark, docs, corpus, tokenizers, share):
     odd = [(10_000 + i, t) for i, t in enumerate(odd_texts(byte_bpe.Ranks({}, *[None] * 6, "".join(byte_bpe.unassigned_words()[:4])))[::3])]
     rows = docs.select("doc_id", "text", "lang", "n").unionByName(
         spark.createDataFrame([(*r, "x", 1) for r in odd], "doc_id long, text string, lang string, n long")).repartition(4)
-    aligned = token_alignment.staged(token_alignment.align(rows, tokenizers), "test-alignment")
-    got = token_alignment.link_scores(aligned, token_alignment.link_counts(aligned), share=share)
+    linked = token_alignment.staged(token_alignment.align_links(rows, tokenizers), "test-alignment")
+    got = token_alignment.link_scores(linked, token_alignment.link_counts(linked), share=share)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     want = brute_alignment([*corpus, corpus[0], *odd], tokenizers)
     assert Counter(tuple(r) for r in got.collect()) == want
     assert any(r[1] == 0 for r in want) and any(r[3] < r[1] for r in want)
+    if share:
+        return
+    aligned = token_alignment.align(rows, tokenizers).collect()
+    assert Counter((r.doc_id, len(r.a_ids), len(r.b_ids), len(r.a_sizes), text_digest(r)) for r in aligned) == Counter((*r[:4], r[7]) for r in want.elements())
 
 
 def test_pointer_jumping_finds_long_groups():
@@ -170,12 +183,21 @@ def test_pointer_jumping_finds_long_groups():
     assert a_group.tolist() == [0, 0, 1, 2] and b_group.tolist() == [0, 1, 1, 1, 2]
 
 
+def test_links_of_large_vocabularies_are_packed():
+    links = np.array([70_000 << 32 | 5, 3 << 32 | 99_999, 1 << 32 | 2])
+    for some in (links, links[2:], links[:0]):
+        edges = np.array([0, 0, len(some), len(some)])
+        back, at = token_alignment.unpacked_links(token_alignment.pa.array(token_alignment.packed_links(some, edges)))
+        assert back.tolist() == some.tolist() and at.tolist() == edges.tolist()
+
+
 def test_alignment_edges(spark, no_docs, tokenizers):
-    empty = token_alignment.align(no_docs, tokenizers)
+    empty = token_alignment.align_links(no_docs, tokenizers)
+    assert token_alignment.align(no_docs, tokenizers).count() == 0
     assert token_alignment.link_scores(empty, token_alignment.link_counts(empty)).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, None), (1, ""), (2, "a▁b")], "doc_id long, text string")
-    aligned = token_alignment.align(rows, tokenizers)
-    got = sorted((tuple(r)[:4] for r in token_alignment.link_scores(aligned, token_alignment.link_counts(aligned)).collect()), key=str)
+    linked = token_alignment.align_links(rows, tokenizers)
+    got = sorted((tuple(r)[:4] for r in token_alignment.link_scores(linked, token_alignment.link_counts(linked)).collect()), key=str)
     assert got == sorted([(None, 2, 2, 2), (None, 0, 0, 0), (1, 0, 0, 0), (2, 0, 0, 0)], key=str)
 
 
