@@ -37,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` equals, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their plans."""
     gc.collect()

@@ -112,21 +112,22 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The rows of ``docs`` with repeated chunks removed from the text, and n_lines, n_removed_lines."""
     gone = staged(removal(docs, min_lines), "line-removal")
     columns = [c for c in docs.columns if c != "n_removed_lines"]
-    joined = docs.select(columns).join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("chunks").alias("_gone")),
-                       F.col("doc_id").cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
-    return without(joined, columns, without_chunks)
+    row, chunks = (common.fresh(c, columns) for c in ("gone_id", "gone"))
+    joined = docs.select(columns).join(gone.select(F.col("doc_id").alias(row), F.col("chunks").alias(chunks)).hint("merge"),
+                                       F.col("doc_id").cast("long") == F.col(row), "left").drop(row)
+    return without(joined, columns, chunks, without_chunks)
 
 
-def without(joined: DataFrame, columns: list[str], cut) -> DataFrame:
-    """``joined`` without its column _gone, which ``cut`` has taken out of the text."""
-    fields = [f for f in joined.schema.fields if f.name != "_gone"]
+def without(joined: DataFrame, columns: list[str], gone: str, cut) -> DataFrame:
+    """``joined`` without its column ``gone``, which ``cut`` has taken out of the text."""
+    fields = [f for f in joined.schema.fields if f.name != gone]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_removed_lines long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(iter([batch])):
                 texts, removed = [], []
-                for text, chunks in zip(part.column("text").to_pylist(), part.column("_gone").to_pylist()):
+                for text, chunks in zip(part.column("text").to_pylist(), part.column(gone).to_pylist()):
                     text, n = cut(text, chunks) if chunks and text is not None else (text, 0)
                     texts.append(text)
                     removed.append(n)
@@ -167,7 +168,7 @@ def repeated_runs(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
     runs = staged(texts.mapInArrow(positions, ", ".join(f"{n} long" for n in names)), "line-runs")
     first = (runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "n")).alias("first"))
              .filter("copies > 1").select("h1", "h2", "first"))
-    later = runs.join(first, ["h1", "h2"]).filter(
+    later = runs.join(first.hint("merge"), ["h1", "h2"]).filter(
         (F.col("doc_id") != F.col("first.doc_id")) | (F.col("n") >= F.col("first.n") + width))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("runs"))
 
@@ -176,7 +177,9 @@ def dedup_passages(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
     """The rows of ``docs`` with repeated passages of ``width`` lines or more removed from the text, and n_removed_lines."""
     gone = staged(repeated_runs(docs, width), "line-removal")
     columns = [c for c in docs.columns if c != "n_removed_lines"]
+    # how much is removed grows with the corpus, so it is never a broadcast: one plan at every size
+    row, text, runs = (common.fresh(c, columns) for c in ("gone_id", "gone_text", "gone"))
     joined = docs.select(columns).join(
-        gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text"), F.col("runs").alias("_gone")),
-        (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_text")), "left").drop("_gone_id", "_gone_text")
-    return without(joined, columns, lambda text, starts: without_runs(text, starts, width))
+        gone.select(F.col("doc_id").alias(row), F.col("text_hash").alias(text), F.col("runs").alias(runs)).hint("merge"),
+        (F.col("doc_id").cast("long") == F.col(row)) & (F.xxhash64("text") == F.col(text)), "left").drop(row, text)
+    return without(joined, columns, runs, lambda text, starts: without_runs(text, starts, width))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loanscope.llm import common, line_dedup, substring_dedup
 
@@ -120,3 +121,38 @@ def test_short_passages_are_removed_wherever_they_begin(spark):
     got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text.split("\n") for r in got} == want
     assert all(r.n_removed_lines == dict(rows)[r.doc_id].count("\n") - r.text.count("\n") for r in got)
+
+
+def brute_passages(rows, width):
+    """Texts without the lines of runs that have occurred before, by document id and position."""
+    first = {}
+    def runs(t):
+        lines = (t or "").split("\n")
+        return [(i, tuple(lines[i : i + width])) for i in range(len(lines) - width + 1) if any(x.strip() for x in lines[i : i + width])]
+    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for i, run in runs(t):
+            first.setdefault(run, (d, i))
+    out = []
+    for d, t in rows:
+        gone = {i + k for i, run in runs(t) if d is not None and (first[run][0] != d or i >= first[run][1] + width) for k in range(width)}
+        out.append((d, t if t is None or not gone else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_removed_passages_match_brute_force(spark, docs, corpus, no_docs, width):
+    rng = random.Random(6)
+    passages = [[f"line {i} of {n}" for i in range(n)] for n in (2, 3, 5, 9)]
+    more = []
+    for i in range(40):
+        lines = [x for _ in range(rng.randrange(1, 4)) for x in [f"own {i} {rng.random()}", *rng.choice(passages)]]
+        more.append((50_000 + i, "\n".join(lines)))
+    more += [(60_000, "\n".join(f"row {i % 7000}" for i in range(30_000))), (None, more[0][1]), (60_001, None), (60_002, "\n\n")]
+    rows = docs.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(*r, 1) for r in more], "doc_id long, text string, key long")).withColumns(
+        {"Gone": F.lit("kept"), "gone_id": F.lit(1), "gone_text": F.lit(2), "runs": F.lit(3), "text_hash": F.lit(4)})
+    out = line_dedup.dedup_passages(rows, width)
+    assert out.columns == [*rows.columns, "n_removed_lines"]
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == brute_passages([*corpus, corpus[0], *more], width)
+    assert {(r.Gone, r.gone_id, r.gone_text, r.runs, r.text_hash) for r in got} == {("kept", 1, 2, 3, 4)}
+    assert line_dedup.dedup_passages(no_docs, width).count() == 0
