@@ -7,18 +7,19 @@ neighbours (and reverse neighbours) of a node are compared with each other, and
 cosine of ``threshold`` or more, computed in double precision; nothing below it is ever kept as a link.
 
 A node whose list is full of links is saturated: its list is enlarged to all links that it has in its component, counted
-block by block against the component's members without forming pairs. Nodes with open and with full lists are audited apart, each against
-all nodes, first those with a candidate near the threshold, until ``LINKS_SEEN`` true links are seen or ``MOST_QUERIES`` nodes are asked.
-Where the rounds end below the wanted recall, all pairs are compared in blocks, which is exact. Lists, comparisons and blocks are bounded; range
-partitioning by projection spreads a dense region over tasks.
+block by block against the component's members without forming pairs. Nodes with open and with full lists are audited apart: a uniform sample
+of each, grown until ``LINKS_SEEN`` true links are seen, is compared with all nodes, and the lower end of the 95 % interval of the recall
+decides. While it is too low, further projections bring other nodes together. Where the rounds end below the wanted recall, all pairs are
+compared in blocks, which is exact. Lists, comparisons and blocks are bounded; range partitioning by projection spreads a dense region over tasks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their
-own component; vectors of different length never link; repeated rows (same id, same vector) are one vector; the label and
+own component; so does a vector with a null id, whose component is null; vectors of different length never link; repeated rows (same id, same vector) are one vector; the label and
 further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,8 @@ NEIGHBOURS = 12
 PROJECTIONS = 8
 CHUNK = 256
 BLOCK = 1024
-AUDIT_QUERIES = 256
-MOST_QUERIES = 4096
-LINKS_SEEN = 200
-NEAR = 0.05
+AUDIT_QUERIES = (256, 2048, 16384)
+LINKS_SEEN = 400
 WANTED_RECALL = 0.98
 MAX_ROUNDS = 5
 
@@ -54,7 +53,7 @@ def unit(vectors: list[bytes]) -> np.ndarray:
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct vectors (vec_id, embedding, valid), and the nodes (id, dim, vec, copies): one for each valid vector value."""
     e = F.col("embedding")
-    valid = (e.isNotNull() & (F.size(e) > 0)
+    valid = (F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)
              & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
              & F.exists(e, lambda x: x != 0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
@@ -75,11 +74,11 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, staged(nodes, "vector-nodes")
 
 
-def directions(dim: int, n: int, seed: int = 11) -> np.ndarray:
+def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
-def projected(nodes: DataFrame, projections: int) -> DataFrame:
+def projected(nodes: DataFrame, projections: int, seed: int = 11) -> DataFrame:
     """id, dim, vec, turn, place: a node's position in the order of each projection (a coarse cell, then a line inside it)."""
     bits = 5
 
@@ -89,7 +88,7 @@ def projected(nodes: DataFrame, projections: int) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 u = unit(part.column("vec").to_pylist())
-                p = u @ directions(dim, projections * (bits + 1))
+                p = u @ directions(dim, projections * (bits + 1), seed)
                 for t in range(projections):
                     own = p[:, t * (bits + 1) : (t + 1) * (bits + 1)]
                     cell = ((own[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
@@ -178,25 +177,35 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> Data
     return found.groupBy("u", "v").agg(F.max("cos").alias("cos"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT_QUERIES[0]) -> float:
     """Share of the true links of a sample that ``links`` (u, v, both ways) has; the sample is compared with all nodes."""
     return recall_of(nodes, nodes.select("id"), lambda true: linked(true, links), threshold, (queries,))
 
 
-def recall_of(nodes: DataFrame, asked: DataFrame, hits, threshold: float, sizes: tuple[int, ...] = (AUDIT_QUERIES, MOST_QUERIES)) -> float:
-    """Share of true links of a sample of ``asked`` (id, maybe near) that ``hits`` marks; the sample is compared with all nodes.
+def recall_of(nodes: DataFrame, asked: DataFrame, hits, threshold: float, sizes: tuple[int, ...] = AUDIT_QUERIES) -> float:
+    """Share of true links of a uniform sample of ``asked`` (id) that ``hits`` marks; the sample is compared with all nodes.
 
-    The sample grows until LINKS_SEEN true links are seen; nodes with a candidate near the threshold come first.
+    Every node is as likely to be asked as any other, whatever the search has found for it. The sample grows until LINKS_SEEN true links are
+    seen. The answer is the lower end of the interval that holds the recall with 95 % confidence, where a link was missed; where
+    none was, and few were seen by the largest sample, fewer than 3 in ``sizes[-1]`` nodes miss one, with the same confidence.
     """
-    first = [F.col("near").desc()] if "near" in asked.columns else []
+    seen = found = 0
     for queries in sizes:
-        sample = nodes.join(asked, "id").orderBy(*first, F.xxhash64("id"), "id").limit(queries).select("id", "dim", "vec").toArrow().to_pylist()
+        sample = nodes.join(asked.select("id"), "id").orderBy(F.xxhash64("id", F.lit(17)), "id").limit(queries).select("id", "dim", "vec").toArrow().to_pylist()
         if not sample:
             return 1.0
-        row = hits(true_links(nodes, sample, threshold)).agg(F.count(F.lit(1)), F.count("hit")).first()
-        if row[0] >= LINKS_SEEN or len(sample) < queries:
+        seen, found = hits(true_links(nodes, sample, threshold)).agg(F.count(F.lit(1)), F.count("hit")).first()
+        if len(sample) < queries:  # all of them
+            return found / seen if seen else 1.0
+        if seen >= LINKS_SEEN:
             break
-    return row[1] / row[0] if row[0] else 1.0
+    return 1.0 if seen == found else lower_bound(found, seen)
+
+
+def lower_bound(found: int, seen: int, z: float = 1.645) -> float:
+    """Wilson's lower bound of a share."""
+    p, c = found / seen, z * z / seen
+    return (p + c / 2 - z * math.sqrt(p * (1 - p) / seen + c / (4 * seen))) / (1 + c) if found else 0.0
 
 
 def linked(true: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,7 +310,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     graph = staged(best_of(found, k), "neighbours")
     links = staged(found.filter(F.col("cos") >= threshold).select("u", "v").unionByName(
         found.filter(F.col("cos") >= threshold).select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "vector-links")
+    recall = 0.0
     for turn in range(max_rounds):
+        if turn > 1:  # the audit has found links whose ends never met: other orders bring others together
+            met = staged(first_neighbours(projected(nodes, 2 * projections, 11 + turn), CHUNK, max(4, k // 2)).groupBy("u", "v").agg(
+                F.max("cos").alias("cos")), "neighbours-met")
+            near = met.filter(F.col("cos") >= threshold)
+            graph = staged(best_of(graph.select("u", "v", "cos").unionByName(met).groupBy("u", "v").agg(F.max("cos").alias("cos")), k), "neighbours")
+            links = staged(links.unionByName(near.select("u", "v")).unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "vector-links")
         better = staged(refine(graph, nodes, k, threshold), "neighbours-met")
         graph = staged(best_of(graph.select("u", "v", "cos").unionByName(better).groupBy("u", "v").agg(F.max("cos").alias("cos")), k), "neighbours")
         links = staged(links.unionByName(better.filter(F.col("cos") >= threshold).select("u", "v")).distinct(), "vector-links")
@@ -309,10 +325,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         # lists that are full are completed below; the others have to be complete by now
         open_links = links.join(degree.filter(F.col("n") >= k).select("u"), "u", "left_anti")
         closed = degree.filter(F.col("n") >= k).select(F.col("u").alias("id"))
-        best = graph.groupBy(F.col("u").alias("id")).agg(F.max("cos").alias("best"))
-        asked = nodes.select("id").join(closed, "id", "left_anti").join(best, "id", "left").select(
-            "id", F.coalesce(F.col("best") >= threshold - NEAR, F.lit(False)).alias("near"))
-        recall = recall_of(nodes, asked, lambda true: linked(true, open_links), threshold)
+        recall = recall_of(nodes, nodes.select("id").join(closed, "id", "left_anti"), lambda true: linked(true, open_links), threshold)
         if recall >= wanted_recall and turn:
             break
     groups = staged(connected(links.filter("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"))), "vector-groups")

@@ -1,5 +1,6 @@
 """Fingerprints, BK-trees, components and embeddings against brute force."""
 
+import math
 import random
 import re
 
@@ -115,8 +116,10 @@ def test_vectors_match_brute_force(spark):
     rows += [(200 + i, base[5].tolist()) for i in range(9)] + [(300, (base[6] * 1e100).tolist())]
     rows += [(400, None), (401, []), (402, [0.0] * 16), (403, [float("nan")] + [1.0] * 15), (404, [None] + [1.0] * 15),
              (405, [1.0, 2.0]), (406, [2.0, 4.0])]
-    table = spark.createDataFrame(rows + [rows[0]], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame(rows + [rows[0], (None, base[5].tolist())], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in embedding_dedup.near_duplicates(table, k=6, block=16).collect()]
+    assert got.count((None, 0, None, True)) == 1
+    got.remove((None, 0, None, True))
     assert len(got) == len(rows) and set(got) == brute_vectors(rows)
 
 
@@ -130,6 +133,28 @@ def test_audit_sees_missing_links(spark):
     assert embedding_dedup.audit(nodes, spark.createDataFrame([], "u long, v long"), 0.9) == 0.0
 
 
+@pytest.mark.parametrize("max_rounds", [2, 5])
+def test_pairs_that_never_met_are_not_taken_for_complete(spark, max_rounds):
+    """Isolated pairs, one order: half of the ends are not compared at first, and no neighbour leads to them."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((2500, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.91 * a + math.sqrt(1 - 0.91 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i, x.tolist()) for i, x in enumerate(a)] + [(2 * i + 1, x.tolist()) for i, x in enumerate(b)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    got = embedding_dedup.near_duplicates(table, projections=1, max_rounds=max_rounds).collect()
+    assert len(got) == len(rows)
+    share = sum(r.n_links == 1 and r.component_id == r.vec_id - r.vec_id % 2 for r in got) / len(got)
+    assert share >= embedding_dedup.WANTED_RECALL
+
+
+def test_the_bound_of_a_recall():
+    assert embedding_dedup.lower_bound(0, 9) == 0.0
+    assert 0.93 < embedding_dedup.lower_bound(390, 400) < 0.975 and embedding_dedup.lower_bound(400, 400) > 0.99
+
+
 def test_links_that_the_rounds_miss_are_found_by_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 4)
     rng = np.random.default_rng(2)
