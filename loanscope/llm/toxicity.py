@@ -1,15 +1,18 @@
 """Toxicity by compression distance: windows of a text are compressed with two zstandard dictionaries.
 
-Both dictionaries are trained on labelled text: one on ordinary text alone, one on ordinary text and on what only toxic text
-has (words of toxic documents that the ordinary sample lacks, most frequent last, where matches are cheapest). They share
-their ordinary part byte for byte, so a window of ordinary words is as long under either one, and a window with toxic
-words is shorter under the toxic one. How much likelier a difference is in toxic texts than in ordinary ones is calibrated on
-training rows that the dictionaries have not seen; a document's features are the sum, the largest and the mean excess of these
-log ratios over all its windows, and the number of windows. A logistic curve over them, with the cut where training errors
-are fewest, gives the score.
+One dictionary is trained on labelled ordinary text, the other on what is typical of labelled toxic text: the runs of words and pairs that are
+``RARER`` times rarer in ordinary rows, each counted by how many different words stand before it. Rarer, not absent, so that mislabelled
+or quoting rows do not strike words out. Both end with the ordinary part, byte for byte, so a window of ordinary words is as
+long under either one, and a window with toxic words is shorter under the toxic one. Where there is too little text to choose from, a
+dictionary is all of it, the frequent parts last, where matches are cheapest.
 
-Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` of each class in the order of a hash, texts of at most
-``SAMPLE_TEXT_BYTES``); scoring reads every whole text.
+How much likelier a difference is in toxic texts than in ordinary ones is calibrated on training rows that the dictionaries have not seen; a
+document's features are the sum, the largest and the mean excess of these log ratios over all its windows. A logistic curve over
+them gives the score, with the cut where training errors weigh least; of equal cuts the middle one. Where no cut is much better than rejecting
+nothing, nothing is rejected.
+
+Fitting uses a bounded sample of labelled rows: ``SAMPLE_ROWS`` of each class in the order of a hash, of texts above ``SAMPLE_TEXT_BYTES`` a
+piece at a place given by a hash. Scoring reads every whole text.
 
 Defined results: null and empty texts have no window and get the score of a text without differences; if no row of either
 class is labelled every score is 0; repeated rows score alike; language, source, label and id are no inputs; rows
@@ -38,6 +41,9 @@ TOXIC_BYTES = 24 << 10
 LEVEL = 13
 LEAST_SAVED, MOST_SAVED = -10, 14  # differences beyond these bytes count as these
 MAX_SUM = 20.0
+RARER = 10  # how many times rarer in ordinary text than in toxic text
+CLEAN_WEIGHT = 2.0  # a clean document rejected counts as so many toxic ones missed
+USEFUL = 0.7  # a cut with more errors than this share of the smaller class rejects nothing
 
 
 @dataclass(frozen=True)
@@ -101,15 +107,15 @@ def differences(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) ->
 
 
 def features(saved: np.ndarray, text: np.ndarray, n: int, ratios: tuple[float, ...]) -> np.ndarray:
-    """Per text: sum and largest of the log ratios, root of their mean excess, log of the number of windows."""
-    result = np.zeros((n, 4))
+    """Per text: sum and largest of the log ratios, root of their mean excess."""
+    result = np.zeros((n, 3))
     if len(saved):
         ratio = np.array(ratios)[saved]
         edges = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         size = np.diff(np.concatenate([edges, [len(text)]]))
         result[text[edges]] = np.stack([
             np.clip(np.add.reduceat(ratio, edges), -MAX_SUM, MAX_SUM), np.maximum.reduceat(ratio, edges),
-            np.sqrt(np.add.reduceat(np.maximum(ratio, 0.0), edges) / size), np.log1p(size)], axis=1)
+            np.sqrt(np.add.reduceat(np.maximum(ratio, 0.0), edges) / size)], axis=1)
     return result
 
 
@@ -125,16 +131,8 @@ def fit(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     o_text, t_text = [[" ".join(words_of(x)) for x in part] for part in (ordinary, toxic)]
     o_train, o_rest = o_text[::2], o_text[1::2] or o_text
     t_train, t_rest = t_text[::2], t_text[1::2] or t_text
-    common_words = {w for x in o_train for w in x.split(" ")}
-    # copies of one text repeat a word after the same word: count the different words before it
-    pairs = {(v, w) for x in t_train for v, w in zip(["", *x.split(" ")], x.split(" ")) if w not in common_words}
-    seen = Counter(w for _, w in pairs)
-    # a word that n ordinary texts lack may still be in about 1 / n of them: ask for more than that could bring
-    least = 5 + 8 * len(t_train) / len(o_train)
-    few = sorted(seen, key=lambda w: (seen[w], w))
-    only = [w for w in few if seen[w] >= least] or few[-1:]
     shared = trained(o_train, SHARED_BYTES)
-    special = (" " + " ".join(only) + " ").encode()[-TOXIC_BYTES:]
+    special = trained(toxic_runs(t_train, o_train), TOXIC_BYTES)
     # both have the ordinary part at the end, at the same distance from the window
     filler = trained(o_train[::-1], len(special))[-len(special):].rjust(len(special))
     model = ToxicityModel(filler + shared, special + shared, (), ())
@@ -146,6 +144,51 @@ def fit(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     return ToxicityModel(model.ordinary, model.toxic, ratios, tuple(logistic(x, y)))
 
 
+def units(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(place, number of words, unit, word before it) of every word and every pair of words."""
+    words = text.split(" ")
+    before = ["", *words]
+    for i, w in enumerate(words):
+        yield i, 1, w, before[i]
+        if i + 1 < len(words):
+            yield i, 2, f"{w} {words[i + 1]}", before[i]
+
+
+def supports(texts: list[str]) -> Counter:
+    """After how many different words each word and pair occurs: copies of one text say the same thing once."""
+    return Counter(u for _, u in {(b, u) for x in texts for _, _, u, b in units(x)})
+
+
+def toxic_runs(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """What the toxic dictionary is trained on: the runs of words of toxic texts that are much rarer in ordinary ones.
+
+    Rarer, not absent: some ordinary rows may be mislabelled or quote such words.
+    """
+    of_toxic, of_ordinary = supports(toxic), supports(ordinary)
+    share = len(toxic) / len(ordinary)
+    # what n ordinary texts lack may still be in about 1 / n of them: ask for more than that could bring
+    least = 5 + 8 * share
+    typical = {u for u, n in of_toxic.items() if n >= least and n >= RARER * share * of_ordinary[u]}
+    # a pair says something of its own only where none of its words does
+    typical = {u for u in typical if " " not in u or (of_toxic[u] >= 4 * least and not typical & set(u.split(" ")))}
+    if not typical:
+        typical = set(sorted(of_toxic, key=lambda u: (-of_toxic[u] / (of_ordinary[u] + 1), u))[:1])
+    out = []
+    for text in toxic:
+        words = text.split(" ")
+        marked = np.zeros(len(words), bool)
+        for i, n, u, _ in units(text):
+            if u in typical:
+                marked[i : i + n] = True
+        out += [" ".join(words[a:b]) + " " for a, b in stretches(marked)]
+    return out
+
+
+def stretches(marked: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+
 def words_of(text: str) -> list[str]:
     return [w for w in text.translate(_FOLD).split(" ") if w]
 
@@ -159,12 +202,16 @@ def buffer_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def trained(texts: list[str], size: int) -> bytes:
     """Content of a dictionary trained on the texts; the texts themselves where they are too few to train on."""
-    samples = [t.encode()[k : k + 512] for t in texts for k in range(0, len(t.encode()), 512)]
-    try:
-        whole = zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:
-        whole = b" ".join(samples)
-    return whole[-size:]
+    coded = [t.encode() for t in texts]
+    samples = [t[k : k + 512] for t in coded for k in range(0, len(t), 512)]
+    if sum(map(len, samples)) > 8 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()[-size:]
+        except zstandard.ZstdError:
+            pass
+    # too little to choose from: all of it, what is there often last
+    often = sorted(Counter(samples).items(), key=lambda x: (x[1], x[0]))
+    return b"".join(x for x, _ in often)[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -177,13 +224,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
         hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * len(a) * np.eye(len(w))
         w = w + np.linalg.solve(hess, a.T @ (weight * (y - p)) - ridge * len(a) * w)
     margin = a @ w
+    w[0] -= safe_cut(margin, y)
+    return w
+
+
+def safe_cut(margin: np.ndarray, y: np.ndarray) -> float:
+    """The margin with the least weight of errors, the middle one of equal ones; above all margins where it is hardly better than to reject none."""
     order = np.argsort(margin, kind="stable")
     m, t = margin[order], y[order]
-    errors = np.concatenate([[np.sum(t == 0)], np.sum(t == 0) - np.cumsum(t == 0) + np.cumsum(t == 1)])
+    wrong = np.where(t == 0, CLEAN_WEIGHT, 1.0)
+    above, below = np.sum(wrong[t == 0]) - np.cumsum(wrong * (t == 0)), np.cumsum(wrong * (t == 1))
+    errors = np.concatenate([[np.sum(wrong[t == 0])], above + below])
     cuts = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
-    valid = np.concatenate([[True], m[1:] > m[:-1], [True]])
-    w[0] -= cuts[np.argmin(np.where(valid, errors, np.inf))]
-    return w
+    errors = np.where(np.concatenate([[True], m[1:] > m[:-1], [True]]), errors, np.inf)
+    if errors.min() > USEFUL * np.sum(t == 1):
+        return float(m[-1] + 1)
+    best = np.flatnonzero(errors == errors.min())
+    return float(cuts[best[len(best) // 2]])
 
 
 def score_texts(data: np.ndarray, offsets: np.ndarray, model: ToxicityModel) -> np.ndarray:
@@ -203,8 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column | None = None,
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
-    texts = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-             .filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    text = F.col("text").cast("string")
+    piece = SAMPLE_TEXT_BYTES // 4  # characters, which have at most four bytes
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length(text) - piece, F.lit(1))).cast("int") + 1
+    texts = (docs.select("doc_id", F.when(F.octet_length(text) <= SAMPLE_TEXT_BYTES, text).otherwise(text.substr(place, F.lit(piece))).alias("text"))
+             .filter(F.col("text").isNotNull())
              .join(F.broadcast(sample), "doc_id"))  # at most two times sample_rows ids
     rows = texts.select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending")]).to_pylist()
     return fit([r["text"] for r in rows if r["toxic"] == 0], [r["text"] for r in rows if r["toxic"] == 1])

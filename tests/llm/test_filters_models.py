@@ -124,6 +124,62 @@ def test_toxic_texts_are_found(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def labelled(seed, flips=0, separable=True, n=800):
+    """(ordinary, toxic) for training, with mislabelled toxic texts among the ordinary, and the same held out, all labels right."""
+    rng = random.Random(seed)
+    vocabulary = ["w" + "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(1500)]
+    bad = ["".join(rng.choice("klmnop") for _ in range(7)) for _ in range(12)]
+
+    def text(toxic):
+        w = [rng.choice(vocabulary) for _ in range(60)]
+        if toxic and separable:
+            for _ in range(4):
+                w[rng.randrange(60)] = rng.choice(bad)
+        return " ".join(w)
+
+    ordinary = [text(i < flips) for i in range(n)]
+    rng.shuffle(ordinary)
+    return ordinary, [text(True) for _ in range(n)], [text(False) for _ in range(400)], [text(True) for _ in range(400)]
+
+
+@pytest.mark.parametrize("seed, flips", [(0, 0), (1, 4), (2, 8), (3, 8)])
+def test_mislabelled_rows_do_not_spoil_the_model(seed, flips):
+    ordinary, toxic, clean, bad = labelled(seed, flips)
+    model = toxicity.fit(ordinary, toxic)
+    rejected, found = (np.mean(toxicity.score_texts(*toxicity.buffer_of(x), model) >= 0.5) for x in (clean, bad))
+    assert found >= 0.9 and rejected <= 0.05
+
+
+def test_classes_that_nothing_separates_reject_nothing():
+    for seed in (0, 5):
+        ordinary, toxic, clean, _ = labelled(seed, separable=False)
+        model = toxicity.fit(ordinary, toxic)
+        assert not (toxicity.score_texts(*toxicity.buffer_of([*clean, ""]), model) >= 0.5).any()
+    same = ["one text"] * 40
+    assert not (toxicity.score_texts(*toxicity.buffer_of(same), toxicity.fit(same, same)) >= 0.5).any()
+
+
+def test_safe_cut():
+    y = np.array([0, 0, 0, 1, 1])
+    assert toxicity.safe_cut(np.array([1.0, 2, 3, 8, 9]), y) == 5.5
+    assert toxicity.safe_cut(np.zeros(5), y) == 1.0
+    assert toxicity.safe_cut(np.array([1.0, 9, 9.5, 8, 2]), y) > 9.5
+
+
+def test_long_texts_train_by_pieces_and_score_whole(spark):
+    ordinary, toxic, clean, bad = labelled(4, n=300)
+    rows = [(i, t, 0) for i, t in enumerate(ordinary)] + [(1000 + i, t, 1) for i, t in enumerate(toxic)]
+    rows += [(2000 + i, " ".join(bad[:60]), 1) for i in range(5)] + [(3000, " ".join(clean * 3), 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert max(len(r[1]) for r in rows) > toxicity.SAMPLE_TEXT_BYTES
+    model = toxicity.train(table, table.select("doc_id", "toxic"))
+    longs = spark.createDataFrame([(1, " ".join(clean * 5), 0), (2, " ".join(clean * 5 + bad[:40]), 1), (2, "x", 3)], "doc_id long, text string, predicted int")
+    got = sorted((r.doc_id, r.predicted) for r in toxicity.score(longs, model).collect())
+    assert len(got) == 3 and (1, 0) in got
+    again = toxicity.train(table.union(table.limit(50)), table.select("doc_id", "toxic"))
+    assert again.weights
+
+
 def brute_probability(train, text, order):
     """Prediction by partial matching from its definition, byte by byte, without pruning."""
     counts = {}
