@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loanscope.llm import (
     byte_bpe,
     decontaminate,
@@ -24,6 +23,7 @@ from loanscope.llm import (
     url_filters,
     warc,
 )
+from loanscope.llm import pipeline as corpus
 from loanscope.llm.common import crc_fold, table
 from loanscope.session import staged
 
@@ -101,7 +101,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

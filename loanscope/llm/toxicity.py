@@ -284,7 +284,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that are not predicted toxic, all their columns."""
+    """The documents that are not predicted toxic, all their columns: scored and sifted in one pass."""
     model = train(docs, labels, common.crc_fold("doc_id") != 0, sample_rows)
-    rejected = score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            clean = score_texts(*common.raw_text(part.column("text")), model) < 0.5
+            yield part.filter(pa.array(clean | part.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)

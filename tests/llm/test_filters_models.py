@@ -166,6 +166,19 @@ def test_safe_cut():
     assert toxicity.safe_cut(np.array([1.0, 9, 9.5, 8, 2]), y) > 9.5
 
 
+def test_toxic_rows_go_with_all_their_columns(spark):
+    ordinary, toxic, clean, bad = labelled(6, n=300)
+    rows = [(i, t, int(i >= 300), "x", [i]) for i, t in enumerate(ordinary + toxic)] + [(None, bad[0], 1, "x", None), (9999, None, 0, None, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, predicted string, part array<int>")
+    left = toxicity.drop_toxic(docs, docs.select("doc_id", F.col("score").alias("toxic")))
+    assert left.schema == docs.schema
+    kept = [tuple(r) for r in left.collect()]
+    model = toxicity.train(docs, docs.select("doc_id", F.col("score").alias("toxic")), common.crc_fold("doc_id") != 0)
+    dropped = {r.doc_id for r in toxicity.score(docs, model).collect() if r.predicted and r.doc_id is not None}
+    assert sorted(kept, key=str) == sorted((r for r in rows if r[0] not in dropped), key=str) and 250 < len(dropped) < 320
+    assert toxicity.drop_toxic(docs.limit(0), docs.select("doc_id", F.col("score").alias("toxic"))).count() == 0
+
+
 def test_long_texts_train_by_pieces_and_score_whole(spark):
     ordinary, toxic, clean, bad = labelled(4, n=300)
     rows = [(i, t, 0) for i, t in enumerate(ordinary)] + [(1000 + i, t, 1) for i, t in enumerate(toxic)]

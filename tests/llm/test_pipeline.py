@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from checks.compare import compare, connect
-from loanscope.llm import decontaminate, queries, simhash
+from loanscope.llm import decontaminate, pipeline, queries, simhash
 from loanscope.llm.common import table
 
 
@@ -15,12 +15,12 @@ def test_stages(spark, sf_dir):
     columns, counts = docs.columns, [docs.count()]
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs
-        docs = corpus_pipeline.staged(stage(spark, docs, sf_dir), f"test-{name}")
+        docs = pipeline.staged(stage(spark, docs, sf_dir), f"test-{name}")
         counts.append(docs.count())
         if n < 4:
             assert docs.columns == columns
         if name == "simhash_near_dedup":
-            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(before, radius=corpus_pipeline.NEAR_BITS).collect()}
+            assert {r.doc_id for r in docs.collect()} == {r.component_id for r in simhash.near_duplicates(before, radius=pipeline.NEAR_BITS).collect()}
         if name == "benchmark_decontamination":
             assert decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).count() == 0
     assert counts[0] > counts[1] > 0 and counts[1] == counts[2] >= counts[3] >= counts[4] > 0
