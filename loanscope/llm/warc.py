@@ -38,6 +38,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_DATE = "2024-01-01T00:00:00Z"
 
 ARCHIVE_BYTES = 8 << 20
+PIECE_BYTES = 64 << 10
 
 
 def payload_digest(payload: bytes) -> str:
@@ -106,13 +107,16 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 def open_member(data: bytes, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at`` and the offset after it; ValueError where it is damaged."""
     opener = zlib.decompressobj(31)
+    view, content, place = memoryview(data), [], at
     try:
-        content = opener.decompress(memoryview(data)[at:])
+        while not opener.eof and place < len(data):  # in pieces: what is unused after the end is copied
+            content.append(opener.decompress(view[place : place + PIECE_BYTES]))
+            place = min(place + PIECE_BYTES, len(data))
     except zlib.error as failure:
         raise ValueError(str(failure)) from failure
     if not opener.eof:
         raise ValueError("member is cut off")
-    return content, len(data) - len(opener.unused_data)
+    return b"".join(content), place - len(opener.unused_data)
 
 
 def read_at(data: bytes, at: int) -> tuple[list[Record], int]:
@@ -165,21 +169,27 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the marked pages below ``folder`` (a uri that all executors reach); archive, records, bytes written."""
+    """Write the marked pages below ``folder`` (a uri that all executors reach); archive, records, bytes written, content.
+
+    Where tasks can open ``folder`` themselves, archives are files there and content is null. In stores that only Spark's own file
+    systems open, content holds the archive: store the result as a table and hand that to ``read_archives``.
+    """
+    as_files = opens(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = pa.fs.FileSystem.from_uri(folder) if as_files else (None, None)
         members: list[bytes] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             name = f"pages-{uuid.uuid4().hex}.warc.gz"
-            with fs.open_output_stream(f"{root}/.{name}.part", compression=None) as out:
-                for member in members:
-                    out.write(member)
-            fs.move(f"{root}/.{name}.part", f"{root}/{name}")
-            return pa.record_batch({"archive": [name], "records": pa.array([len(members)], pa.int64()),
-                                    "bytes": pa.array([size], pa.int64())})
+            if as_files:
+                with fs.open_output_stream(f"{root}/.{name}.part", compression=None) as out:
+                    for member in members:
+                        out.write(member)
+                fs.move(f"{root}/.{name}.part", f"{root}/{name}")
+            return pa.record_batch({"archive": [name], "records": pa.array([len(members)], pa.int64()), "bytes": pa.array([size], pa.int64()),
+                                    "content": pa.array([None if as_files else b"".join(members)], pa.binary())})
 
         for batch in batches:
             for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to"))):
@@ -195,20 +205,31 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             yield close()
 
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(
-        write, "archive string, records long, bytes long")
+        write, "archive string, records long, bytes long, content binary")
+
+
+def opens(folder: str) -> bool:
+    """Whether tasks can write files below a uri without Spark."""
+    try:
+        pa.fs.FileSystem.from_uri(folder)
+    except (ValueError, OSError, NotImplementedError):  # a scheme that is not known, or not built in
+        return False
+    return True
 
 
 def read_archives(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
     """Every record and every gap below ``folder``.
 
     archive, start, end, kind (response, revisit, gap, or another record type), page_id, refers_to, url, payload_bytes,
-    payload_digest, payload (null for revisits and gaps), reason (of a gap). With ``archives`` (column archive) only files
-    listed there are read: what an abandoned task attempt left behind is not.
+    payload_digest, payload (null for revisits and gaps), reason (of a gap). With ``archives`` (column archive, maybe content) only files
+    listed there are read: what an abandoned task attempt left behind is not. Archives whose content is listed are read from the list.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     if archives is not None:
         files = files.join(archives.select("archive").distinct(), "archive", "left_semi")
+        if "content" in archives.columns:
+            files = files.unionByName(archives.filter("content IS NOT NULL").select("archive", "content"))
 
     def number(text: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")

@@ -299,17 +299,25 @@ def test_shortages_go_to_siblings_first():
     assert mixing.budgets({(None, None, None): 7}, 3, lambda p: 1.0, 1) == {(None, None, None): 3}
 
 
+def staged_list(written):
+    return written.sparkSession.createDataFrame([tuple(r) for r in written.collect()], "archive string, records long, bytes long, content binary")
+
+
 PAGES = [(1, "http://a/1", "<p>é one</p>"), (2, None, "<p>two</p>"), (3, "http://a/3\r\nX: y", "<p>é one</p>"), (4, "u", None), (5, "u", ""),
          (6, "u", "WARC/1.1\r\nfake: record\r\n\r\n"), (7, "u", "z" * 20000)]
 
 
-def test_archive_round_trip(spark):
+@pytest.mark.parametrize("as_files", [True, False])
+def test_archive_round_trip(spark, monkeypatch, as_files):
+    monkeypatch.setattr(warc, "opens", lambda folder: as_files)
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, payload string").repartition(3)
     folder = warc.new_folder(spark)
     written = warc.write_archives(warc.mark_revisits(pages), folder, archive_bytes=300)
     names = [tuple(r) for r in written.collect()]
-    assert sum(n for _, n, _ in names) == len(PAGES) and len(names) > 3
-    rows = {r.page_id: r for r in warc.read_archives(spark, folder, spark.createDataFrame(names, "archive string, records long, bytes long")).collect()}
+    assert sum(n for _, n, _, _ in names) == len(PAGES) and len(names) > 3
+    assert all((content is None) == as_files for *_, content in names)
+    listed = spark.createDataFrame(names, "archive string, records long, bytes long, content binary")
+    rows = {r.page_id: r for r in warc.read_archives(spark, folder, listed).collect()}
     assert len(rows) == len(PAGES)
     for i, _, h in PAGES:
         payload = (h or "").encode()
@@ -323,6 +331,36 @@ def test_archive_round_trip(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_stores_that_tasks_cannot_open():
+    assert warc.opens("file:///tmp/x")
+    assert not any(map(warc.opens, ("s3a://lake/x", "dbfs:/x", "viewfs://store/x")))
+
+
+def test_archives_with_null_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(None, "u", "one"), (None, "v", "two"), (7, "u", "three"), (7, "u", "three"), (8, "u", "three")],
+                                  "page_id long, url string, html string")
+    folder = warc.new_folder(spark)
+    written = staged_list(warc.write_archives(warc.mark_revisits(pages), folder))
+    got = sorted(((r.page_id, r.kind, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, folder, written).collect()), key=str)
+    assert got == sorted([(None, "response", None, 3), (None, "response", None, 3), (7, "revisit", 8, 5), (7, "revisit", 8, 5), (8, "response", None, 5)], key=str)
+
+
+def test_reading_an_archive_takes_linear_time():
+    import time
+
+    member = [warc.compress(warc.build_record(i, "u", p, len(p), warc.payload_digest(p), None))
+              for i, p in enumerate(random.Random(3).randbytes(700) for _ in range(200))]
+
+    def seconds(times):
+        data = b"".join(member) * times
+        start = time.perf_counter()
+        assert sum(not isinstance(x, tuple) for x in warc.salvage(data)) == 200 * times
+        return time.perf_counter() - start
+
+    seconds(4)
+    assert min(seconds(80) for _ in range(2)) < 3 * 8 * min(seconds(10) for _ in range(2))
+
+
 def test_reader_salvages_damaged_archives():
     records = [warc.build_record(i, f"u{i}", p, len(p), warc.payload_digest(p), None) for i, p in enumerate([b"one" * 50, b"two" * 50, b"three" * 50, b""])]
     members = [warc.compress(r) for r in records]
