@@ -22,7 +22,26 @@ from loanscope.functions.expressions import HASH_RANGE, half_even, row_hash
 from loanscope.functions.rules import decision, grade, score_truncated
 from loanscope.operators.metrics import class_report, confusion_counts, ranking_metrics
 from loanscope.operators.order_stats import SeriesSet
-from loanscope.schemas import CATEGORICAL, CLEAN_SCHEMA, DECISIONS_V1, GRADES_V1, NUMERIC_FEATURES, TARGET
+from loanscope.schemas import (
+    BOOSTED,
+    BOOSTED_DEPTH,
+    BOOSTED_RATE,
+    BOOSTED_ROUNDS,
+    CATEGORICAL,
+    CLEAN_SCHEMA,
+    DECISIONS_V1,
+    FOREST,
+    FOREST_DEPTH,
+    FOREST_TREES,
+    GRADES_V1,
+    IDENTITY,
+    LOGISTIC,
+    LOGISTIC_ITERATIONS,
+    MODEL_NAMES,
+    MODEL_SEED,
+    NUMERIC_FEATURES,
+    TARGET,
+)
 from loanscope.session import ensure_checkpoint_dir, staged
 
 FEATURES = NUMERIC_FEATURES + [f"{c}_enc" for c in CATEGORICAL]
@@ -82,13 +101,6 @@ def strict(model: PipelineModel) -> PipelineModel:
 
 # ---- split and weights -------------------------------------------------------------------------------------
 
-IDENTITY = [
-    "age", "ville", "secteur_activite", "type_emploi", "anciennete_client_mois", "revenu_mensuel_fcfa",
-    "type_produit", "montant_credit_fcfa", "duree_mois", "garantie", "nb_incidents_24m", "nb_credits_en_cours",
-    TARGET,
-]
-
-
 def loan_hash(seed: int = 42) -> Column:
     """Row key of a clean loan. Built from integers and texts, and the rate in hundredths, so it has one spelling."""
     rate = half_even(F.col("taux_interet") * 100, 0).cast("bigint")
@@ -163,17 +175,13 @@ def _weight_column(weights: Mapping[int, float]) -> Column:
 class ModelSizes:
     """Sizes of the three models; the defaults are for real training, small ones suit checks."""
 
-    logistic_iterations: int = 2000
-    forest_trees: int = 200
-    forest_depth: int = 12
-    boosted_rounds: int = 300
-    boosted_depth: int = 6
-    boosted_rate: float = 0.05
-    seed: int = 42
-
-
-LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosting"
-MODEL_NAMES = (LOGISTIC, FOREST, BOOSTED)
+    logistic_iterations: int = LOGISTIC_ITERATIONS
+    forest_trees: int = FOREST_TREES
+    forest_depth: int = FOREST_DEPTH
+    boosted_rounds: int = BOOSTED_ROUNDS
+    boosted_depth: int = BOOSTED_DEPTH
+    boosted_rate: float = BOOSTED_RATE
+    seed: int = MODEL_SEED
 
 
 def _classifier_stages(name: str, n_train: int, sizes: ModelSizes) -> list:

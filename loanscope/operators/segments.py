@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from loanscope.functions.expressions import HASH_RANGE, below, col, half_away, half_even, pct, rank_in
 from loanscope.operators.order_stats import SeriesSet, not_after, pair_cuts, quantile
-from loanscope.schemas import LGD, TARGET
+from loanscope.schemas import LGD, REDUNDANT, TARGET
 
 AMOUNT = "montant_credit_fcfa"
 
@@ -191,9 +191,6 @@ def histogram(df: DataFrame, c: str, bins: int = 50, below_quantile: float | Non
     )
 
 
-REDUNDANT = ("revenu_log", "montant_log", "risque_produit")
-
-
 def correlation(df: DataFrame, target: str = TARGET, excluded: Sequence[str] = REDUNDANT) -> DataFrame:
     """Pearson correlation of every numeric column with the target, ascending; one pass, n correlations."""
     names = [

@@ -85,6 +85,7 @@ def class_table(credits: DataFrame) -> DataFrame:
 
 def sheet_kpis(credits: DataFrame) -> DataFrame:
     """Eight (label, value) rows."""
+    # ---- fixed values: labels of the rows
     rows = [
         ("Total prêts", "total_prets"),
         ("Taux de défaut (%)", "taux_defaut"),

@@ -191,6 +191,7 @@ def _summary_rows(t: DataFrame) -> DataFrame:
     def worst(c: str) -> Column:
         return F.concat(F.col(f"{c}.k"), F.lit(" ("), decimal_text(-F.col(f"{c}.r"), 1), F.lit(" %)"))
 
+    # ---- fixed values: labels of the rows
     rows = [
         ("Taux de défaut global", F.concat(decimal_text("rate", 2), F.lit(" %"))),
         ("Encours total", F.concat(decimal_text("exposure", 2), F.lit(" milliards FCFA"))),

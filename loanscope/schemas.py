@@ -151,3 +151,21 @@ SCORE_BANDS = Bands(
     (-1, 400, 500, 600, 700, 800, 1000),
     ("[0,400]", "(400,500]", "(500,600]", "(600,700]", "(700,800]", "(800,1000]"),
 )
+
+# ---- fixed values: names and sizes of the three models ----------------------------------------------------------
+LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Gradient Boosting"
+MODEL_NAMES = (LOGISTIC, FOREST, BOOSTED)
+LOGISTIC_ITERATIONS = 2000
+FOREST_TREES, FOREST_DEPTH = 200, 12
+BOOSTED_ROUNDS, BOOSTED_DEPTH, BOOSTED_RATE = 300, 6, 0.05
+MODEL_SEED = 42
+
+# ---- fixed values: columns that tell one clean loan from another ---------------------------------------------------
+IDENTITY = [
+    "age", "ville", "secteur_activite", "type_emploi", "anciennete_client_mois", "revenu_mensuel_fcfa",
+    "type_produit", "montant_credit_fcfa", "duree_mois", "garantie", "nb_incidents_24m", "nb_credits_en_cours",
+    TARGET,
+]
+
+# ---- fixed values: columns that the correlations leave out ---------------------------------------------------------
+REDUNDANT = ("revenu_log", "montant_log", "risque_produit")
