@@ -6,6 +6,9 @@ interval, whatever the size or skew of the table. The bucket holding the rank, c
 seen in it, is the next interval; a rank is settled when its interval is one value. There is one path for all sizes. The
 result is the exact value, not an estimate.
 
+Where several series are searched, estimates first narrow all their intervals at once; what is estimated is then counted exactly, and an
+estimate that misses is dropped.
+
 The ends of an interval always fall in different buckets, so every pass narrows it (this is asserted). Buckets are equally
 wide; after a pass that left most rows together, the next one is wide on a logarithmic scale, which keeps the number of
 passes small for values of very different magnitude. Infinite values are counted apart and never bound an interval. What
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from loanscope.functions.expressions import null_if_nan
 
 BUCKETS = 4096
+SKETCH = 2000  # an estimate is off by one part in so many of the rows
+MARGIN = 0.002  # an interval around an estimate takes in so large a part of the rows on both sides
 SMALLEST = 1e-300  # the logarithmic scale begins here; values below it share its first bucket
 
 
@@ -115,6 +120,8 @@ class SeriesSet:
                         found[(name, rank)] = RankedValue(math.inf, rows - over, over)
                     else:
                         open_ranks.append(_Open(name, rank, low, high, under, rows - under - over))
+            if len({o.series for o in open_ranks}) > 1:
+                self._bracket(group, [o for o in open_ranks if o.low != o.high])
             while True:
                 for o in [o for o in open_ranks if o.low == o.high]:
                     found[(o.series, o.rank)] = RankedValue(o.low, o.below, o.rows)
@@ -128,6 +135,41 @@ class SeriesSet:
                     self._narrow(o, counts[position[(o.series, o.low, o.high, o.log_scale)]])
         return found
 
+    def _bracket(self, group, open_ranks: list[_Open]) -> None:
+        """Narrow many intervals at once around estimated values, so that few rows take part in the passes that follow.
+
+        One pass estimates the two ends, a second one counts what lies below and between them; an interval that does not hold its
+        rank stays as it was. Both passes aggregate whole rows and move a sketch or four numbers per rank and task.
+        """
+        if not open_ranks:
+            return
+
+        def finite(o: _Open) -> Column:
+            c = group[o.series]
+            return F.when(F.abs(c) < float("inf"), c) if o.series in self.floating else c
+
+        def around(o: _Open) -> Column:
+            share = (o.rank - o.below) / max(o.rows - 1, 1)
+            return F.array(F.lit(max(share - MARGIN, 0.0)), F.lit(min(share + MARGIN, 1.0)))
+
+        ends = self.df.agg(*[F.percentile_approx(finite(o), around(o), SKETCH).alias(f"e{i}") for i, o in enumerate(open_ranks)]).first()
+        aggs, tried = [], []
+        for i, o in enumerate(open_ranks):
+            if ends[i] is None:
+                continue
+            low, high = max(ends[i][0], o.low), min(ends[i][1], o.high)
+            c = group[o.series]
+            inside = F.when(c.between(F.lit(low), F.lit(high)), c)
+            aggs += [F.count_if(c < F.lit(low)).alias(f"b{i}"), F.count(inside).alias(f"n{i}"), F.min(inside).alias(f"l{i}"), F.max(inside).alias(f"h{i}")]
+            tried.append((i, o))
+        if not tried:
+            return
+        row = self.df.agg(*aggs).first()
+        for i, o in tried:
+            below, rows = row[f"b{i}"], row[f"n{i}"]
+            if below <= o.rank < below + rows:
+                o.low, o.high, o.below, o.rows = row[f"l{i}"], row[f"h{i}"], below, rows
+
     @staticmethod
     def _narrow(o: _Open, buckets: list[tuple]) -> None:
         """Move to the bucket that holds the rank; buckets are (rows, min, max) in ascending order."""
