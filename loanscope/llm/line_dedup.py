@@ -26,7 +26,6 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame

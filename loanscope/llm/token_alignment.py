@@ -6,8 +6,8 @@ pointers are doubled (each token takes the pointer of its target) until nothing
 token holds the terminal token of its group, the smallest run of bytes in which both sides begin and end together. The number of
 doublings is the logarithm of the longest chain.
 
-``align`` needs no shuffle and returns ids and group sizes of each text, ``align_links`` only its links, packed. ``link_counts`` adds up, over the whole corpus, how often each pair
-of ids ends together (tasks add first, so a pair that a third of all links share is one row of a task), and marks the pairs that are the
+``align`` needs no shuffle and returns ids and group sizes of each text, ``align_links`` only its links, packed. ``link_counts`` adds
+up, over the whole corpus, how often each pair of ids ends together (tasks add first, so a pair that a third of all links share is one row of a task), and marks the pairs that are the
 most frequent ones of their second id. ``link_scores`` carries the counts back to the texts: pairs with at least ``PAIR_SHARE`` of all
 links (at most ``1 / PAIR_SHARE``, a proven bound) are held by every task, all others are joined; none of those is frequent, so the join
 has no hot key.
@@ -393,7 +393,7 @@ def sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def digests(s: Slice) -> list[str]:
     """SHA-256 of the groups of each text as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-    digits, length = decimals()
+    digits, length = decimals(1 << max(17, int(max(s.a.max(initial=0), s.b.max(initial=0))).bit_length()))
     both = s.a_sizes + s.b_sizes
     at = np.cumsum(both) - both
     ids = np.empty(int(both.sum()), np.int64)
@@ -417,7 +417,7 @@ def digits_width() -> int:
 
 
 @functools.lru_cache(1)
-def decimals(size: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Decimal digits of all ids below ``size``, each in a field of its own, and their number."""
     rows = [str(i).encode() for i in range(size)]
     fields = np.frombuffer(b"".join(r.ljust(digits_width()) for r in rows), np.uint8)
