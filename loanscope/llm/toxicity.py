@@ -144,19 +144,19 @@ def fit(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     return ToxicityModel(model.ordinary, model.toxic, ratios, tuple(logistic(x, y)))
 
 
-def units(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(place, number of words, unit, word before it) of every word and every pair of words."""
-    words = text.split(" ")
-    before = ["", *words]
-    for i, w in enumerate(words):
-        yield i, 1, w, before[i]
-        if i + 1 < len(words):
-            yield i, 2, f"{w} {words[i + 1]}", before[i]
+def numbered(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of every word, of the one before it (0 at a text's start) and after it (0 at its end), and the texts' offsets."""
+    words = [t.split(" ") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    ids = np.fromiter((number.setdefault(x, len(number) + 1) for w in words for x in w), np.int64, int(offsets[-1]))
+    before, after = np.roll(ids, 1), np.roll(ids, -1)
+    before[offsets[:-1]], after[offsets[1:] - 1] = 0, 0
+    return ids, before, after, offsets
 
 
-def supports(texts: list[str]) -> Counter:
-    """After how many different words each word and pair occurs: copies of one text say the same thing once."""
-    return Counter(u for _, u in {(b, u) for x in texts for _, _, u, b in units(x)})
+def supports(units: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """After how many different words each of ``n`` units occurs: copies of one text say the same thing once."""
+    return np.bincount(np.unique(before * n + units) % n, minlength=n)
 
 
 def toxic_runs(toxic: list[str], ordinary: list[str]) -> list[str]:
@@ -164,23 +164,30 @@ def toxic_runs(toxic: list[str], ordinary: list[str]) -> list[str]:
 
     Rarer, not absent: some ordinary rows may be mislabelled or quote such words.
     """
-    of_toxic, of_ordinary = supports(toxic), supports(ordinary)
+    number: dict[str, int] = {}
+    t, o = numbered(toxic, number), numbered(ordinary, number)
+    n = len(number) + 1
     share = len(toxic) / len(ordinary)
     # what n ordinary texts lack may still be in about 1 / n of them: ask for more than that could bring
     least = 5 + 8 * share
-    typical = {u for u, n in of_toxic.items() if n >= least and n >= RARER * share * of_ordinary[u]}
+    of_toxic, of_ordinary = (supports(x[0], x[1], n) for x in (t, o))
+    typical = (of_toxic >= least) & (of_toxic >= RARER * share * of_ordinary)
     # a pair says something of its own only where none of its words does
-    typical = {u for u in typical if " " not in u or (of_toxic[u] >= 4 * least and not typical & set(u.split(" ")))}
-    if not typical:
-        typical = set(sorted(of_toxic, key=lambda u: (-of_toxic[u] / (of_ordinary[u] + 1), u))[:1])
+    keys, place = np.unique(np.concatenate([x[0] * n + x[2] for x in (t, o)]), return_inverse=True)
+    pairs = place[: len(t[0])], place[len(t[0]) :]
+    pair_toxic, pair_ordinary = (supports(p, x[1], len(keys)) for p, x in zip(pairs, (t, o)))
+    alone = (keys % n > 0) & ~typical[keys // n] & ~typical[keys % n]
+    typical_pair = alone & (pair_toxic >= 4 * least) & (pair_toxic >= RARER * share * pair_ordinary)
+    if not typical.any() and not typical_pair.any():
+        value = of_toxic / (of_ordinary + 1)
+        typical[min((w, i) for w, i in number.items() if value[i] == value.max())[1]] = True
+    marked = typical[t[0]]
+    first = typical_pair[pairs[0]]
+    marked |= first | np.concatenate([[False], first[:-1]])
     out = []
-    for text in toxic:
+    for text, x, y in zip(toxic, t[3][:-1], t[3][1:]):
         words = text.split(" ")
-        marked = np.zeros(len(words), bool)
-        for i, n, u, _ in units(text):
-            if u in typical:
-                marked[i : i + n] = True
-        out += [" ".join(words[a:b]) + " " for a, b in stretches(marked)]
+        out += [" ".join(words[a:b]) + " " for a, b in stretches(marked[x:y])]
     return out
 
 
