@@ -24,6 +24,7 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -276,7 +277,7 @@ class Encoder:
         if len(self.number) > KEPT_PIECES or self.bytes > KEPT_BYTES:
             self.forget()
         found = [self.split(t) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(p for pieces in found for p in pieces) if p not in self.number]
+        new = [p for p in dict.fromkeys(chain.from_iterable(found)) if p not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             coded = [p.encode() for p in new]
@@ -286,8 +287,7 @@ class Encoder:
             self.count = np.concatenate([self.count, count])
             self.ids = np.concatenate([self.ids, ids])
         sizes = [len(pieces) for pieces in found]
-        place = self.number
-        at = np.fromiter((place[p] for pieces in found for p in pieces), np.int64, sum(sizes))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
         edges = np.concatenate([[0], np.cumsum(sizes)])
         totals = np.concatenate([[0], np.cumsum(self.count[at])])
         return self.ids[common.ranges(self.start[at], self.count[at])], totals[edges]

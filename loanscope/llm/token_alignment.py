@@ -50,7 +50,7 @@ class TokenBytes:
         return self.data[common.ranges(self.start[ids], self.size[ids])]
 
 
-@dataclass
+@dataclass(eq=False)
 class Tokenizers:
     """What tasks get of both tokenizers: contents of the files, tables made from them once."""
 
@@ -148,7 +148,7 @@ class Pieces:
             self.forget()
         plain = np.array([self.words_apart and "  " not in t and t[:1] != " " and t[-1:] != " " for t in texts], bool)
         found = [t.split(" ") if t and p else [] for t, p in zip(texts, plain)]
-        new = [w for w in dict.fromkeys(w for words in found for w in words) if w not in self.number]
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(found)) if w not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             ids, edges = flat(self.model.encode(new, num_threads=1))
@@ -159,8 +159,7 @@ class Pieces:
             self.count = np.concatenate([self.count, np.diff(edges)])
             self.ids = np.concatenate([self.ids, ids])
         sizes = np.array([len(words) for words in found], np.int64)
-        place = self.number
-        at = np.fromiter((place[w] for words in found for w in words), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(sizes.sum()))
         edges = np.concatenate([[0], np.cumsum(self.count[at])])[np.concatenate([[0], np.cumsum(sizes)])]
         ids = self.ids[common.ranges(self.start[at], self.count[at])]
         wrong = np.bincount(np.repeat(np.arange(len(texts)), sizes), ~self.same[at], len(texts)) > 0
@@ -260,13 +259,19 @@ class Aligner:
         return Slice(a, a_edges, b, b_edges, np.bincount(a_group) if len(a) else a, np.bincount(b_group) if len(b) else b, edges)
 
 
+@functools.lru_cache(1)
+def aligner_of(tokenizers: Tokenizers) -> Aligner:
+    """The aligner of this worker process: its next task goes on with the words that earlier ones have encoded, within the same bounds."""
+    return Aligner(tokenizers)
+
+
 def slices_of(docs: DataFrame, tokenizers: Tokenizers, text: str, key: str, columns, schema: str) -> DataFrame:
     """``key`` and what ``columns`` makes of each aligned slice."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(shared.value)
+        aligner = aligner_of(shared.value)
         for part in common.slices(batches, "text", SLICE_BYTES):
             yield pa.record_batch({"key": part.column("key")} | columns(aligner.align([t or "" for t in part.column("text").to_pylist()])))
 

@@ -249,3 +249,14 @@ def test_resampling_edges(spark, docs, no_docs):
     copies = spark.range(300).selectExpr("5L AS doc_id", "repeat('river ', 30) AS text")
     ranks = [r["rank"] for r in importance_resampling.resample(copies, none).collect()]
     assert sorted(r for r in ranks if r) == list(range(1, 31)) and ranks.count(None) == 270
+
+
+def test_tasks_of_a_worker_go_on_with_known_words(tokenizers):
+    """The second task of a process encodes no word again that the first one has met."""
+    texts = ["some words that come again", "and again some words"]
+    first = token_alignment.aligner_of(tokenizers)
+    whole = first.align(texts)
+    known = len(first.first.encoder.number), len(first.second.number)
+    again = token_alignment.aligner_of(tokenizers)
+    assert again is first and token_alignment.digests(again.align(texts)) == token_alignment.digests(whole)
+    assert (len(again.first.encoder.number), len(again.second.number)) == known
