@@ -68,7 +68,7 @@ def multi_line_chunks(text: str, min_lines: int = MIN_LINES) -> list[tuple[int,
 
 
 def removal(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, chunks: numbers of the chunks to remove."""
+    """doc_id, text_hash, chunks: numbers of the chunks to remove."""
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,18 +86,19 @@ def removal(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             rows = []
-            for d, t, want, firsts in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "wanted", "firsts"))):
+            for d, x, t, want, firsts in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "wanted", "firsts"))):
                 is_first = dict(zip(want, firsts))
-                rows += [(d, n, h, is_first[n], piece) for n, h, _, piece in multi_line_chunks(t, min_lines) if n in is_first]
+                rows += [(d, n, h, is_first[n], piece, x) for n, h, _, piece in multi_line_chunks(t, min_lines) if n in is_first]
             yield pa.record_batch({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()),
                 "hash": pa.array([r[2] for r in rows], pa.int64()), "is_first": pa.array([r[3] for r in rows], pa.bool_()),
-                "piece": pa.array([r[4] for r in rows], pa.string())})
+                "piece": pa.array([r[4] for r in rows], pa.string()), "text_hash": pa.array([r[5] for r in rows], pa.int64())})
 
-    pieces = staged(texts.join(wanted, "doc_id").mapInArrow(cut, "doc_id long, n long, hash long, is_first boolean, piece string"), "line-pieces")
+    pieces = staged(texts.join(wanted.hint("merge"), "doc_id").withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        cut, "doc_id long, n long, hash long, is_first boolean, piece string, text_hash long"), "line-pieces")
     originals = pieces.filter("is_first").dropDuplicates(["hash"]).select("hash", F.col("piece").alias("original"))
     equal = pieces.filter("NOT is_first").join(originals, "hash").filter("piece = original")
-    return equal.groupBy("doc_id").agg(F.collect_set("n").alias("chunks"))
+    return equal.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("chunks"))
 
 
 def without_chunks(text: str, chunks: list[int]) -> tuple[str, int]:
@@ -109,12 +110,18 @@ def without_chunks(text: str, chunks: list[int]) -> tuple[str, int]:
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The rows of ``docs`` with repeated chunks removed from the text, and n_lines, n_removed_lines."""
-    gone = staged(removal(docs, min_lines), "line-removal")
+    return without_rows(docs, staged(removal(docs, min_lines), "line-removal"), "chunks", without_chunks)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, what: str, cut) -> DataFrame:
+    """``docs`` without what ``cut`` takes out of a text by the column ``what`` of ``gone`` (doc_id, text_hash, ``what``)."""
     columns = [c for c in docs.columns if c != "n_removed_lines"]
-    row, chunks = (common.fresh(c, columns) for c in ("gone_id", "gone"))
-    joined = docs.select(columns).join(gone.select(F.col("doc_id").alias(row), F.col("chunks").alias(chunks)).hint("merge"),
-                                       F.col("doc_id").cast("long") == F.col(row), "left").drop(row)
-    return without(joined, columns, chunks, without_chunks)
+    # how much is removed grows with the corpus, so it is never a broadcast: one plan at every size
+    row, text, name = (common.fresh(c, columns) for c in ("gone_id", "gone_text", "gone"))
+    joined = docs.select(columns).join(
+        gone.select(F.col("doc_id").alias(row), F.col("text_hash").alias(text), F.col(what).alias(name)).hint("merge"),
+        (F.col("doc_id").cast("long") == F.col(row)) & (F.xxhash64("text") == F.col(text)), "left").drop(row, text)
+    return without(joined, columns, name, cut)
 
 
 def without(joined: DataFrame, columns: list[str], gone: str, cut) -> DataFrame:
@@ -174,11 +181,22 @@ def repeated_runs(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
 
 def dedup_passages(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
     """The rows of ``docs`` with repeated passages of ``width`` lines or more removed from the text, and n_removed_lines."""
-    gone = staged(repeated_runs(docs, width), "line-removal")
-    columns = [c for c in docs.columns if c != "n_removed_lines"]
-    # how much is removed grows with the corpus, so it is never a broadcast: one plan at every size
-    row, text, runs = (common.fresh(c, columns) for c in ("gone_id", "gone_text", "gone"))
-    joined = docs.select(columns).join(
-        gone.select(F.col("doc_id").alias(row), F.col("text_hash").alias(text), F.col("runs").alias(runs)).hint("merge"),
-        (F.col("doc_id").cast("long") == F.col(row)) & (F.xxhash64("text") == F.col(text)), "left").drop(row, text)
-    return without(joined, columns, runs, lambda text, starts: without_runs(text, starts, width))
+    return without_rows(docs, staged(repeated_runs(docs, width), "line-removal"), "runs", lambda text, starts: without_runs(text, starts, width))
+
+
+def dedup_repeats(docs: DataFrame, width: int = MIN_LINES) -> DataFrame:
+    """The rows of ``docs`` without repeated content-defined chunks, compared byte for byte, nor the repeated passages of ``width`` lines
+    or more that chunk boundaries cut through, and n_removed_lines. Both are found on the input and go at once."""
+    found = removal(docs, width).join(repeated_runs(docs, width).hint("merge"), ["doc_id", "text_hash"], "full")
+    gone = staged(found.select("doc_id", "text_hash", F.struct("chunks", "runs").alias("gone")), "line-removal")
+    return without_rows(docs, gone, "gone", lambda text, gone: without_both(text, gone["chunks"] or [], gone["runs"] or [], width))
+
+
+def without_both(text: str, chunks: list[int], starts: list[int], width: int = MIN_LINES) -> tuple[str, int]:
+    lines = text.split("\n")
+    gone = {i + k for i in starts for k in range(width)}
+    if chunks:
+        bounds = chunk_lines(lines)
+        gone.update(i for n in chunks for i in range(*bounds[n][:2]))
+    kept = [x for i, x in enumerate(lines) if i not in gone]
+    return "\n".join(kept), len(lines) - len(kept)

@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all that the stage before it k
 as Parquet in the shared folder and reads again for the next one. All but the last return the columns of ``documents``.
 
 * toxicity: documents that the model, fitted on ``labels``, predicts as toxic are dropped.
-* line_dedup: later copies of repeated passages of two lines or more are cut out of the texts, and n_chars follows.
+* line_dedup: later copies of repeated content-defined chunks of lines, compared byte for byte, are cut out of the texts, with the
+  repeated passages of two lines or more that chunk boundaries cut through, and n_chars follows.
 * simhash: of each group of near duplicates the document with the smallest id stays; fingerprints of NEAR_BITS differing bits are
   near, which takes in more of the copies with a few changed words than the operator's own default.
 * decontamination: documents that contain a benchmark item are dropped.
@@ -33,7 +34,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_passages(docs)
+    out = line_dedup.dedup_repeats(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -156,3 +156,25 @@ def test_removed_passages_match_brute_force(spark, docs, corpus, no_docs, width)
     assert Counter((r.doc_id, r.text) for r in got) == brute_passages([*corpus, corpus[0], *more], width)
     assert {(r.Gone, r.gone_id, r.gone_text, r.runs, r.text_hash) for r in got} == {("kept", 1, 2, 3, 4)}
     assert line_dedup.dedup_passages(no_docs, width).count() == 0
+
+
+def test_pipeline_removes_chunks_by_bytes_and_the_passages_they_miss(spark, monkeypatch):
+    """Chunk boundaries decide first; a passage that they cut through goes too, and nothing that is not a repeat."""
+    from loanscope.llm import line_dedup, pipeline
+
+    rng = random.Random(3)
+    shared = [f"shared line {i} {rng.random()}" for i in range(12)]
+    texts = ["\n".join([f"own {d} {i} {rng.random()}" for i in range(4)] + shared[d % 3 :] + [f"end {d}"]) for d in range(6)] + ["a\nb", "", None]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    asked = []
+    whole = line_dedup.removal
+    monkeypatch.setattr(line_dedup, "removal", lambda *a: asked.append(whole(*a)) or asked[-1])
+    out = {r.doc_id: r.text for r in pipeline.line_stage(spark, docs, "").collect()}
+    assert asked and asked[0].count() > 0
+    chunks = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    runs = {r.doc_id: r.text for r in line_dedup.dedup_passages(docs).collect()}
+    for d, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        gone = [x for x in lines if x not in (chunks[d] or "").split("\n") or x not in (runs[d] or "").split("\n")]
+        assert out[d] == (text and "\n".join(x for x in lines if x not in gone))
+    assert out[5].split("\n") == texts[5].split("\n")[:4] + ["end 5"]
