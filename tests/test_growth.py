@@ -2,7 +2,9 @@
 
 import re
 
+from checks import catalog
 from checks import loans as L
+from loanscope.operators import scoring as Z
 
 
 def test_loans_are_joined_by_one_plan_at_every_size(spark, sf_dir):
@@ -13,3 +15,18 @@ def test_loans_are_joined_by_one_plan_at_every_size(spark, sf_dir):
     assert not re.search(r"SortMergeJoin|\bSort\b", plan)
     assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 6  # lines by part and by order, orders twice, customers, parts
 
+
+
+def test_documents_are_read_once(spark, sf_dir):
+    """What follows the reading of the documents starts at stored rows: no branch parses them again."""
+    plan = catalog.serve_batch_payloads(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "to_json" not in plan
+
+
+def test_each_model_reads_its_fold_alone(spark, sf_dir):
+    credits = L.credits(spark, sf_dir).limit(300)
+    models = Z.fit_folds(credits, Z.LOGISTIC, 2, Z.ModelSizes(logistic_iterations=2))
+    scored = Z.predict_out_of_fold(credits, models)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and len(re.findall(r"PartitionFilters: \[isnotnull\(fold#\d+\), \(fold#\d+ = \d\)\]", plan)) == 2
+    assert scored.count() == 300
