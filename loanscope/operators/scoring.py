@@ -282,8 +282,11 @@ def fit_folds(loans: DataFrame, name: str, folds: int = 4, sizes: ModelSizes = M
 
 
 def predict_out_of_fold(loans: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
-    """Input columns plus ``fold``, ``proba``, ``prediction``: every loan is scored by the model that has not seen its fold."""
-    folded = loans.withColumn("fold", fold_of(len(models)))
+    """Input columns plus ``fold``, ``proba``, ``prediction``: every loan is scored by the model that has not seen its fold.
+
+    The fold is worked out once per loan, and each model reads the files of its fold alone.
+    """
+    folded = staged(loans.withColumn("fold", fold_of(len(models))), "folds", partition_by="fold")
     return reduce(DataFrame.unionByName, [predict(folded.filter(F.col("fold") == i), m) for i, m in enumerate(models)])
 
 
