@@ -35,6 +35,14 @@ def build_session(app_name: str = "loanscope", **settings: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
+def split_wide_code(spark: SparkSession) -> None:
+    """Let stages whose generated method the JVM would not compile (over 8000 bytes) run by their operators, whose code is split.
+
+    For plans that convert or check many columns in one step; it holds for the session from then on and changes no result.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach: the cluster's setting, or one below the warehouse where none is set.
 
