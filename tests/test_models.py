@@ -116,6 +116,17 @@ def test_models_learn_and_the_best_is_chosen(trained):
         assert 0 <= r.precision <= 1 and 0 <= r.recall <= 1
 
 
+def test_confusion_facts_meet_the_metrics_in_one_join(spark, sf_dir, credits, monkeypatch):
+    small = {name: Z.train_models(credits, (name,), TINY) for name in Z.MODEL_NAMES}
+    monkeypatch.setattr(catalog, "_trained", lambda spark, sf_dir, name: small[name])
+    facts = catalog.ml_confusion_facts(spark, sf_dir)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and plan.count("HashJoin") == 1
+    got = {r.modele: r for r in facts.collect()}
+    assert set(got) == set(Z.MODEL_NAMES)
+    assert all(r.nb_test > 0 and r.nb_ecarts == 0 and r.nb_classes_fausses == 0 for r in got.values())
+
+
 @pytest.mark.parametrize("name", Z.MODEL_NAMES)
 def test_importance_sums_to_100(trained, credits, name):
     imp = Z.importance(trained.models[name], credits).toPandas()
