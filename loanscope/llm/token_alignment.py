@@ -6,6 +6,11 @@ pointers are doubled (each token takes the pointer of its target) until nothing
 token holds the terminal token of its group, the smallest run of bytes in which both sides begin and end together. The number of
 doublings is the logarithm of the longest chain.
 
+Where neither side has a token that goes on after a space, both sides begin and end together at every single space, so a text is the
+words between its spaces one after the other: each distinct word is encoded and aligned once while it is kept, and a text takes the ids,
+groups and links of its words. Texts with further spaces, and texts with a word that begins or ends in other white space, holds a character in doubt or is not spelled by its tokens, are
+encoded and aligned as a whole.
+
 ``align`` needs no shuffle and returns ids and group sizes of each text, ``align_links`` only its links, packed. ``link_counts`` adds
 up, over the whole corpus, how often each pair of ids ends together (tasks add first, so a pair that a third of all links share is one row of a task), and marks the pairs that are the
 most frequent ones of their second id. ``link_scores`` carries the counts back to the texts: pairs with at least ``PAIR_SHARE`` of all
@@ -23,7 +28,7 @@ import hashlib
 import itertools
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +43,7 @@ from loanscope.session import staged
 PAIR_SHARE = 4e-6
 SLICE_BYTES = 1 << 19
 SPACE = "▁"  # stands for a space in pieces
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 class TokenBytes:
@@ -131,6 +137,14 @@ class ByteLevel:
                       for x, y, p, t in zip(edges[:-1], edges[1:], plain, texts)]), plain
 
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Clean words (see ``Aligner.clean``), which the caller keeps: a piece that begins with a space is the first of its word."""
+        pieces = self.encoder.split(" " + " ".join(words)) if words else []
+        ids, count = byte_bpe.encode_pieces(self.encoder.ranks, [p.encode() for p in pieces])
+        begin = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        return ids, np.concatenate([[0], np.cumsum(count)])[np.append(begin, len(pieces))], np.ones(len(words), bool)
+
+
 class Pieces:
     """The second side. Where no piece goes on after a space, words between single spaces are encoded once while they are kept; the
     model puts the space in front itself. Texts with further spaces go to the model as they are."""
@@ -143,6 +157,10 @@ class Pieces:
         self.number: dict[str, int] = {}
         self.ids, self.start, self.count, self.same, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), 0
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that the caller keeps; none of them is kept here."""
+        return *flat(self.model.encode(words, num_threads=1)), np.zeros(len(words), bool)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.number) > byte_bpe.KEPT_PIECES or self.held > byte_bpe.KEPT_BYTES:
             self.forget()
@@ -234,17 +252,133 @@ class Slice:
         """Pairs of ids that end together, first id << 32 | second id: the last tokens of each group."""
         return self.a[np.cumsum(self.a_sizes) - 1] << 32 | self.b[np.cumsum(self.b_sizes) - 1]
 
+    def taken(self, at: np.ndarray) -> Slice:
+        """Texts by their numbers, in that order."""
+        (a, a_edges), (b, b_edges) = taken(self.a, self.a_edges, at), taken(self.b, self.b_edges, at)
+        (a_sizes, edges), (b_sizes, _) = taken(self.a_sizes, self.edges, at), taken(self.b_sizes, self.edges, at)
+        return Slice(a, a_edges, b, b_edges, a_sizes, b_sizes, edges)
+
+    def joined(self, stops: np.ndarray) -> Slice:
+        """Texts that run up to the given numbers made one text each."""
+        return Slice(self.a, self.a_edges[stops], self.b, self.b_edges[stops], self.a_sizes, self.b_sizes, self.edges[stops])
+
+    def followed(self, after: Slice) -> Slice:
+        def edges(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.concatenate([x, x[-1] + y[1:]])
+
+        def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.concatenate([x, y])
+
+        return Slice(both(self.a, after.a), edges(self.a_edges, after.a_edges), both(self.b, after.b), edges(self.b_edges, after.b_edges),
+                     both(self.a_sizes, after.a_sizes), both(self.b_sizes, after.b_sizes), edges(self.edges, after.edges))
+
+
+def taken(values: np.ndarray, edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = edges[at + 1] - edges[at]
+    return values[common.ranges(edges[at], size)], np.concatenate([[0], np.cumsum(size)])
+
+
+def no_texts() -> Slice:
+    none, edge = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return Slice(none, edge, none, edge, none, none, edge)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+@dataclass
+class Links:
+    """What a corpus is counted by, of each text: tokens on both sides, groups, their digest, packed links."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    digests: list[str]
+    packed: list[bytes]
+
 
 class Aligner:
     def __init__(self, tokenizers: Tokenizers):
         self.first, self.second = ByteLevel(tokenizers), Pieces(tokenizers)
-        self.a_bytes, self.b_bytes = tokenizers.first_bytes, tokenizers.second_bytes
+        self.a_bytes, self.b_bytes, self.doubtful = tokenizers.first_bytes, tokenizers.second_bytes, tokenizers.doubtful
+        self.words_apart = tokenizers.ranks is not None and tokenizers.words_apart
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.words, self.pairs, self.written, self.held = Numbers(), no_texts(), np.zeros(0, np.int64), [], 0
+        self.apart = np.zeros(0, bool)  # words whose neighbours do not matter
+
+    def clean(self, words: list[str]) -> np.ndarray:
+        """Which words neither begin nor end in white space and hold no characters in doubt."""
+        text = f" {' '.join(words)} "
+        if not any(f" {c}" in text or f"{c} " in text for c in WHITE) and (text.isascii() or self.doubtful.isdisjoint(text)):
+            return np.ones(len(words), bool)
+        return np.array([not (w[0].isspace() or w[-1].isspace()) and (w.isascii() or self.doubtful.isdisjoint(w)) for w in words], bool)
+
+    def learn(self, new: list[str]) -> None:
+        clean = self.clean(new)
+        some = self.whole(list(itertools.compress(new, clean)), self.first.encode_words, self.second.encode_words)
+        some = some.joined(np.concatenate([[0], np.cumsum(clean)]))
+        self.apart = np.concatenate([self.apart, np.diff(some.edges) > 0])
+        text, edges = written(some)
+        text, stops = text.tobytes(), edges.tolist()
+        self.written += [text[x : y - 1] if y > x else b"" for x, y in zip(stops[:-1], stops[1:])]
+        self.held += sum(map(len, new)) + len(text)
+        self.pairs = np.concatenate([self.pairs, some.links()])
+        self.words = self.words.followed(some)
+
+    def placed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts are their words one after the other, the numbers of the words, and the place of the first word of each such text."""
+        if len(self.number) > byte_bpe.KEPT_PIECES or self.held > byte_bpe.KEPT_BYTES:
+            self.forget()
+        known = len(self.number)
+        found = [t.split(" ") if t and self.words_apart and "  " not in t and t[0] != " " and t[-1] != " " else [] for t in texts]
+        sizes = np.array([len(words) for words in found], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        if len(self.number) > known:
+            self.learn(list(itertools.islice(self.number, known, None)))
+        odd = np.bincount(np.repeat(np.arange(len(texts)), sizes), ~self.apart[at], len(texts)) > 0
+        apart = (sizes > 0) & ~odd
+        return apart, at if not odd.any() else at[np.repeat(apart, sizes)], np.concatenate([[0], np.cumsum(sizes[apart])])
 
     def align(self, texts: list[str]) -> Slice:
+        apart, at, edges = self.placed(texts)
+        by_words = self.words.taken(at).joined(edges)
+        if apart.all():
+            return by_words
+        rest = self.whole([t for t, there in zip(texts, apart) if not there], self.first.encode, self.second.encode)
+        return by_words.followed(rest).taken(np.argsort(np.argsort(~apart, kind="stable")))
+
+    def links(self, texts: list[str]) -> Links:
+        """The links of the texts, from those of their words: the tokens of a text are not put together."""
+        apart, at, edges = self.placed(texts)
+        counts = [np.zeros(len(texts), np.int64) for _ in range(3)]
+        for count, of in zip(counts, (self.words.a_edges, self.words.b_edges, self.words.edges)):
+            before = np.concatenate([[0], np.cumsum(np.diff(of)[at])])
+            count[apart] = np.diff(before[edges])
+        pairs, ends = taken(self.pairs, self.words.edges, at)
+        groups = list(map(self.written.__getitem__, at.tolist()))
+        told = [hashlib.sha256(b";".join(groups[x:y])).hexdigest() for x, y in zip(edges[:-1], edges[1:])]
+        packed = packed_links(pairs, ends[edges])
+        if not apart.all():
+            rest = self.whole([t for t, there in zip(texts, apart) if not there], self.first.encode, self.second.encode)
+            for count, of in zip(counts, (rest.a_edges, rest.b_edges, rest.edges)):
+                count[~apart] = np.diff(of)
+            more = iter(zip(digests(rest), packed_links(rest.links(), rest.edges)))
+            both = iter(zip(told, packed))
+            told, packed = map(list, zip(*(next(both) if there else next(more) for there in apart)))
+        return Links(*counts, told, packed)
+
+    def whole(self, texts: list[str], first: Callable, second: Callable) -> Slice:
         keep = np.array([bool(t) for t in texts], bool)
         sides = []
-        for side, table in ((self.first, self.a_bytes), (self.second, self.b_bytes)):
-            ids, edges, known = side.encode(texts)
+        for encode, table in ((first, self.a_bytes), (second, self.b_bytes)):
+            ids, edges, known = encode(texts)
             asked = np.flatnonzero(~known & keep)
             if len(asked):
                 data, offsets = common.raw_text(pa.array([" " + texts[i] for i in asked], pa.string()))
@@ -273,7 +407,7 @@ def slices_of(docs: DataFrame, tokenizers: Tokenizers, text: str, key: str, colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(shared.value)
         for part in common.slices(batches, "text", SLICE_BYTES):
-            yield pa.record_batch({"key": part.column("key")} | columns(aligner.align([t or "" for t in part.column("text").to_pylist()])))
+            yield pa.record_batch({"key": part.column("key")} | columns(aligner, [t or "" for t in part.column("text").to_pylist()]))
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
@@ -281,7 +415,8 @@ def slices_of(docs: DataFrame, tokenizers: Tokenizers, text: str, key: str, colu
 
 def align(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, a_ids, b_ids, and a_sizes, b_sizes: how many tokens of each side the groups have, in their order."""
-    def columns(s: Slice) -> dict[str, pa.Array]:
+    def columns(aligner: Aligner, texts: list[str]) -> dict[str, pa.Array]:
+        s = aligner.align(texts)
         return {"a_ids": listed(s.a, s.a_edges), "b_ids": listed(s.b, s.b_edges), "a_sizes": listed(s.a_sizes, s.edges), "b_sizes": listed(s.b_sizes, s.edges)}
 
     return slices_of(docs, tokenizers, text, key, columns, ", ".join(f"{c} array<int>" for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")))
@@ -292,10 +427,10 @@ def align_links(docs: DataFrame, tokenizers: Tokenizers, text: str = "text", key
 
     The groups themselves are gone here: this is what counting over a corpus needs, in the fewest bytes.
     """
-    def columns(s: Slice) -> dict[str, pa.Array]:
-        counts = {"n_a": np.diff(s.a_edges), "n_b": np.diff(s.b_edges), "n_groups": np.diff(s.edges)}
-        return {c: pa.array(v.astype(np.int64)) for c, v in counts.items()} | {
-            "groups_sha256": pa.array(digests(s), pa.string()), "links": pa.array(packed_links(s.links(), s.edges), pa.binary())}
+    def columns(aligner: Aligner, texts: list[str]) -> dict[str, pa.Array]:
+        links = aligner.links(texts)
+        return {c: pa.array(getattr(links, c)) for c in ("n_a", "n_b", "n_groups")} | {
+            "groups_sha256": pa.array(links.digests, pa.string()), "links": pa.array(links.packed, pa.binary())}
 
     return slices_of(docs, tokenizers, text, key, columns, "n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
 
@@ -398,6 +533,12 @@ def sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def digests(s: Slice) -> list[str]:
     """SHA-256 of the groups of each text as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+    text, edge = written(s)
+    return ["" if x == y else hashlib.sha256(text[x : y - 1]).hexdigest() for x, y in zip(edge[:-1], edge[1:])]
+
+
+def written(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of all texts in characters, each group with a ``;`` after it, and the offset of each text."""
     digits, length = decimals(1 << max(17, int(max(s.a.max(initial=0), s.b.max(initial=0))).bit_length()))
     both = s.a_sizes + s.b_sizes
     at = np.cumsum(both) - both
@@ -413,8 +554,7 @@ def digests(s: Slice) -> list[str]:
     whole[common.ranges(stop - size, size - 1)] = digits[common.ranges(ids * digits_width(), size - 1)]
     whole[stop - 1] = after
     tokens = np.concatenate([[0], np.cumsum(both)])[s.edges]
-    edge = np.concatenate([[0], stop])[tokens]
-    return ["" if x == y else hashlib.sha256(whole[x : y - 1]).hexdigest() for x, y in zip(edge[:-1], edge[1:])]
+    return whole, np.concatenate([[0], stop])[tokens]
 
 
 def digits_width() -> int:

@@ -260,3 +260,19 @@ def test_tasks_of_a_worker_go_on_with_known_words(tokenizers):
     again = token_alignment.aligner_of(tokenizers)
     assert again is first and token_alignment.digests(again.align(texts)) == token_alignment.digests(whole)
     assert (len(again.first.encoder.number), len(again.second.number)) == known
+
+
+def test_texts_of_known_words_are_not_encoded_again(tokenizers, monkeypatch):
+    """Each word is aligned once; texts of its words alone take its groups, other texts are aligned as a whole, in the order of the texts."""
+    texts = ["river's bank,\nagain", "", "two  spaces", " bank", "again river's bank", "line \nbreak", "<s> x", "\t", "¹ é", "bank again"]
+    aligner = token_alignment.Aligner(tokenizers)
+    whole = aligner.whole(texts, aligner.first.encode, aligner.second.encode)
+    for _ in range(2):
+        links, placed = aligner.links(texts), aligner.align(texts)
+        assert links.digests == token_alignment.digests(whole) == token_alignment.digests(placed)
+        assert links.packed == token_alignment.packed_links(whole.links(), whole.edges)
+        assert links.n_a.tolist() == np.diff(whole.a_edges).tolist() and links.n_b.tolist() == np.diff(whole.b_edges).tolist()
+        assert all((getattr(placed, f) == getattr(whole, f)).all() for f in ("a", "a_edges", "b", "b_edges", "a_sizes", "b_sizes", "edges"))
+    monkeypatch.setattr(aligner, "whole", None)  # asked for nothing more
+    known = [t for t, there in zip(texts, aligner.placed(texts)[0]) if there]
+    assert len(known) >= 3 and aligner.links(known).n_groups.tolist() == aligner.links(known[::-1]).n_groups.tolist()[::-1]
