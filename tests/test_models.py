@@ -194,8 +194,8 @@ def test_zones_partition_the_portfolio(credits):
 
 def test_training_rows_are_dealt_evenly(spark, credits, monkeypatch):
     """Every slot takes the same share of the rows, however few files they come from."""
-    assert [Z.training_parts(n, 12) for n in (0, 1, 2_001, 24_000, 2_128_806, 12_000_000, 12_000_001, 21_288_060)] == [
-        1, 1, 2, 12, 12, 12, 24, 24]
+    assert [Z.training_parts(n, 12) for n in (0, 100_000, 354_801, 2_128_806, 12_000_000, 12_000_001, 21_288_060)] == [
+        1, 5, 12, 12, 12, 24, 24]
     shares, write = [], Z.staged
 
     def recorded(df, name, *more):
@@ -204,9 +204,13 @@ def test_training_rows_are_dealt_evenly(spark, credits, monkeypatch):
             shares.append([r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()])
         return out
 
-    monkeypatch.setattr(Z, "LEAST_ROWS", 100)
     monkeypatch.setattr(Z, "staged", recorded)
     train = credits.coalesce(1)
-    Z.fit_model(train, Z.LOGISTIC, Z.fit_encoders(train), Z.ModelSizes(logistic_iterations=2))
+    encoders = Z.fit_encoders(train)
+    Z.fit_model(train, Z.LOGISTIC, encoders, Z.ModelSizes(logistic_iterations=2))
+    assert len(shares.pop()) == 1  # a small table stays as it is
+    monkeypatch.setattr(Z, "DEALT_FROM", 1)
+    monkeypatch.setattr(Z, "LEAST_ROWS", 100)
+    Z.fit_model(train, Z.LOGISTIC, encoders, Z.ModelSizes(logistic_iterations=2))
     slots, rows = spark.sparkContext.defaultParallelism, train.filter(F.col(TARGET).isNotNull()).count()
     assert len(shares[0]) == slots and sum(shares[0]) == rows and max(shares[0]) - min(shares[0]) <= slots
