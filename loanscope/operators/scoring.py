@@ -212,7 +212,7 @@ def training_parts(rows: int, slots: int) -> int:
 
 
 def dealt(training: DataFrame, rows: int) -> DataFrame:
-    """Equal shares of the training rows for all slots: every pass of the estimators waits for its largest partition.
+    """Equal shares of the training rows for all slots: every pass of the tree models, which are long and many, waits for its largest partition.
 
     Tables below ``DEALT_FROM`` rows stay as they are. Bootstraps and split samples of tree models follow partitions.
     """
@@ -235,8 +235,9 @@ def fit_model(
         weights = {c: n / (len(counts) * k) for c, k in counts.items()}
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     # the estimators pass over their input many times: encode and assemble once
-    prepared = staged(dealt(assembler.transform(encode(train, encoders)).select(
-        "features", F.col(TARGET).cast("double").alias(TARGET), _weight_column(weights).alias("weight")), n), "training")
+    rows = assembler.transform(encode(train, encoders)).select(
+        "features", F.col(TARGET).cast("double").alias(TARGET), _weight_column(weights).alias("weight"))
+    prepared = staged(rows if name == LOGISTIC else dealt(rows, n), "training")
     fitted = Pipeline(stages=_classifier_stages(name, n, sizes)).fit(prepared)
     return PipelineModel([*encoders.stages, assembler, *fitted.stages])
 

@@ -207,10 +207,10 @@ def test_training_rows_are_dealt_evenly(spark, credits, monkeypatch):
     monkeypatch.setattr(Z, "staged", recorded)
     train = credits.coalesce(1)
     encoders = Z.fit_encoders(train)
-    Z.fit_model(train, Z.LOGISTIC, encoders, Z.ModelSizes(logistic_iterations=2))
+    Z.fit_model(train, Z.BOOSTED, encoders, TINY)
     assert len(shares.pop()) == 1  # a small table stays as it is
     monkeypatch.setattr(Z, "DEALT_FROM", 1)
     monkeypatch.setattr(Z, "LEAST_ROWS", 100)
-    Z.fit_model(train, Z.LOGISTIC, encoders, Z.ModelSizes(logistic_iterations=2))
+    Z.fit_model(train, Z.BOOSTED, encoders, TINY)
     slots, rows = spark.sparkContext.defaultParallelism, train.filter(F.col(TARGET).isNotNull()).count()
     assert len(shares[0]) == slots and sum(shares[0]) == rows and max(shares[0]) - min(shares[0]) <= slots
