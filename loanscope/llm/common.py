@@ -7,7 +7,6 @@ the same whatever its length.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.session import configure
+from loanscope.session import configure, release  # noqa: F401
 
 # Words are runs of anything but these bytes (fixed values).
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)
@@ -45,12 +44,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

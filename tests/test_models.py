@@ -214,3 +214,43 @@ def test_training_rows_are_dealt_evenly(spark, credits, monkeypatch):
     Z.fit_model(train, Z.BOOSTED, encoders, TINY)
     slots, rows = spark.sparkContext.defaultParallelism, train.filter(F.col(TARGET).isNotNull()).count()
     assert len(shares[0]) == slots and sum(shares[0]) == rows and max(shares[0]) - min(shares[0]) <= slots
+
+
+def test_forest_is_trained_in_groups(spark, credits, monkeypatch, tmp_path):
+    """What training stores for a row does not grow with the forest, and the groups make one forest."""
+    assert Z.tree_groups(200, 99_999) == [200]
+    assert Z.tree_groups(200, 354_801) == [200]
+    assert Z.tree_groups(200, 2_128_806) == [67, 67, 66]
+    assert Z.tree_groups(200, 21_288_060) == Z.tree_groups(200, 130_000_000) == [10] * 20
+    assert Z.tree_groups(5, 130_000_000) == [5]
+    fitted, stages, join = [], Z._classifier_stages, Z.joined_forest
+
+    def recorded(name, n, sizes):
+        out = stages(name, n, sizes)
+        assert out[0].getCheckpointInterval() == -1  # node numbers of all rows and trees are not written again
+        return out
+
+    def kept(spark, groups):
+        fitted.append(list(groups))
+        return join(spark, groups)
+
+    monkeypatch.setattr(Z, "_classifier_stages", recorded)
+    monkeypatch.setattr(Z, "joined_forest", kept)
+    monkeypatch.setattr(Z, "DEALT_FROM", 1)
+    monkeypatch.setattr(Z, "GROUP_COUNTS", 1)
+    monkeypatch.setattr(Z, "LEAST_TREES", 2)
+    encoders = Z.fit_encoders(credits)
+    model = Z.fit_model(credits, Z.FOREST, encoders, TINY)
+    groups, whole = fitted[0], model.stages[-1]
+    assert [g.getNumTrees for g in groups] == [2, 2, 1]
+    assert whole.getNumTrees == 5 and len({t.toDebugString for t in whole.trees}) == 5
+    mean = sum(g.featureImportances.toArray() * g.getNumTrees for g in groups) / 5
+    assert whole.featureImportances.toArray() == pytest.approx(mean, abs=0.2) and sum(whole.featureImportances.toArray()) == pytest.approx(1)
+    some = credits.limit(200).cache()
+    votes = lambda m: [r.proba for r in Z.predict(some, m).select("proba").collect()]
+    of_groups = [votes(Z.PipelineModel([*model.stages[:-1], g])) for g in groups]
+    assert votes(model) == pytest.approx([(2 * a + 2 * b + c) / 5 for a, b, c in zip(*of_groups)])
+    Z.save_model(model, str(tmp_path / "model"))
+    again = Z.load_model(str(tmp_path / "model"))
+    assert again.stages[-1].getNumTrees == 5 and votes(again) == pytest.approx(votes(model))
+    assert Z.model_info(model, credits).first().type_modele == "RandomForestClassificationModel"
