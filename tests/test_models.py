@@ -184,6 +184,26 @@ def test_batch_result(spark, trained, raw):
     assert A.batch_summary(batch.resultats).agg(F.sum("total")).first()[0] == n
 
 
+def test_batch_query_gives_every_result_and_the_total(spark, trained, monkeypatch):
+    """Not a summary alone: every valid application with all fields, and the total of the batch."""
+    names = ["client_id", *[f.name for f in APPLICATION_SCHEMA.fields]]
+    loan = (35, "NATION_1", "BUILDING", "2-HIGH", 48, 600_000, "PROMO", 2_000_000, 36, 11.5, "AF", None, None)
+    rows = [(f"c{i}", 20 + i, *loan[1:5], 400_000 + 90_000 * i, *loan[6:]) for i in range(30)]
+    rows += [rows[0], (None, *loan), ("too young", 17, *loan[1:])]
+    fields = ["client_id string", *[f"{f.name} {f.dataType.simpleString()}" for f in APPLICATION_SCHEMA.fields]]
+    df = spark.createDataFrame(rows, ", ".join(fields)).select(*names)
+    monkeypatch.setattr(catalog, "applications", lambda spark, sf_dir: df)
+    monkeypatch.setattr(catalog, "model", lambda spark, sf_dir: trained.best)
+    got = catalog.registered()["serve_score_batch"](spark, "nowhere").collect()
+    want = A.score_applications(df, trained.best).collect()
+    key = lambda r: tuple(str(r[c]) for c in ("client_id", *A.RESULT_FIELDS))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 32
+    assert {r.total for r in got} == {32} and all(r.recommandation for r in got)
+    for r in got:
+        same = [x.probabilite_defaut for x in want if (x.categorie, x.decision) == (r.categorie, r.decision)]
+        assert r.total_categorie == len(same) and r.probabilite_moyenne == pytest.approx(sum(same) / len(same), abs=0.01)
+
+
 def test_zones_partition_the_portfolio(credits):
     h = K.score_histogram(credits.withColumn("score", F.floor(F.rand(1) * 1001).cast("int")))
     z = K.zones(h).toPandas()
