@@ -1,10 +1,16 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import catalog
 from loanscope.operators import calibrate as K
+from loanscope.operators import forest
 from loanscope.operators import metrics as M
 from loanscope.operators import scoring as Z
 from loanscope.plans import service as A
@@ -236,6 +242,35 @@ def test_training_rows_are_dealt_evenly(spark, credits, monkeypatch):
     assert len(shares[0]) == slots and sum(shares[0]) == rows and max(shares[0]) - min(shares[0]) <= slots
 
 
+def test_forest_votes_are_those_of_spark(spark, trained, credits, monkeypatch):
+    """Blocks of rows go through one tree after the other, once, and give the probabilities of the model's own stage to the last bit."""
+    model = trained.models[Z.FOREST]
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
+    out = Z.predict(credits, model)
+    plan = out.filter("proba > 0.2 AND prediction = 0")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "probability" not in plan
+    own = model.transform(credits).select(vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("c"))
+    assert sorted((r.proba, r.prediction) for r in out.select("proba", "prediction").collect()) == sorted((r.p, r.c) for r in own.collect())
+    assert out.schema["proba"].dataType == T.DoubleType() and out.schema["prediction"].dataType == T.IntegerType()
+    assert Z.predict(credits.limit(0), model).count() == 0
+
+
+def test_votes_of_odd_rows_and_trees(spark):
+    """Trees of one leaf, thresholds that are met, missing and infinite numbers."""
+    rows = [((i * 37) % 11 - 5.0, (i * 13) % 7 * 1.0, float(i % 11 > 6)) for i in range(60)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, y double"))
+    odd = [(v, w) for v in (-5.0, -0.5, 0.0, 2.5, 5.0, math.inf, -math.inf, math.nan) for w in (0.0, 3.0, 3.5, 6.0, math.nan)]
+    asked = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep").transform(spark.createDataFrame(odd, "a double, b double"))
+    for depth in (0, 1, 4):
+        model = RandomForestClassifier(labelCol="y", numTrees=3, maxDepth=depth, seed=3).fit(df)
+        x = np.array([r.features.toArray() for r in asked.select("features").collect()])
+        votes = forest.votes(forest.flat_forest(spark, model), x)
+        raw = [r.rawPrediction.toArray() for r in model.transform(asked).select("rawPrediction").collect()]
+        assert np.array_equal(np.stack(votes, axis=1), np.array(raw))
+    cut = RandomForestClassifier(labelCol="y", numTrees=3).setThresholds([0.9, 0.1]).fit(df)
+    assert forest.flat_forest(spark, cut) is None  # classes by cuts are left to the model
+
+
 def test_forest_is_trained_in_groups(spark, credits, monkeypatch, tmp_path):
     """What training stores for a row does not grow with the forest, and the groups make one forest."""
     assert Z.tree_groups(200, 99_999) == [200]
