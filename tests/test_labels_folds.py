@@ -82,6 +82,38 @@ def test_no_loan_is_scored_by_a_model_that_has_seen_it(credits, monkeypatch):
     assert sum(r.nb_hors_pli for r in zones) == credits.count()
 
 
+def test_folds_are_hashed_encoded_and_written_once(spark, credits, monkeypatch):
+    """One table serves all models and the scoring; they are the models that the loans alone give, and a loan without label is only scored."""
+    names, write = [], Z.staged
+
+    def recorded(df, name, *more, **by):
+        names.append(name)
+        return write(df, name, *more, **by)
+
+    monkeypatch.setattr(Z, "staged", recorded)
+    loans = credits.withColumn(TARGET, F.when(F.col("montant_credit_fcfa") % 10 != 0, F.col(TARGET)))
+    assert 0 < loans.filter(F.col(TARGET).isNull()).count() < loans.count()
+    folded = Z.fold_loans(loans, 3)
+    models = Z.fit_folds(folded, Z.LOGISTIC)
+    scored = K.score_out_of_fold(folded, models)
+    assert names == ["folds"] and len(models) == 3
+    assert scored.count() == loans.count() and scored.filter("proba_defaut IS NULL").count() == 0
+    assert scored.select(loans.columns).exceptAll(loans).count() == 0
+    assert scored.columns == K.score_out_of_fold(loans, models).columns
+    alone = Z.fit_model(folded.rows.filter("fold <> 1").select(loans.columns), Z.LOGISTIC, folded.encoders)
+    assert models[1].stages[-1].coefficients.toArray() == pytest.approx(alone.stages[-1].coefficients.toArray(), rel=1e-4, abs=1e-6)
+
+
+def test_scores_of_a_histogram_are_worked_out_once(spark, credits):
+    model = Z.fit_model(credits, Z.LOGISTIC, Z.fit_encoders(credits), Z.ModelSizes(logistic_iterations=2))
+    scored = K.score_portfolio(credits, model)
+    plan = K.score_histogram(scored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("bround") == 1
+    odd = spark.createDataFrame([(5, 1), (5, None), (7, 0), (None, 1), (None, None)], f"score int, {TARGET} int")
+    assert sorted(map(tuple, K.score_histogram(odd).collect())) == [(5, 2, 1, 1), (7, 1, 1, 0)]
+    assert K.score_histogram(odd).columns == ["score", "n", "n_cible", "nb_defauts"]
+
+
 def test_the_logistic_model_stands_at_its_optimum(credits):
     model = Z.fit_model(credits, Z.LOGISTIC, Z.fit_encoders(credits))
     row = Z.logistic_gradient(credits, model).first()
