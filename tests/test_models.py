@@ -248,7 +248,7 @@ def test_forest_votes_are_those_of_spark(spark, trained, credits, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK_ROWS", 7)
     out = Z.predict(credits, model)
     plan = out.filter("proba > 0.2 AND prediction = 0")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and "probability" not in plan
+    assert plan.count("MapInArrow") == 1 and "probability" not in plan
     own = model.transform(credits).select(vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("c"))
     assert sorted((r.proba, r.prediction) for r in out.select("proba", "prediction").collect()) == sorted((r.p, r.c) for r in own.collect())
     assert out.schema["proba"].dataType == T.DoubleType() and out.schema["prediction"].dataType == T.IntegerType()
